@@ -118,7 +118,8 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     """Group aggregates on every row.
 
     Aggregate-and-join instead of a window: the aggregate combines before its shuffle, so
-    a hot key never gathers in one task, and the join splits skewed keys at run time.
+    a hot key never gathers in one task, and the join splits skewed keys at run time. ``df``
+    is read twice: store it first (``cut_lineage``) when it is costly to compute.
     """
     keys = list(keys)
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])

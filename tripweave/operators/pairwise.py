@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.operators.lookup import with_group_stats
+from tripweave.session import cut_lineage
 
 BLOCK = 512
 PARTIAL = (
@@ -119,7 +120,7 @@ def image_spread_scores(df: DataFrame, group: str, x: str, y: str, heading: str)
     group's largest, 0.6 / 0.4. Balance falls with local density; fewer than 3 rows give
     1, a degenerate spread falls back to the mean distance.
     """
-    p = group_pair_sums(df, group, x, y, heading)
+    p = cut_lineage(group_pair_sums(df, group, x, y, heading))
     p = with_group_stats(
         p, [group], _smax=F.max("spatial_max"), _amax=F.max("angular_max"), _headed=F.max(F.col(heading).isNotNull())
     )

@@ -13,6 +13,7 @@ from tripweave.functions.numeric import code_map
 from tripweave.operators.lookup import with_group_stats
 from tripweave.operators.pairwise import image_spread_scores
 from tripweave.operators.ranking import keep_first, quota_top_n
+from tripweave.session import cut_lineage
 
 
 def _in_list(c: Column, names: Sequence[str]) -> Column:
@@ -107,7 +108,7 @@ def shrink(places: DataFrame, stats: DataFrame, key: str, dims: Sequence[str], c
         F.when(F.col("n_images") == 0, "no_image")
         .when(F.col("n_eff") >= K.N_EFF_NORMAL, "normal").otherwise("shrinkage")
     )
-    out = placed.withColumn("aggregation_method", method)
+    out = cut_lineage(placed.withColumn("aggregation_method", method))
     measured = out.filter(F.col("n_images") > 0)
     means = [f"{d}_mean" for d in dims]
     overall = measured.agg(*[F.avg(m).alias(f"_all_{m}") for m in means])
@@ -168,6 +169,7 @@ def refine_images(images: DataFrame, key: str, x: str, y: str, heading: str, pan
     sized = sized.withColumn("_min", code_map(subtype, K.MIN_IMAGES, K.MIN_IMAGES_DEFAULT)).withColumn(
         "_cap", F.least(code_map(subtype, K.CAPACITY, K.CAPACITY_DEFAULT).cast("bigint"), F.col("n_images"))
     )
+    sized = cut_lineage(sized)
     small = sized.filter(F.col("n_images") < F.col("_min"))
     large = sized.filter(F.col("n_images") >= F.col("_min"))
     spread = image_spread_scores(large, key, x, y, heading).withColumnsRenamed(

@@ -148,7 +148,7 @@ def krippendorff_ordinal(df: DataFrame, unit: str, value: str, scale: Sequence[i
             gap[i, j] = gap[j, i] = (marginal[i : j + 1].sum() - (marginal[i] + marginal[j]) / 2) ** 2
     expected = float((np.outer(marginal, marginal) * gap).sum())
     alpha = 1.0 if expected == 0 else 1 - (total - 1) * float((o * gap).sum()) / expected
-    return df.sparkSession.createDataFrame([(float(total), alpha)], "n_pairable double, alpha double")
+    return df.sparkSession.createDataFrame([(float(total), float(alpha))], "n_pairable double, alpha double")
 
 
 def describe_ratings(df: DataFrame, dim: str, value: str) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripweave.session import cut_lineage
+
 RANGES = 64
 SKETCH_ACCURACY = 2000
 
@@ -40,7 +42,8 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, amount: str, o
     """Add ``out``: running sum of ``amount`` by rising ``order`` within ``keys``, own row
     included, and ``out_total``: the sum over the group.
 
-    ``order`` must be numeric and distinct within ``keys``, as after a group by.
+    ``order`` must be numeric and distinct within ``keys``, as after a group by. Rows with a
+    NULL key are dropped. ``df`` is read three times, so it should be a stored table.
     """
     keys = list(keys)
     df = df.withColumn("_range", _range_of(F.col(order), _cuts(df, order, ranges)))
@@ -65,7 +68,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     """Linear-interpolated quantiles per group: one row per ``keys``, one column per name.
 
     Equal to ``percentile`` on the same rows, NULLs skipped; a group may hold any share
-    of the data.
+    of the data. The value counts are written once, so ``df`` is computed once.
     """
     keys = list(keys)
     counted = (
@@ -73,7 +76,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    placed = running_total(counted, keys, "_v", "_n", "_upto", ranges)
+    placed = running_total(cut_lineage(counted), keys, "_v", "_n", "_upto", ranges)
     first_rank = F.col("_upto") - F.col("_n")
     picks = []
     for name, p in probs.items():
@@ -100,7 +103,7 @@ def average_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] = (),
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranks = running_total(counted, keys, "_v", "_n", "_upto", ranges).select(
+    ranks = running_total(cut_lineage(counted), keys, "_v", "_n", "_upto", ranges).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         "_v",
         (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out),

@@ -23,6 +23,7 @@ from tripweave.operators.linear import residualise, spearman
 from tripweave.operators.lookup import inner_suffixed, with_group_stats
 from tripweave.operators.profiling import count_flags
 from tripweave.operators.quantiles import exact_quantiles
+from tripweave.session import cut_lineage
 
 ORIGIN_COLUMNS = ["origin_id", "subzone_name", "planning_area", "pop_total", "avg_hh_size", "Mean_Monthly_Income",
                   "PCA_Car_Proxy_01", "cbd_flag", "central_area_flag"]
@@ -238,17 +239,22 @@ def with_count_flags(dest: DataFrame, count: str = "rating_count") -> DataFrame:
 
 def run(origins_raw: DataFrame, dest_raw: DataFrame, transit_raw: DataFrame, car_raw: DataFrame | None = None,
         outside: bool = True) -> dict[str, DataFrame]:
-    """The whole plan: tables ``od``, ``dest``, ``long``, ``quality`` and ``invariants``, all lazy."""
+    """The whole plan: tables ``od``, ``dest``, ``long``, ``quality`` and ``invariants``.
+
+    The cleaned skims, the coded destinations and the OD flows are each stored once, because
+    several results read them.
+    """
     origins = trip_production(clean_origins(origins_raw))
-    dest = category_codes(size_classes(with_count_flags(clean_destinations(dest_raw))))
-    od = travel_costs(clean_transit(transit_raw), clean_car(car_raw) if car_raw is not None else None)
+    cleaned = cut_lineage(clean_destinations(dest_raw))
+    dest = cut_lineage(category_codes(size_classes(with_count_flags(cleaned))))
+    od = cut_lineage(travel_costs(clean_transit(transit_raw), clean_car(car_raw) if car_raw is not None else None))
     reached = od.select("poi_id").distinct()
     eligible = dest.filter("eligible = 1").join(reached, "poi_id", "left_semi")
-    origins = car_residual(origins, od)
+    origins = cut_lineage(car_residual(origins, od))
     od = od.join(eligible.select("poi_id", "D_med", "D_lrg"), "poi_id")
     od = od.join(origins.select("origin_id", "T_o_base", "T_o"), "origin_id")
-    od = flows(shares(utilities(od), outside=outside))
-    table = calibration(eligible, od)
+    od = cut_lineage(flows(shares(cut_lineage(utilities(od)), outside=outside)))
+    table = cut_lineage(calibration(eligible, od))
     factor: Column = F.col("scale_factor")
     od_scaled = od.crossJoin(F.broadcast(table.select("scale_factor").limit(1))).withColumn("flow_od", F.col("flow_base") * factor)
     return {

@@ -13,6 +13,7 @@ from tripweave.operators.aggregates import weighted_moments
 from tripweave.operators.perception import image_weights, shrink
 from tripweave.operators.quantiles import exact_quantiles
 from tripweave.operators.scaling import min_max, robust_z
+from tripweave.session import cut_lineage
 
 DIMENSIONS = list(K.DIMENSION_WEIGHTS)
 
@@ -39,9 +40,9 @@ def place_stats(weighted: DataFrame, key: str, dims: Sequence[str]) -> DataFrame
 def score_places(images: DataFrame, places: DataFrame, as_of, dims: Sequence[str] = DIMENSIONS,
                  half_life: float = K.HALF_LIFE_DAYS, mix: float = K.PRIOR_MIX, strength: float = K.PRIOR_STRENGTH) -> DataFrame:
     """Final scores per place with method, priors and robust z."""
-    weighted = image_weights(images, as_of, half_life)
+    weighted = cut_lineage(image_weights(images, as_of, half_life).select("poi_id", "age_days", "w_view", "weight", *dims))
     stats = place_stats(weighted, "poi_id", dims)
-    scored = shrink(places, stats, "poi_id", dims, "subtype", "planning_area", mix, strength)
+    scored = cut_lineage(shrink(places, stats, "poi_id", dims, "subtype", "planning_area", mix, strength))
     for d in dims:
         scored = robust_z(scored, d, f"{d}_robust_z")
     return scored

@@ -8,6 +8,7 @@ from tripweave.queries.registry import COVERS, ORACLES, QUERIES
 
 FAMILIES = (
     "text_dates", "numeric_costs", "filters_joins", "summaries", "windows_topk",
+    "reshaping", "flow", "geometry", "images", "surveys", "statistics", "files",
 )
 
 

@@ -174,14 +174,15 @@ def allocation_with_fallback(spark, d):
 
 @query("W2", """
 SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice,
-  round_even(o_totalprice * (l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey)), 2) AS share
+  o_totalprice * (l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey)) AS share
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """)
 def proportional_allocation(spark, d):
     li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity")
     o = table(spark, d, "orders", "o_orderkey", F.col("o_totalprice").alias("share"))
     joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return allocate(joined, "l_orderkey", "l_quantity", ["share"], 2).select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "share")
+    shared = allocate(joined, "l_orderkey", "l_quantity", ["share"], None)
+    return shared.select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "share")
 
 
 @query("J7 J8 U3", """
