@@ -220,7 +220,7 @@ u AS (SELECT image, rating::INTEGER AS c, count(*)::DOUBLE AS n FROM r WHERE rat
 o AS (SELECT a.c AS c, b.c AS k, sum(a.n * (b.n - CASE WHEN a.c = b.c THEN 1 ELSE 0 END) / (m - 1)) AS o FROM u a JOIN u b USING (image) JOIN m USING (image) GROUP BY 1, 2),
 n AS (SELECT c, sum(o) AS n FROM o GROUP BY 1), tot AS (SELECT sum(n) AS t FROM n),
 e AS (SELECT x.c AS c, y.c AS k, x.n * y.n AS e, pow((SELECT sum(z.n) FROM n z WHERE z.c BETWEEN least(x.c, y.c) AND greatest(x.c, y.c)) - (x.n + y.n) / 2, 2) AS d FROM n x, n y WHERE x.c <> y.c)
-SELECT round(any_value(t), 4) AS n_pairable, round(1 - (any_value(t) - 1) * sum(o * d) / sum(e * d), 8) AS alpha FROM e JOIN o ON o.c = e.c AND o.k = e.k, tot
+SELECT round(any_value(t), 4) AS n_pairable, round(1 - (any_value(t) - 1) * sum(o * d) / sum(e * d), 8) AS alpha FROM e LEFT JOIN o ON o.c = e.c AND o.k = e.k, tot
 """)
 def ordinal_agreement(spark, d):
     out = psy.krippendorff_ordinal(rated(spark, d), "image", "rating", [1, 2, 3, 4])

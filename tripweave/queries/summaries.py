@@ -143,11 +143,13 @@ def column_profiles(spark, d):
     return out.select(*[F.round(c, 4).alias(c) if c in rounded else c for c in out.columns])
 
 
-_GAPS = {
-    "a": F.when(F.col("event_type") != "error", F.col("value")),
-    "b": F.when(F.col("user_id") % 20 != 0, F.col("user_id")),
-    "c": F.col("event_type"),
-}
+def gaps(spark, d):
+    """Events with missing values by rule."""
+    ev = table(spark, d, "events", "event_type", "value", "user_id")
+    return ev.select(
+        F.when(F.col("event_type") != "error", F.col("value")).alias("a"),
+        F.when(F.col("user_id") % 20 != 0, F.col("user_id")).alias("b"), F.col("event_type").alias("c"),
+    )
 
 
 @query("A15 P14", """
@@ -157,8 +159,7 @@ UNION ALL SELECT 'keys', 'b', b, round_even(b * 100.0::DOUBLE / n, 2), 'bigint'
 UNION ALL SELECT 'keys', 'c', 0, 0.0, 'string' FROM g
 """)
 def missing_by_column(spark, d):
-    ev = table(spark, d, "events", "event_type", "value", "user_id").select(*[c.alias(n) for n, c in _GAPS.items()])
-    return prof.missing_report(ev, {"scores": ["a"], "keys": ["b", "c"]})
+    return prof.missing_report(gaps(spark, d), {"scores": ["a"], "keys": ["b", "c"]})
 
 
 @query("A15", """
@@ -167,8 +168,7 @@ SELECT 'complete' AS band, 1::BIGINT AS count UNION ALL SELECT 'up to 10 %', ((a
 UNION ALL SELECT 'over 10 %', ((a > 0.1)::INTEGER + (b > 0.1)::INTEGER)::BIGINT FROM g
 """)
 def missing_banded(spark, d):
-    ev = table(spark, d, "events", "event_type", "value", "user_id").select(*[c.alias(n) for n, c in _GAPS.items()])
-    return prof.missing_bands(prof.missing_report(ev))
+    return prof.missing_bands(prof.missing_report(gaps(spark, d)))
 
 
 @query("A16 A18", """
@@ -220,7 +220,9 @@ def keep_first_and_last(spark, d):
     return first.join(last, ["user_id", "event_type"])
 
 
-_BAND = F.floor(F.col("p_size") / 10).cast("int")
+def size_band():
+    """Class of ten sizes."""
+    return F.floor(F.col("p_size") / 10).cast("int")
 
 
 @query("A20", """
@@ -229,7 +231,7 @@ FROM (SELECT p_brand, p_size // 10 AS b, count(*) AS n FROM part GROUP BY 1, 2)
 """)
 def grouped_means(spark, d):
     p = table(spark, d, "part", "p_brand", "p_size")
-    wide = p.groupBy("p_brand").agg(*[F.count_if(_BAND == b).cast("double").alias(f"b{b}") for b in range(6)])
+    wide = p.groupBy("p_brand").agg(*[F.count_if(size_band() == b).cast("double").alias(f"b{b}") for b in range(6)])
     return wide.select("p_brand", grouped_mean({f"b{b}": b * 10 + 5 for b in range(1, 6)}).alias("mean_size"))
 
 
@@ -240,7 +242,7 @@ m AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY b) AS k FROM r
 SELECT p_brand, CASE WHEN b < 3 THEN round_even(b * 10 + (total / 2 - (cum - n)) / n * 10, 2) END AS median, b >= 3 AS median_open FROM m WHERE k = 1
 """)
 def grouped_medians(spark, d):
-    p = table(spark, d, "part", "p_brand", _BAND.alias("b"))
+    p = table(spark, d, "part", "p_brand", size_band().alias("b"))
     counts = p.groupBy("p_brand", "b").agg(F.count(F.lit(1)).alias("n")).withColumns(
         {"lower": F.col("b") * 10.0, "width": F.lit(10.0), "is_open": F.col("b") >= 3}
     )
