@@ -8,11 +8,11 @@ travel. The k x k solve is on the driver; k is the number of parameters, not of
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,22 +55,30 @@ class Fit:
         }
 
 
-def _distributed_sums(df: DataFrame, parts: Callable[[pd.DataFrame], np.ndarray], width: int) -> np.ndarray:
+def _distributed_sums(df: DataFrame, parts: Callable[[dict[str, np.ndarray]], np.ndarray], width: int) -> np.ndarray:
     """Sum a per-batch vector over the whole table: one row per slot and task."""
 
-    def add_up(batches):
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
-            total += parts(batch)
-        yield pd.DataFrame({"slot": np.arange(width, dtype="int32"), "value": total})
+            if batch.num_rows:
+                total += parts({name: _dense(batch.column(i)) for i, name in enumerate(batch.schema.names)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype="int32")), pa.array(total)], ["slot", "value"])
 
-    rows = df.mapInPandas(add_up, SUM_SCHEMA).groupBy("slot").agg(F.sum("value").alias("value")).collect()
+    rows = df.mapInArrow(add_up, SUM_SCHEMA).groupBy("slot").agg(F.sum("value").alias("value")).collect()
     out = np.zeros(width)
     for r in rows:
         out[r["slot"]] = r["value"]
     return out
 
 
+def _dense(column: pa.Array) -> np.ndarray:
+    """An Arrow column as a vector, or a list column of equal lengths as a matrix."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _unpack(sums: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray]:
     return float(sums[0]), sums[1 : 1 + k], sums[1 + k :].reshape(k, k)
 
@@ -121,19 +129,17 @@ def choice_arrays(long: DataFrame, obs: str, alt: str, alternatives: Sequence, t
     return out.repartition(partitions) if partitions else out
 
 
-def _logit_parts(beta: np.ndarray, n_alts: int) -> Callable[[pd.DataFrame], np.ndarray]:
+def _logit_parts(beta: np.ndarray, n_alts: int) -> Callable[[dict[str, np.ndarray]], np.ndarray]:
     k = len(beta)
 
-    def parts(batch: pd.DataFrame) -> np.ndarray:
-        if len(batch) == 0:
-            return np.zeros(1 + k + k * k)
-        x = np.stack(batch["x"].to_numpy()).astype(float).reshape(len(batch), n_alts, k)
-        pos = batch["pos"].to_numpy()
+    def parts(batch: dict[str, np.ndarray]) -> np.ndarray:
+        x = batch["x"].reshape(-1, n_alts, k)
+        pos = batch["pos"]
         v = x @ beta
         v -= v.max(axis=1, keepdims=True)
         e = np.exp(v)
         p = e / e.sum(axis=1, keepdims=True)
-        rows = np.arange(len(batch))
+        rows = np.arange(len(pos))
         mean = np.einsum("na,nak->nk", p, x)
         grad = (x[rows, pos] - mean).sum(axis=0)
         hess = mean.T @ mean - np.einsum("na,nak,nal->kl", p, x, x)
@@ -212,17 +218,14 @@ def _trigamma(x: np.ndarray) -> np.ndarray:
     return out + 1 / y + z / 2 + z / y * (1 / 6 - z * (1 / 30 - z * (1 / 42 - z / 30)))
 
 
-def _count_parts(theta: np.ndarray) -> Callable[[pd.DataFrame], np.ndarray]:
+def _count_parts(theta: np.ndarray) -> Callable[[dict[str, np.ndarray]], np.ndarray]:
     """NegBin2 sums for log-linear coefficients and the log of the dispersion."""
     k = len(theta)
     beta, phi = theta[:-1], math.exp(theta[-1])
 
-    def parts(batch: pd.DataFrame) -> np.ndarray:
-        if len(batch) == 0:
-            return np.zeros(1 + k + k * k)
-        x = np.stack(batch["x"].to_numpy()).astype(float)
-        y = batch["y"].to_numpy(dtype=float)
-        mu = np.exp(batch["offset"].to_numpy(dtype=float) + x @ beta)
+    def parts(batch: dict[str, np.ndarray]) -> np.ndarray:
+        x, y = batch["x"], batch["y"]
+        mu = np.exp(batch["offset"] + x @ beta)
         whole = phi + mu
         flat = np.full_like(y, phi)
         ll = (_lgamma(y + phi) - _lgamma(flat) - _lgamma(y + 1)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tripweave.session import cut_lineage
 
 RANGES = 64
-SKETCH_ACCURACY = 2000
+SKETCH_ACCURACY = 1000
 
 
 def _cuts(df: DataFrame, value: str, ranges: int) -> list[float]:
@@ -25,16 +25,16 @@ def _cuts(df: DataFrame, value: str, ranges: int) -> list[float]:
     return sorted(set(row["c"] or []))
 
 
-def _range_of(value, cuts: Sequence[float]):
-    """Index of the range holding ``value``: a balanced CASE tree, log2(n) comparisons."""
+def _range_of(value: str, cuts: Sequence[float]):
+    """Index of the range holding a column's value: a balanced CASE tree, log2(n) comparisons."""
 
-    def branch(low: int, high: int):
+    def branch(low: int, high: int) -> str:
         if low == high:
-            return F.lit(low)
+            return str(low)
         mid = (low + high) // 2
-        return F.when(value < F.lit(cuts[mid]), branch(low, mid)).otherwise(branch(mid + 1, high))
+        return f"CASE WHEN `{value}` < {float(cuts[mid])!r}D THEN {branch(low, mid)} ELSE {branch(mid + 1, high)} END"
 
-    return branch(0, len(cuts))
+    return F.expr(branch(0, len(cuts)))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: str, amount: str, out: str,
@@ -46,7 +46,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, amount: str, o
     NULL key are dropped. ``df`` is read three times, so it should be a stored table.
     """
     keys = list(keys)
-    df = df.withColumn("_range", _range_of(F.col(order), _cuts(df, order, ranges)))
+    df = df.withColumn("_range", _range_of(order, _cuts(df, order, ranges)))
     totals = df.groupBy(*keys, "_range").agg(F.sum(amount).alias("_in_range"))
     by_range = Window.partitionBy(*keys).orderBy("_range")
     everything = Window.partitionBy(*keys)
@@ -67,31 +67,38 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Mapping[str, float], ranges: int = RANGES) -> DataFrame:
     """Linear-interpolated quantiles per group: one row per ``keys``, one column per name.
 
-    Equal to ``percentile`` on the same rows, NULLs skipped; a group may hold any share
-    of the data. The value counts are written once, so ``df`` is computed once.
+    Equal to ``percentile`` on the same rows, NULLs and NULL keys skipped; a group may hold
+    any share of the data. Rows are first only counted per group and value range, which
+    combines map-side. Then just the ranges that hold a wanted rank are shuffled and
+    ordered. ``df`` is read three times: store it first when it is costly to compute.
     """
     keys = list(keys)
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    placed = running_total(cut_lineage(counted), keys, "_v", "_n", "_upto", ranges)
-    first_rank = F.col("_upto") - F.col("_n")
-    picks = []
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna(subset=[*keys, "_v"])
+    base = base.withColumn("_range", _range_of("_v", _cuts(base, "_v", ranges)))
+    totals = base.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    by_range, everything = Window.partitionBy(*keys).orderBy("_range"), Window.partitionBy(*keys)
+    placed = totals.withColumn("_before", F.sum("_c").over(by_range) - F.col("_c")).withColumn("_all", F.sum("_c").over(everything))
+    ranks = []
     for name, p in probs.items():
-        position = F.lit(float(p)) * (F.col("_upto_total") - 1)
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            hit = (rank >= first_rank) & (rank < F.col("_upto"))
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{name}_{side}"))
-        picks.append(F.max(position - F.floor(position)).alias(f"_{name}_part"))
-    found = placed.groupBy(*keys).agg(*picks)
-    return found.select(
-        *keys,
-        *[
-            (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part")).alias(n)
-            for n in probs
-        ],
+        position = F.lit(float(p)) * (F.col("_all") - 1)
+        low = F.floor(position)
+        ranks += [
+            F.struct(F.lit(name).alias("name"), (1 - (position - low)).alias("share"), low.alias("rank")),
+            F.struct(F.lit(name).alias("name"), (position - low).alias("share"), (low + 1).alias("rank")),
+        ]
+    wanted = placed.select(*keys, "_range", "_before", "_c", F.inline(F.array(*ranks))).select(
+        *keys, "_range", "name", "share", (F.col("rank") - F.col("_before")).alias("_at"), "_c"
+    ).filter((F.col("_at") >= 0) & (F.col("_at") < F.col("_c")) & (F.col("share") > 0)).drop("_c")
+    # a few ranks per group and range
+    spots = cut_lineage(wanted.groupBy(*keys, "_range").agg(F.collect_list(F.struct("name", "share", "_at")).alias("_spots")))
+    near = base.join(spots.select(*keys, "_range"), [*keys, "_range"], "left_semi")
+    counted = near.groupBy(*keys, "_range", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ran = counted.withColumn("_upto", F.sum("_n").over(inside)).join(spots, [*keys, "_range"])
+    mine = F.filter("_spots", lambda w: (w["_at"] < F.col("_upto")) & (w["_at"] >= F.col("_upto") - F.col("_n")))
+    hits = ran.select(*keys, "_v", F.inline(mine))
+    return hits.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("name") == n, F.col("_v") * F.col("share"))).alias(n) for n in probs]
     )
 
 

@@ -16,6 +16,7 @@ from tripweave import constants as K
 from tripweave.functions import geo
 from tripweave.functions.text import token_set_ratio
 from tripweave.operators.filters import category_match
+from tripweave.session import cut_lineage
 
 
 def _cell(v: Column, level: Column) -> Column:
@@ -123,13 +124,16 @@ def match_footprints(places: DataFrame, features: DataFrame, radius: float = K.N
     tags = {t: F.col(t) for t in ("amenity", "leisure", "tourism", "shop", "building") if t in features.columns}
     near = within_distance(places.select("poi_id", "name", "subtype", "x", "y"), "x", "y", features, "rings", radius)
     near = near.filter(category_match(F.col("subtype"), tags, rules)).withColumn("area", geo.polygon_area(F.col("rings")))
-    inside = geo.contains(F.col("rings"), F.col("x"), F.col("y"))
-    named = F.coalesce(F.col("feature_name"), F.lit("")) != ""
-    near = near.withColumn("_inside", inside).withColumn(
-        # the Python score runs only where a containing polygon has not settled the pair
-        "score", F.when(~F.col("_inside") & named, token_set_ratio(F.col("name"), F.col("feature_name"))).otherwise(0.0)
-    )
-    near = near.withColumn("stage", F.when(F.col("_inside"), 1).when(F.col("score") >= threshold, 2).otherwise(3))
+    near = near.withColumn("_inside", geo.contains(F.col("rings"), F.col("x"), F.col("y")))
+    near = cut_lineage(near.select("poi_id", "osm_id", "name", "feature_name", "rings", "area", "_inside"))
+    settled = near.filter("_inside").select("poi_id").distinct()
+    # names are scored once per distinct pair, and only for places no polygon contains
+    open_pairs = near.filter(F.coalesce(F.col("feature_name"), F.lit("")) != "").join(settled, "poi_id", "left_anti")
+    names = open_pairs.select("name", "feature_name").distinct()
+    scores = names.withColumn("score", token_set_ratio(F.col("name"), F.col("feature_name")))
+    alike = scores.filter(F.col("score") >= threshold).select("name", "feature_name", F.lit(2).alias("_named"))
+    near = near.join(alike, ["name", "feature_name"], "left")
+    near = cut_lineage(near.withColumn("stage", F.when(F.col("_inside"), 1).otherwise(F.coalesce("_named", F.lit(3)))))
     best = near.groupBy("poi_id").agg(
         F.min("stage").alias("_stage"), F.max_by("osm_id", F.struct("area", "osm_id")).alias("_largest")
     )

@@ -15,19 +15,14 @@ ANSWERS = {(b, t): f"Q3-{b}-{t}" for b in range(1, 5) for t in range(1, 9)}
 
 def respondents(spark, d):
     """Wide answers: each customer fills one block of eight tasks; every fourth answer is missing."""
-    key, nation = F.col("c_custkey"), F.col("c_nationkey")
-    block = F.pmod(key, F.lit(4)) + 1
-    c = table(spark, d, "customer", "c_custkey", "c_nationkey")
-    cols = {}
+    cells = []
     for (b, t), name in ANSWERS.items():
-        raw = F.when(F.lit(t) == 1, F.pmod(key + nation, F.lit(3)) + 1).otherwise(F.pmod(key * 7 + t * 13 + nation, F.lit(4)))
-        shown = F.when((block == b) & (raw > 0), (raw + (3 if b == 1 else 0)).cast("string"))
-        cols[name] = shown
-    base = {
-        "person_id": key, "car_time": 20.0 + F.pmod(key, F.lit(30)), "car_cost": 3.25 + F.pmod(nation, F.lit(5)),
-        "pt_time": 40.0 + F.pmod(key, F.lit(17)), "pt_cost": 1.5 + F.pmod(nation, F.lit(3)),
-    }
-    return c.select(*[v.alias(k) for k, v in {**base, **cols}.items()])
+        raw = "(c_custkey + c_nationkey) % 3 + 1" if t == 1 else f"(c_custkey * 7 + {t * 13} + c_nationkey) % 4"
+        cells.append(f"CASE WHEN c_custkey % 4 = {b - 1} AND {raw} > 0 THEN string({raw} + {3 if b == 1 else 0}) END AS `{name}`")
+    return table(spark, d, "customer", "c_custkey", "c_nationkey").selectExpr(
+        "c_custkey AS person_id", "20D + c_custkey % 30 AS car_time", "3.25D + c_nationkey % 5 AS car_cost",
+        "40D + c_custkey % 17 AS pt_time", "1.5D + c_nationkey % 3 AS pt_cost", *cells,
+    )
 
 
 def design_table(spark):

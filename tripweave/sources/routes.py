@@ -18,9 +18,9 @@ ERROR_NAME = r"ERROR_O+_(\d+).*?(\d+_[A-Z]+_\d+)\.json"
 
 TRANSIT_SCHEMA = (
     "status string, plan struct<itineraries: array<struct<duration: double, transitTime: double, walkTime: double, "
-    "waitingTime: double, transfers: int, fare: string, legs: array<struct<distance: double>>>>>"
+    "waitingTime: double, transfers: int, fare: string, legs: array<struct<distance: double>>>>>, _corrupt_record string"
 )
-DRIVE_SCHEMA = "status string, status_message string, route_summary struct<total_time: double, total_distance: double>"
+DRIVE_SCHEMA = "status string, status_message string, route_summary struct<total_time: double, total_distance: double>, _corrupt_record string"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +55,7 @@ def parse_transit(docs: DataFrame) -> DataFrame:
     rows carry figures; the others have zeros.
     """
     rows = with_route_keys(docs, TRANSIT_NAME).withColumn("_d", F.from_json("body", TRANSIT_SCHEMA))
-    corrupt = F.col("_d").isNull() | F.try_parse_json("body").isNull()
+    corrupt = F.col("_d").isNull() | F.col("_d._corrupt_record").isNotNull()
     trip = F.get(F.col("_d.plan.itineraries"), F.lit(0))
     status = (
         F.when(corrupt, "BAD_JSON")
@@ -78,7 +78,7 @@ def parse_transit(docs: DataFrame) -> DataFrame:
 def parse_drive(docs: DataFrame) -> DataFrame:
     """Car skims from route summaries, with the outcome status."""
     rows = with_route_keys(docs, DRIVE_NAME).withColumn("_d", F.from_json("body", DRIVE_SCHEMA))
-    corrupt = F.col("_d").isNull() | F.try_parse_json("body").isNull()
+    corrupt = F.col("_d").isNull() | F.col("_d._corrupt_record").isNotNull()
     code = F.coalesce(F.col("_d.status"), F.lit("UNKNOWN"))
     status = (
         F.when(corrupt, "BAD_JSON")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+MAX_LOOKUP_ROWS = 10_000
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header."""
@@ -76,9 +78,12 @@ def write_features(df: DataFrame, feature: Column, path: str) -> None:
 def lookup_json(sectors: DataFrame, areas: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """One JSON document: sector -> area and area -> metrics, NULLs kept.
 
-    Both inputs are lookup tables (two-digit sectors, named areas): their size is bounded by
-    the code, not by the data.
+    Both inputs are lookup tables (two-digit sectors, named areas). The document is one
+    value, so their size is checked first.
     """
+    for side in (sectors, areas):
+        if side.limit(MAX_LOOKUP_ROWS + 1).count() > MAX_LOOKUP_ROWS:
+            raise ValueError("too many rows for one lookup document")
     sector_map = sectors.groupBy().agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.lpad(F.col("postal_sector").cast("string"), 2, "0").alias("k"), F.col("planning_area").alias("v"))))).alias("a")
     )
