@@ -93,7 +93,7 @@ def test_geojson_files(spark, tmp_path):
 def test_csv_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.1, None), (2, None, "a,\"b\"\nc")], "i int, x double, s string")
     sinks.write_fixed_csv(df, str(tmp_path / "f"), 15)
-    back = {r["i"]: r for r in text_tables.read_csv(spark, str(tmp_path / "f")).collect()}
+    back = {r["i"]: r for r in text_tables.read_csv(spark, str(tmp_path / "f"), multi_line=True).collect()}
     assert back["1"]["x"] == "0.100000000000000" and back["2"]["x"] is None
     sinks.write_csv(df, str(tmp_path / "g"))
     with pytest.raises(ValueError):
@@ -144,3 +144,11 @@ def test_origin_table_order(spark):
     out = origins.origin_table(zones, pop, car, hh)
     assert out.columns == ["subzone_id", "subzone_name", "planning_area", "area_sqm", "centroid_x", "centroid_y", "pop_total", "population_density", "PCA_Car_Proxy", "avg_hh_size"]
     assert tuple(out.first())[6:] == (10, 5.0, 0.5, 3.0)
+
+
+def test_stored_tables_go_to_the_configured_folder(spark):
+    from tripweave.session import cut_lineage, shared_dir
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    stored = cut_lineage(spark.range(5))
+    assert all(shared_dir(spark) in f for f in stored.inputFiles()) and stored.count() == 5

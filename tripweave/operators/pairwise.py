@@ -96,6 +96,10 @@ def group_pair_sums(df: DataFrame, group: str, x: str, y: str, heading: str, blo
     # every block meets every block; the target block is part of the key, so the pairs of
     # a large group spread over as many keys as it has blocks
     right = right.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    # a fixed partition count: the blocks are small in bytes but heavy in work, and would
+    # otherwise be merged into a few tasks
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(spread, "grp", "b"), right.repartition(spread, "grp", "b")
     pairs = left.join(right, ["grp", "b"]).select(
         "grp", F.col("pack.pid").alias("pid"),
         *[F.col(f"pack.{c}").alias(c) for c in ("x", "y", "h", "u", "v")],

@@ -50,16 +50,14 @@ def fixed_precision_text(spark, d):
 SELECT s_suppkey, round(s_acctbal, 2) AS balance, 100.0::DOUBLE AS area, round(s_suppkey * 3.0 + 5, 6)::DOUBLE AS cx FROM supplier
 """)
 def geojson_features(spark, d):
-    """Suppliers written as clockwise GeoJSON squares, one collection per row, and parsed back."""
+    """Suppliers written as clockwise GeoJSON squares, one feature per line, and read back."""
     path = scratch_path(spark, "geojson")
     x = F.col("s_suppkey") * 3.0
     clockwise = F.reverse(geo.box_ring(x, F.lit(0.0), x + 10, F.lit(10.0)))
     s = table(spark, d, "supplier", "s_suppkey", F.col("s_acctbal").alias("balance")).withColumn("rings", F.array(clockwise))
     feature = sinks.feature_json(F.col("rings"), ["s_suppkey", "balance"])
     sinks.write_features(s, feature, path)
-    schema = "features array<struct<properties: struct<s_suppkey: bigint, balance: double>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
-    lines = spark.read.text(path).select(F.concat(F.lit('{"features":['), "value", F.lit("]}")).alias("doc"))
-    parsed = geo_json.parse_features(lines.select(F.from_json("doc", schema).alias("j")).select("j.features"), "Polygon")
+    parsed = geo_json.read_feature_lines(spark, path, "s_suppkey: bigint, balance: double")
     return parsed.select("s_suppkey", "balance", F.round(geo.polygon_area(F.col("rings")), 6).alias("area"), F.round(geo.polygon_centroid(F.col("rings"))["x"], 6).alias("cx"))
 
 

@@ -23,16 +23,27 @@ def read_geojson(spark: SparkSession, path: str, properties: str, geometry: str
 
     ``properties`` is a DDL field list, so nothing is inferred.
     """
-    nested = {"Point": "array<double>", "Polygon": "array<array<array<double>>>",
-              "MultiPolygon": "array<array<array<array<double>>>>"}[geometry]
-    schema = (
-        f"features array<struct<properties: struct<{properties}>, "
-        f"geometry: struct<type: string, coordinates: {nested}>>>"
-    )
+    schema = f"features array<{feature_type(properties, geometry)}>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
     return parse_features(raw.select("features"), geometry)
 
 
+def feature_type(properties: str, geometry: str) -> str:
+    """DDL type of one feature."""
+    nested = {"Point": "array<double>", "Polygon": "array<array<array<double>>>",
+              "MultiPolygon": "array<array<array<array<double>>>>"}[geometry]
+    return f"struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: {nested}>>"
+
+
+def read_feature_lines(spark: SparkSession, path: str, properties: str, geometry: str = "Polygon") -> DataFrame:
+    """Newline-delimited features, as ``sinks.write_features`` writes them: files split over tasks.
+
+    Prefer it to one large collection, which a single task has to read.
+    """
+    lines = spark.read.text(path).select(F.from_json("value", feature_type(properties, geometry)).alias("f"))
+    return parse_features(lines.select(F.array("f").alias("features")), geometry)
+
+
 def parse_features(raw: DataFrame, geometry: str) -> DataFrame:
     """Explode a ``features`` array column into one row per feature."""
     one = raw.select(F.explode("features").alias("f"))

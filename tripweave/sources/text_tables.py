@@ -13,9 +13,12 @@ from tripweave.tables import nan_to_null
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
-             schema: T.StructType | str | None = None, sep: str = ",") -> DataFrame:
-    """CSV with a header. Without ``schema`` every column is text; ``columns`` prunes."""
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"')
+             schema: T.StructType | str | None = None, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """CSV with a header. Without ``schema`` every column is text; ``columns`` prunes.
+
+    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema).option("enforceSchema", False)
     df = reader.csv(path)
@@ -24,13 +27,14 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     return nan_to_null(df)
 
 
-def read_survey_csv(spark: SparkSession, path: str, id_column: str, id_pattern: str = r"^R_\w+$", sep: str = ",") -> DataFrame:
+def read_survey_csv(spark: SparkSession, path: str, id_column: str, id_pattern: str = r"^R_\w+$", sep: str = ",",
+                    multi_line: bool = False) -> DataFrame:
     """Survey export whose second and third lines repeat labels.
 
     Label rows are told by the id column's content, not by position, so the file may be
     split over tasks or come in many parts.
     """
-    df = read_csv(spark, path, sep=sep)
+    df = read_csv(spark, path, sep=sep, multi_line=multi_line)
     return df.filter(F.col(f"`{id_column}`").rlike(id_pattern))
 
 
