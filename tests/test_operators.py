@@ -165,7 +165,7 @@ def test_spread_scores_match_brute_force(spark):
         "many": [(rng.random(), rng.random(), rng.choice([None, rng.random() * 360])) for _ in range(60)] + [(0.5, 0.5, 90.0)] * 7,
     }
     df = spark.createDataFrame([(g, *p) for g, ps in groups.items() for p in ps], "g string, x double, y double, h double")
-    for block in (512, 10):
+    for block in (256, 10):
         old, pairwise.BLOCK = pairwise.BLOCK, block
         scores = {(r["g"], r["x"], r["y"], r["h"]): (r["diversity"], r["balance"]) for r in pairwise.image_spread_scores(df, "g", "x", "y", "h").collect()}
         pairwise.BLOCK = old

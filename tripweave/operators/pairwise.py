@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tripweave.operators.lookup import with_group_stats
 from tripweave.session import cut_lineage
 
-BLOCK = 512
+BLOCK = 256
 PARTIAL = (
     "grp string, pid long, spatial double, spatial_max double, angular double, angular_max double, kernel double"
 )
@@ -50,7 +50,7 @@ def _block_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.concat(out, ignore_index=True)
 
 
-def group_pair_sums(df: DataFrame, group: str, x: str, y: str, heading: str, block: int = BLOCK) -> DataFrame:
+def group_pair_sums(df: DataFrame, group: str, x: str, y: str, heading: str, block: int | None = None) -> DataFrame:
     """Distinct points of each group with their sums over the whole group.
 
     Columns: group, x, y, heading, ``members`` (rows at this point), ``n`` (rows in the
@@ -58,6 +58,7 @@ def group_pair_sums(df: DataFrame, group: str, x: str, y: str, heading: str, blo
     their maxima, and ``density`` (Gaussian kernel density with Scott's factor and the
     group's own covariance; NULL when that is singular).
     """
+    block = block or BLOCK
     valid = F.when(F.col(heading) >= 0, F.col(heading).cast("double"))
     points = (
         df.groupBy(

@@ -83,24 +83,30 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         position = F.lit(float(p)) * (F.col("_all") - 1)
         low = F.floor(position)
         ranks += [
-            F.struct(F.lit(name).alias("name"), (1 - (position - low)).alias("share"), low.alias("rank")),
-            F.struct(F.lit(name).alias("name"), (position - low).alias("share"), (low + 1).alias("rank")),
+            F.struct(F.lit(f"{name}<").alias("side"), F.lit(1.0).alias("part"), low.alias("rank")),
+            F.struct(F.lit(f"{name}>").alias("side"), (position - low).alias("part"), (low + 1).alias("rank")),
         ]
     wanted = placed.select(*keys, "_range", "_before", "_c", F.inline(F.array(*ranks))).select(
-        *keys, "_range", "name", "share", (F.col("rank") - F.col("_before")).alias("_at"), "_c"
-    ).filter((F.col("_at") >= 0) & (F.col("_at") < F.col("_c")) & (F.col("share") > 0)).drop("_c")
+        *keys, "_range", "side", "part", (F.col("rank") - F.col("_before")).alias("_at"), "_c"
+    ).filter((F.col("_at") >= 0) & (F.col("_at") < F.col("_c")) & (F.col("part") > 0)).drop("_c")
     # a few ranks per group and range
-    spots = cut_lineage(wanted.groupBy(*keys, "_range").agg(F.collect_list(F.struct("name", "share", "_at")).alias("_spots")))
+    spots = cut_lineage(wanted.groupBy(*keys, "_range").agg(F.collect_list(F.struct("side", "part", "_at")).alias("_spots")))
     near = base.join(spots.select(*keys, "_range"), [*keys, "_range"], "left_semi")
     counted = near.groupBy(*keys, "_range", "_v").agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ran = counted.withColumn("_upto", F.sum("_n").over(inside)).join(spots, [*keys, "_range"])
     mine = F.filter("_spots", lambda w: (w["_at"] < F.col("_upto")) & (w["_at"] >= F.col("_upto") - F.col("_n")))
     hits = ran.select(*keys, "_v", F.inline(mine))
-    return hits.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("name") == n, F.col("_v") * F.col("share"))).alias(n) for n in probs]
+    found = hits.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("side") == f"{n}{s}", F.struct("_v", "part"))).alias(f"{n}{s}") for n in probs for s in "<>"]
     )
 
+    def between(n: str):
+        low, high = F.col(f"`{n}<`._v"), F.col(f"`{n}>`")
+        return F.coalesce(low + (high["_v"] - low) * high["part"], low).alias(n)
+
+    return found.select(*keys, *[between(n) for n in probs])
+
 
 def average_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
     """Add the average rank (ties share it) of ``value`` over ``keys``; NULL for NULL."""

@@ -304,7 +304,7 @@ def prediction_metrics(spark, d):
 
 @query("M23 F39", """
 WITH v AS (SELECT l_returnflag || l_linestatus AS param, (l_extendedprice - 20000 - l_quantity * 1000) / 1000 AS value FROM lineitem)
-SELECT param, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(avg((value > 0)::INTEGER), 6) AS p_positive, round(quantile_cont(value, 0.03), 6) AS hdi_3, round(quantile_cont(value, 0.97), 6) AS hdi_97,
+SELECT param, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(avg((value > 0)::INTEGER), 6) AS p_positive, round(quantile_cont(value, 0.03), 4) AS hdi_3, round(quantile_cont(value, 0.97), 4) AS hdi_97,
   CASE WHEN avg((value > 0)::INTEGER) > 0.9 THEN 'positive' WHEN avg((value > 0)::INTEGER) < 0.1 THEN 'negative' ELSE 'uncertain' END AS verdict, quantile_cont(value, 0.03) > 0 OR quantile_cont(value, 0.97) < 0 AS significant
 FROM v GROUP BY 1
 """)
@@ -312,7 +312,7 @@ def draws_table(spark, d):
     value = (F.col("l_extendedprice") - 20000 - F.col("l_quantity") * 1000) / 1000
     draws = table(spark, d, "lineitem", F.concat("l_returnflag", "l_linestatus").alias("param"), value.alias("value"))
     out = posterior.draws_summary(draws)
-    return out.select("param", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "p_positive", "hdi_3", "hdi_97")], "verdict", "significant")
+    return out.select("param", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "p_positive")], F.round("hdi_3", 4).alias("hdi_3"), F.round("hdi_97", 4).alias("hdi_97"), "verdict", "significant")
 
 
 @query("M25", """
