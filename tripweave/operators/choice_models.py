@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tripweave import constants as K
 from tripweave.functions.numeric import significance
 from tripweave.operators.tails import chi2_upper, normal_two_sided
+from tripweave.session import cut_lineage
 
 SUM_SCHEMA = "slot int, value double"
 
@@ -72,6 +73,11 @@ def _distributed_sums(df: DataFrame, parts: Callable[[dict[str, np.ndarray]], np
     return out
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Write the fit's rows once, in splits sized by bytes, and keep them in memory while it runs."""
+    return cut_lineage(df).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _dense(column: pa.Array) -> np.ndarray:
     """An Arrow column as a vector, or a list column of equal lengths as a matrix."""
     if pa.types.is_list(column.type):
@@ -151,7 +157,7 @@ def _logit_parts(beta: np.ndarray, n_alts: int) -> Callable[[dict[str, np.ndarra
 def fit_logit(arrays: DataFrame, names: Sequence[str], n_alts: int) -> Fit:
     """Conditional logit by Newton steps from zero."""
     k = len(names)
-    data = arrays.select("x", "pos").persist(StorageLevel.MEMORY_AND_DISK)
+    data = _stored(arrays.select("x", "pos"))
     try:
         def evaluate(beta):
             return _unpack(_distributed_sums(data, _logit_parts(beta, n_alts), 1 + k + k * k), k)
@@ -277,7 +283,7 @@ def fit_counts(rows: DataFrame, features: Sequence[str], priors: Mapping[str, tu
     """Negative-binomial log-linear MAP fit with offset. The last parameter is ``log_phi``."""
     names = [*features, "log_phi"]
     k = len(names)
-    data = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    data = _stored(rows)
     add = _with_priors(names, priors, k - 1)
     try:
         def evaluate(theta):
@@ -298,8 +304,8 @@ def fit_joint(arrays: DataFrame | None, choice_names: Sequence[str], n_alts: int
     where_choice = [names.index(n) for n in choice_names]
     where_count = [names.index(n) for n in [*features, "log_phi"]]
     k, kc, kn = len(names), len(choice_names), len(features) + 1
-    choice = arrays.select("x", "pos").persist(StorageLevel.MEMORY_AND_DISK) if arrays is not None else None
-    counts = rows.persist(StorageLevel.MEMORY_AND_DISK) if rows is not None else None
+    choice = _stored(arrays.select("x", "pos")) if arrays is not None else None
+    counts = _stored(rows) if rows is not None else None
     add = _with_priors(names, priors, names.index("log_phi"))
 
     def evaluate(theta):
