@@ -81,7 +81,7 @@ def pivot_level(baseline: Column, level: Column, deltas: Mapping[int, float]) ->
 
 
 def level_dummies(level: Column) -> dict[str, Column]:
-    """Two 0/1 columns from a 0/1/2 size scale; unknown counts as the reference."""
+    """Two 0/1 columns from a 0/1/2 size scale; unknown counts as small."""
     return {
         "D_med": F.when(level.cast("int") == 1, 1).otherwise(0),
         "D_lrg": F.when(level.cast("int") == 2, 1).otherwise(0),
