@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import mixing, ring_sharding, simhash, url_filters
-from tripweave.llm.common import table
+from tripweave.llm import decontamination, mixing, quality_trees, ring_sharding, simhash, url_filters
+from tripweave.llm.common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, labels)
 
 
+@query()
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 MIX_SQL = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as k from documents),
@@ -66,3 +71,17 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring_sharding.assign(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_trees.Trees:
+    """Trees fitted on labels of documents whose CRC-32 of the id is not divisible by 5."""
+    learn = crc32_of_id(F.col("doc_id")) % 5 != 0
+    return quality_trees.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
+
+
+@query()
+def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = quality_trees.scorer(quality_model(spark, sf_dir))
+    held_out = F.coalesce(crc32_of_id(F.col("doc_id")) % 5 == 0, F.lit(False))
+    scored = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality_trees.THRESHOLD).cast("int"))

@@ -115,7 +115,7 @@ def sql(rules: Sequence[tuple[str, str]] = RULES, depth: int = DEPTH, min_share:
     """The same in SQL, over tables ``pages`` and ``labels`` (doc_id, quality): a page shows the
     document numbered in its path, and quality 0 is bad."""
     cases = "\n".join(
-        f"when (host = '{r.partition('/')[0]}' or host like '%.{r.partition('/')[0]}') and starts_with(path, '/{r.partition('/')[2]}') then '{r}'"
+        f"when (r.host = '{r.partition('/')[0]}' or r.host like '%.{r.partition('/')[0]}') and starts_with(path, '/{r.partition('/')[2]}') then '{r}'"
         for _, r in sorted(rules, key=lambda r: (-len(r[1]), r[1]))
     )
     verdicts = "\n".join(f"when rule = '{r}' then '{v}'" for v, r in rules)
@@ -143,6 +143,6 @@ w0 as (select host, segments, count(*) n, count(bad) labelled, coalesce(sum(bad)
 shaped as (select host, segments, labelled, bad, case when len(segments) > {depth} then template || '/**' else template end template from w{depth}),
 totals as (select host, template, sum(labelled) labelled, sum(bad) bad from shaped group by all),
 verdicts as (select host, template, (bad + {prior_weight!r}::double * coalesce((select sum(bad)::double / sum(labelled)::double from totals), 0)) / (labelled + {prior_weight!r}::double) >= {reject_at!r}::double reject from totals),
-o as (select page_id, r.host, path, case {cases} end as rule, s.template, reject
+o as (select page_id, r.host as host, path, case {cases} end as rule, s.template, reject
   from r join shaped s on r.host = s.host and r.segments = s.segments join verdicts v on v.host = s.host and v.template = s.template)
 select page_id, host, path, rule, template, case {verdicts} when reject then 'block' else 'allow' end as verdict from o"""
