@@ -5,13 +5,13 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,12 +239,15 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def drop_leaking(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, columns as they came."""
     for index in indexes(items):
+        docs = docs.filter(_clean(index)(docs["text"]))
+    return docs
 
-        @F.pandas_udf(T.BooleanType())
-        def clean(texts: pd.Series, index: Index = index) -> pd.Series:
-            out = np.ones(len(texts), bool)
-            out[[row for row, *_ in index.leaks(texts.tolist())]] = False
-            return pd.Series(out)
 
-        docs = docs.filter(clean(docs["text"]))
-    return docs
+def _clean(index: Index) -> Callable[[Column], Column]:
+    @F.pandas_udf(T.BooleanType())
+    def clean(texts: pd.Series) -> pd.Series:
+        out = np.ones(len(texts), bool)
+        out[[row for row, *_ in index.leaks(texts.tolist())]] = False
+        return pd.Series(out)
+
+    return clean

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import decontamination, mixing, quality_trees, ring_sharding, simhash, url_filters
+from tripweave.llm import decontamination, edit_embedding, mixing, quality_trees, ring_sharding, simhash, url_filters
 from tripweave.llm.common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc32_of_id(F.col("doc_id")) % 5 == 0, F.lit(False))
     scored = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= quality_trees.THRESHOLD).cast("int"))
+
+
+@query()
+def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.edit_table(table(spark, sf_dir, "documents"))
