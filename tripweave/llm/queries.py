@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import decontamination, edit_embedding, mixing, quality_trees, ring_sharding, simhash, suffix_dedup, url_filters
+from tripweave.llm import decontamination, edit_embedding, language_crf, mixing, quality_trees, ring_sharding, simhash, suffix_dedup, token_counts, url_filters
 from tripweave.llm.common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.tokens_by_section(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = crc32_of_id(F.col("doc_id")) % 4
+    model = language_crf.fit(docs, rest != 2)
+    return language_crf.predict(docs, model, [F.coalesce(rest == 2, F.lit(False)).alias("held_out")])
+
+
 MIX_SQL = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as k from documents),
