@@ -58,9 +58,9 @@ def _tree(paths: DataFrame, depth: int, min_share: float, merge_z: float) -> Dat
         parents = children.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
         both = children.join(parents, ["host", "template"])
         rest_n, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        pooled = F.col("all_bad") / F.col("all_labelled")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_n))
-        gap = F.abs(F.col("bad") / F.col("labelled") - rest_bad / rest_n)
+        pooled = F.try_divide("all_bad", "all_labelled")
+        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "labelled") + F.try_divide(F.lit(1), rest_n)))
+        gap = F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest_n))
         differs = (F.col("labelled") > 0) & (rest_n > 0) & (error > 0) & (gap >= F.lit(merge_z) * error)
         kept = both.filter((F.col("n") >= F.lit(min_share) * F.col("all_n")) & differs)
         kept = kept.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("segment").alias("_s"))
@@ -100,7 +100,7 @@ def judge(
     )
     shaped = _tree(paths, depth, min_share, merge_z)
     totals = shaped.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    overall = totals.agg((F.sum("bad") / F.sum("labelled")).alias("prior"))
+    overall = totals.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("prior"))
     purity = (F.col("bad") + F.lit(prior_weight) * F.coalesce("prior", F.lit(0.0))) / (F.col("labelled") + F.lit(prior_weight))
     verdicts = totals.join(F.broadcast(overall)).select("host", "template", (purity >= F.lit(reject_at)).alias("_reject"))
     judged = shaped.select("host", "segments", "template").join(verdicts, ["host", "template"])
