@@ -63,7 +63,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     folder, so lineage stays short.
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    links = cut_lineage(links)
+    links = cut_lineage(links, compact=True)
     mark = None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -75,7 +75,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-        links = cut_lineage(small.filter("u <> v").distinct())
+        links = cut_lineage(small.filter("u <> v").distinct(), compact=True)
         row = links.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()

@@ -53,12 +53,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compact: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For tables used more than once, and for loops: a lost executor then costs a re-read, and
-    the optimizer sees the true size, prunes columns and may broadcast.
+    the optimizer sees the true size, prunes columns and may broadcast. ``compact`` is for tables
+    far smaller than their inputs: at most three files a core, however many partitions made them.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    (df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism) if compact else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
