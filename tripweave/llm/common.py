@@ -19,9 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, safe against lost executors."""
-    return cut_lineage(df)
+def stored(df: DataFrame, compact: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, safe against lost executors.
+    ``compact`` keeps the number of files down, for tables far smaller than the corpus."""
+    return cut_lineage(df, compact)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -54,7 +55,7 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     """
     names = list(group)
     ranks = [F.col(g).asc_nulls_last() for g in names] + list(order)
-    ranged = stored(df.repartitionByRange(n_parts(df.sparkSession), *ranks).withColumn("_range", F.spark_partition_id()))
+    ranged = stored(df.repartitionByRange(n_parts(df.sparkSession), *ranks).withColumn("_range", F.spark_partition_id()), compact=True)
     sums = ranged.groupBy("_range", *names).agg(F.sum(value).alias("_sum"))
     earlier = W.partitionBy(*names).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(

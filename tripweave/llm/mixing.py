@@ -30,7 +30,7 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
     ranked = ranked.withColumn("ratio", F.col("limit") / F.col("weight"))
     order = [F.col("ratio"), F.col("place")]
     full = running_totals(ranked, [], order, "limit", "limits_before")
-    full = stored(running_totals(full, [], order, "weight", "weights_before"))
+    full = stored(running_totals(full, [], order, "weight", "weights_before"), compact=True)
     total = full.agg((F.sum("source_size") * F.lit(float(share))).alias("all_words"), F.sum("weight").alias("all_weights"))
     tried = full.join(F.broadcast(total)).withColumn(
         "level", (F.col("all_words") - F.col("limits_before")) / (F.col("all_weights") - F.col("weights_before"))
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     rows = stored(rows.withColumn("_key", random_key(F.col("doc_id"))))
-    aims = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
+    aims = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), compact=True)
     placed = running_totals(rows, ["source"], [F.col("_key"), F.col("doc_id"), F.col("size")], "size", "_before")
     aims = aims.select(F.col("source").alias("_source"), "source_size", "target")
     # as many rows as there are sources; left to the optimizer, which splits a hot source

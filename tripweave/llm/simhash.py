@@ -98,7 +98,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, bu
         starts.append(F.struct(F.lit(s).alias("start"), F.expr(f"{_rotated('fp', str(cuts[s]))} & {(1 << width) - 1}L").alias("chain")))
     keyed = fps.select("fp", F.explode(F.array(*starts)).alias("k")).select("fp", "k.start", "k.chain")
     sizes = keyed.groupBy("start", "chain").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = stored(keyed.join(sizes, ["start", "chain"]))
+    met = stored(keyed.join(sizes, ["start", "chain"]), compact=True)
     lists = met.filter(F.col("n") <= bucket).groupBy("start", "chain").agg(F.collect_list("fp").alias("fps"))
     pairs = lists.select("start", F.explode("fps").alias("a"), "fps").select(
         "start", "a", F.explode(F.filter("fps", lambda x: x > F.col("a"))).alias("b")
@@ -123,10 +123,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = S
     null. Repeated rows stay repeated. Extra columns are ignored. An empty table gives an empty one.
     """
     rows = stored(with_fingerprints(docs))
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), compact=True)
     parts = components(links(fps.select("fp"), distance, segments, bucket))
     named = fps.join(parts, fps["fp"] == parts["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    named = stored(named)
+    named = stored(named, compact=True)
     roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     groups = named.join(roots, "root").select("fp", "component_id")
     return rows.join(groups, "fp").select("doc_id", "fp", "component_id")

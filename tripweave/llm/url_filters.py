@@ -69,7 +69,7 @@ def _tree(paths: DataFrame, depth: int, min_share: float, merge_z: float) -> Dat
         )
         grown = F.concat("template", F.lit("/"), F.coalesce("_s", F.lit("*")))
         work = joined.withColumn("template", F.when(F.col("_seg").isNull(), F.col("template")).otherwise(grown)).drop("_seg", "_h", "_t", "_s")
-        work = stored(work)
+        work = stored(work, compact=True)
     deeper = F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
     return work.withColumn("template", deeper)
 
