@@ -26,7 +26,7 @@ DEPTH = 50
 COVER, RESIDUES = 21, (3, 6, 7, 12, 14)
 SHORT = DEPTH - COVER + 1
 #: Bytes of text of one block, and of the text whose names fall in one bucket.
-BLOCK_BYTES, BUCKET_BYTES = 4_000_000, 16_000_000
+BLOCK_BYTES, BUCKET_BYTES = 2_000_000, 8_000_000
 NO_ID = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -288,7 +288,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     sized = stored(raw.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha")))
     first = sized.filter(F.col("n_bytes") >= DEPTH).groupBy("md5", "n_bytes").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     marked = sized.join(first.drop("n"), ["md5", "n_bytes"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
-    marked = stored(marked.select("doc_id", "n_bytes", "md5", "sha", "copy"))
+    marked = stored(marked.select("doc_id", "n_bytes", "md5", "sha", "copy"), compact=True)
     total = marked.filter(~F.col("copy") & (F.col("n_bytes") >= DEPTH)).agg(F.sum("n_bytes")).first()[0] or 0
     bits = _bits(total)
     blocks = stored(_blocks(raw, marked, total, block_bytes))
@@ -310,10 +310,10 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
                 gone |= _flags(values, bits, ties)[index]
             yield _removed(block, at[gone])
 
-    covers = stored(_answered(_ranked(blocks.mapInArrow(cover_names, PAYLOAD), NARROW, "any"), "cover"))
+    covers = stored(_answered(_ranked(blocks.mapInArrow(cover_names, PAYLOAD), NARROW, "any"), "cover"), compact=True)
     free_shuffles(spark)
     known = blocks.join(covers, "block", "left").select("block", "ids", "lengths", "data", "cover")
-    ties = stored(_answered(_ranked(known.mapInArrow(tie_names, PAYLOAD), WIDE, "earlier"), "ties"))
+    ties = stored(_answered(_ranked(known.mapInArrow(tie_names, PAYLOAD), WIDE, "earlier"), "ties"), compact=True)
     free_shuffles(spark)
     judged = known.join(ties, "block", "left").select("block", "ids", "lengths", "data", "cover", "ties").mapInArrow(results, RESULT)
     nothing = F.array().cast("array<struct<start: long, end: long>>")
