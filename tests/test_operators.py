@@ -117,7 +117,7 @@ def test_last_state_decides(spark):
 
 def test_probe_all_slices_give_the_same_pairs(spark):
     left, probes = spark.range(20).withColumnRenamed("id", "a"), spark.range(50).withColumnRenamed("id", "b")
-    assert sorted(rows(lookup.probe_all(left, probes))) == sorted(rows(lookup.probe_all(left, probes, max_probes=3)))
+    assert sorted(rows(lookup.probe_all(left, probes))) == sorted(rows(lookup.probe_all(left, probes, slices=3))) == sorted(rows(left.crossJoin(probes)))
 
 
 def test_weighted_moments_skip_nulls(spark):

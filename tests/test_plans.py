@@ -53,7 +53,10 @@ def test_flow_plan_matches_numpy(spark):
     assert sum(r["mu_j"] for r in got.values()) == pytest.approx(count[keep].sum())
     assert all(r["count"] == 0 for r in out["invariants"].collect())
     assert out["long"].count() == n_o * len(keep)
-    assert out["quality"].count() == 5
+    assert {r["check"] for r in out["quality"].collect()} == {
+        "rating_count_zero", "rating_count_sparse", "rating_count_high_outlier", "eligible_pois_pt_coverage", "outside_option_coverage",
+        "pca_car_gtc_collinearity", "prior_validity_spearman_rho",
+    }
 
 
 def test_sample_repeats_and_is_bounded(spark):

@@ -161,7 +161,7 @@ def test_counts_recover_coefficients(spark, counts):
     assert np.abs(fit.gradient).max() < 1e-3
     se = np.sqrt(np.diag(fit.covariance))
     assert (np.abs(fit.beta - np.array([0.4, -0.3, math.log(2.5)])) < 4 * se + 0.02).all()
-    back = cm.priors_from(cm.prior_table(spark, fit, "x"))
+    back = cm.priors_from(cm.prior_table(spark, fit, "x"), fit.names)
     assert back["z"] == pytest.approx((fit.beta[1], se[1]))
     predicted = cm.expected_counts(spark.createDataFrame(counts), fit, "base", ["beta_med", "z"], "p")
     assert cm.fit_metrics(predicted, "n", "p").first()["r"] > 0.3

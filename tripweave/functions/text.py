@@ -44,10 +44,18 @@ def parse_latlon(c: Column) -> Column:
     )
 
 
-def surrogate_key(prefix: str, *cols: Column) -> Column:
-    """Repeatable ``PREFIX_`` + 8 hex digits from the identifying columns."""
-    digest = F.sha2(F.concat_ws("|", *cols), 256)
-    return F.concat(F.lit(f"{prefix}_"), F.substring(digest, 1, 8))
+def surrogate_key(prefix: str, *cols: Column, digits: int = 64) -> Column:
+    """Repeatable ``PREFIX_`` + SHA-256 of the identifying columns, in ``digits`` hex digits.
+
+    Parts are marked ``=`` (NULL: ``~``) and joined by bars, with bars and backslashes inside
+    escaped, so different values never make the same text. Fewer digits can collide.
+    """
+    def part(c: Column) -> Column:
+        plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.coalesce(F.concat(F.lit("="), plain), F.lit("~"))
+
+    digest = F.sha2(F.concat_ws("|", *[part(c) for c in cols]), 256)
+    return F.concat(F.lit(f"{prefix}_"), F.substring(digest, 1, digits))
 
 
 def padded_id(prefix: str, n: Column, width: int = 7) -> Column:

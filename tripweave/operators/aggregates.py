@@ -31,16 +31,18 @@ def metric_rows(df: DataFrame, metrics: Mapping[str, Column], label: str = "cate
 
 
 def status_report(df: DataFrame, status: str, known: Mapping[str, str], patterns: Mapping[str, str],
-                  other_prefix: str) -> DataFrame:
-    """Counts of known statuses, of status patterns, and one row per remaining status."""
+                  other_prefix: str, missing: str = "(none)") -> DataFrame:
+    """Counts of known statuses, of status patterns, and one row per remaining status, a NULL
+    one included (shown as ``missing``)."""
     metrics = {"Total Records": F.count(F.lit(1))}
     metrics |= {label: F.count_if(F.col(status) == s) for label, s in known.items()}
     metrics |= {label: F.count_if(F.col(status).contains(p)) for label, p in patterns.items()}
-    rest = df.filter(~F.col(status).isin(list(known.values())))
+    shown = F.coalesce(F.col(status), F.lit(missing))
+    rest = df.filter(~shown.isin(list(known.values())))
     for p in patterns.values():
-        rest = rest.filter(~F.col(status).contains(p))
-    others = rest.groupBy(status).agg(F.count(F.lit(1)).alias("count"))
-    others = others.select(F.concat(F.lit(other_prefix), F.col(status)).alias("category"), "count")
+        rest = rest.filter(~shown.contains(p))
+    others = rest.groupBy(shown.alias("_shown")).agg(F.count(F.lit(1)).alias("count"))
+    others = others.select(F.concat(F.lit(other_prefix), F.col("_shown")).alias("category"), "count")
     return metric_rows(df, metrics).unionByName(others)
 
 

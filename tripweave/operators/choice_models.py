@@ -339,12 +339,12 @@ def prior_table(spark, fit: Fit, source: str) -> DataFrame:
     return spark.createDataFrame(rows, "parameter string, prior_mu double, prior_sigma double, source string")
 
 
-def priors_from(table: DataFrame, max_rows: int = 10_000) -> dict[str, tuple[float, float]]:
-    """Read a prior table back; it holds one row per parameter."""
-    rows = table.select("parameter", "prior_mu", "prior_sigma").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError("a prior table holds one row per parameter")
-    return {r[0]: (r[1], r[2]) for r in rows if r[2] and r[2] > 0}
+def priors_from(table: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Priors of the parameters ``names`` from a prior table. Only their rows are read, one value
+    each (the narrowest prior where a parameter has several)."""
+    known = table.filter(F.col("parameter").isin(list(names)) & (F.col("prior_sigma") > 0))
+    rows = known.groupBy("parameter").agg(F.min_by(F.struct("prior_mu", "prior_sigma"), F.struct("prior_sigma", "prior_mu")).alias("p")).collect()
+    return {r["parameter"]: (r["p"]["prior_mu"], r["p"]["prior_sigma"]) for r in rows}
 
 
 def expected_counts(df: DataFrame, fit: Fit, base: str, features: Sequence[str], out: str) -> DataFrame:

@@ -45,13 +45,8 @@ def rename_map(df: DataFrame, mapping: Mapping[str, str], first: str | None = No
 
 def fill_with_median(df: DataFrame, *cols: str) -> DataFrame:
     """Replace NULLs by the column's exact median (a one-row side joined to every row)."""
-    from tripweave.operators.quantiles import exact_quantiles
-
-    for c in cols:
-        median = exact_quantiles(df, [], c, {"_median": 0.5}).select("_median")
-        df = (
-            df.crossJoin(F.broadcast(median))
-            .withColumn(c, F.coalesce(F.col(c), F.col("_median")))
-            .drop("_median")
-        )
-    return df
+    from tripweave.operators.quantiles import column_quantiles
+
+    medians = column_quantiles(df, cols, {"2": 0.5})
+    filled = df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c), F.col(f"_q2_{c}")) for c in cols})
+    return filled.drop(*[f"_q2_{c}" for c in cols])

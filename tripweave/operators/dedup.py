@@ -134,9 +134,14 @@ def cluster_points(df: DataFrame, group: Sequence[str], x: str, y: str, eps: str
         )
         rows = open_pairs.join(sized, F.col(own) == F.col("_cell")).filter(near)
         packed = rows.groupBy("a", "b", "eps", "_b").agg(F.collect_list(F.struct("_x", "_y")).alias("_p"))
-        return packed.select("a", "b", "eps", F.col("_p._x").alias(names[0]), F.col("_p._y").alias(names[1]))
-
-    pair_blocks = side_blocks("a", "b", "ax", "ay").join(side_blocks("b", "a", "bx", "by").drop("eps"), ["a", "b"])
+        return packed.select("a", "b", "eps", "_b", F.col("_p._x").alias(names[0]), F.col("_p._y").alias(names[1]))
+
+    # each block of ``a`` goes to every block of ``b``: the key names that block, so a dense pair of
+    # cells becomes many even tasks
+    targets = cells.select(F.col("_cell").alias("b"), F.ceil(F.col("n_points") / BLOCK).cast("int").alias("_blocks"))
+    sent = side_blocks("a", "b", "ax", "ay").drop("_b").join(targets, "b")
+    sent = sent.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    pair_blocks = sent.join(side_blocks("b", "a", "bx", "by").drop("eps"), ["a", "b", "_b"])
     touching = pair_blocks.mapInPandas(_blocks_touch, "a string, b string, linked boolean").filter("linked").select("a", "b").distinct()
     labels = components(edges.unionByName(touching))
     return (

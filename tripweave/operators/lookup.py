@@ -7,14 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_SIDE_ROWS = 100_000
-
 
 def literal_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A lookup written in code as a table; its size is known, so it is hinted for broadcast."""
-    if len(rows) > SMALL_SIDE_ROWS:
-        raise ValueError("too many rows for a literal lookup")
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    """A lookup written in code as a table; the optimizer knows its size and picks the join."""
+    return spark.createDataFrame(list(rows), schema)
 
 
 def left_lookup(df: DataFrame, other: DataFrame, on: Mapping[str, str], take: Sequence[str]) -> DataFrame:
@@ -77,17 +73,14 @@ def still_incomplete(work: DataFrame, done: DataFrame, key: str, required: Seque
     return drop_listed(work, done.dropna(subset=list(required)), [key])
 
 
-def probe_all(df: DataFrame, probes: DataFrame, max_probes: int = SMALL_SIDE_ROWS) -> DataFrame:
+def probe_all(df: DataFrame, probes: DataFrame, slices: int | None = None) -> DataFrame:
     """Every row with every probe: an origins x destinations table.
 
-    The probe side is counted first and broadcast only below the bound; beyond it the
-    probes are cut into hashed slices and each row is sent to every slice, so both sides
-    stay partitioned.
+    The probes are cut into hashed slices (four a core by default) and each row is sent to
+    every slice, so both sides stay partitioned at any size; the optimizer broadcasts
+    the probes instead when its own limit allows.
     """
-    n = probes.limit(max_probes + 1).count()
-    if n <= max_probes:
-        return df.crossJoin(F.broadcast(probes))
-    slices = df.sparkSession.sparkContext.defaultParallelism * 4
+    slices = slices or df.sparkSession.sparkContext.defaultParallelism * 4
     right = probes.withColumn("_slice", F.pmod(F.xxhash64(*probes.columns), F.lit(slices)).cast("int"))
     left = df.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return left.join(right, "_slice").drop("_slice")

@@ -7,6 +7,7 @@ spread over the ranges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -14,31 +15,46 @@ from pyspark.sql import functions as F
 
 from tripweave.session import cut_lineage
 
-RANGES = 64
-SKETCH_ACCURACY = 1000
+#: A range holds about RANGE_ROWS rows, within these numbers of ranges.
+RANGE_ROWS, FEWEST_RANGES, MOST_RANGES = 250_000, 16, 1024
 
 
-def _cuts(df: DataFrame, value: str, ranges: int) -> list[float]:
-    """Approximate range borders (at most ``ranges`` numbers). They only balance work."""
-    probs = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, SKETCH_ACCURACY).alias("c")).first()
-    return sorted(set(row["c"] or []))
+def _cuts(df: DataFrame, value: str, ranges: int | None) -> list[float]:
+    """Approximate range borders, as many as the rows ask for. They only balance work, so borders
+    at infinity are left out: infinite values fall into the outer ranges."""
+    fine = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    sketch = F.percentile_approx(F.col(value).cast("double"), fine, 4 * MOST_RANGES).alias("c")
+    row = df.agg(sketch, F.count(value).alias("n")).first()
+    wanted = ranges or min(MOST_RANGES, max(FEWEST_RANGES, row["n"] // RANGE_ROWS))
+    found = row["c"] or []
+    picked = {found[round(i * len(found) / wanted)] for i in range(1, wanted) if round(i * len(found) / wanted) < len(found)}
+    return sorted(c for c in picked if math.isfinite(c))
 
 
 def _range_of(value: str, cuts: Sequence[float]):
-    """Index of the range holding a column's value: a balanced CASE tree, log2(n) comparisons."""
+    """Index of the range holding a column's value. Up to 64 borders: a balanced CASE tree. More:
+    the tree picks one of 32 slices of the borders, and the borders of that slice are counted."""
 
-    def branch(low: int, high: int) -> str:
+    def tree(low: int, high: int, borders: Sequence[float], leaf) -> str:
         if low == high:
-            return str(low)
+            return leaf(low)
         mid = (low + high) // 2
-        return f"CASE WHEN `{value}` < {float(cuts[mid])!r}D THEN {branch(low, mid)} ELSE {branch(mid + 1, high)} END"
+        return f"CASE WHEN `{value}` < {float(borders[mid])!r}D THEN {tree(low, mid, borders, leaf)} ELSE {tree(mid + 1, high, borders, leaf)} END"
 
-    return F.expr(branch(0, len(cuts)))
+    if len(cuts) <= 64:
+        return F.expr(tree(0, len(cuts), cuts, str))
+    size = -(-len(cuts) // 32)
+    slices = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+
+    def counted(k: int) -> str:
+        inner = ", ".join(f"{float(c)!r}D" for c in slices[k])
+        return f"{k * size} + size(filter(array({inner}), b -> b <= `{value}`))"
+
+    return F.expr(tree(0, len(slices) - 1, [s[0] for s in slices[1:]], counted))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: str, amount: str, out: str,
-                  ranges: int = RANGES) -> DataFrame:
+                  ranges: int | None = None) -> DataFrame:
     """Add ``out``: running sum of ``amount`` by rising ``order`` within ``keys``, own row
     included, and ``out_total``: the sum over the group.
 
@@ -64,7 +80,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, amount: str, o
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: Mapping[str, float], ranges: int = RANGES) -> DataFrame:
+                    probs: Mapping[str, float], ranges: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group: one row per ``keys``, one column per name.
 
     Equal to ``percentile`` on the same rows, NULLs and NULL keys skipped; a group may hold
@@ -108,7 +124,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     return found.select(*keys, *[between(n) for n in probs])
 
 
-def average_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of several columns in one run: one row, columns ``_q<name>_<column>``."""
+    long = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "_column", "_value").dropna())
+    found = exact_quantiles(long, ["_column"], "_value", probs)
+    return found.agg(*[F.max(F.when(F.col("_column") == c, F.col(n))).alias(f"_q{n}_{c}") for c in cols for n in probs])
+
+
+def average_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Add the average rank (ties share it) of ``value`` over ``keys``; NULL for NULL."""
     keys = list(keys)
     counted = (

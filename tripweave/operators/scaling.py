@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.operators.lookup import with_group_stats
-from tripweave.operators.quantiles import exact_quantiles
+from tripweave.operators.quantiles import column_quantiles, exact_quantiles
 
 
 def min_max(df: DataFrame, value: str, out: str, keys: Sequence[str] = (), constant: float = 0.5) -> DataFrame:
@@ -20,6 +20,17 @@ def min_max(df: DataFrame, value: str, out: str, keys: Sequence[str] = (), const
     ).drop("_lo", "_hi")
 
 
+def min_max_many(df: DataFrame, cols: Mapping[str, str], constant: float = 0.5) -> DataFrame:
+    """Scale several whole columns (value -> new name) to [0, 1] from one aggregate."""
+    bounds = df.agg(*[f(c).alias(f"_{p}_{c}") for c in cols for p, f in (("lo", F.min), ("hi", F.max))])
+    joined = df.crossJoin(F.broadcast(bounds))
+    for c, out in cols.items():
+        low, high = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        scaled = F.when(F.col(c).isNull(), None).when(high == low, float(constant)).otherwise(F.try_divide(F.col(c) - low, high - low))
+        joined = joined.withColumn(out, scaled)
+    return joined.drop(*[f"_{p}_{c}" for c in cols for p in ("lo", "hi")])
+
+
 def z_scores(df: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataFrame:
     """Standardise with the population sd over rows complete in all ``cols``.
 
@@ -44,3 +55,13 @@ def robust_z(df: DataFrame, value: str, out: str) -> DataFrame:
     spread = F.col("_q3") - F.col("_q1")
     z = F.when(spread == 0, 0.0).otherwise(F.try_divide(F.col(value) - F.col("_q2"), spread))
     return df.crossJoin(F.broadcast(q)).withColumn(out, z).drop("_q1", "_q2", "_q3")
+
+
+def robust_z_many(df: DataFrame, cols: Mapping[str, str]) -> DataFrame:
+    """``robust_z`` of several columns (value -> new name): all quantiles from one unpivoted table."""
+    q = column_quantiles(df, list(cols), {"1": 0.25, "2": 0.5, "3": 0.75})
+    joined = df.crossJoin(F.broadcast(q))
+    for c, out in cols.items():
+        low, middle, high = (F.col(f"_q{i}_{c}") for i in "123")
+        joined = joined.withColumn(out, F.when(high == low, 0.0).otherwise(F.try_divide(F.col(c) - middle, high - low)))
+    return joined.drop(*[f"_q{i}_{c}" for c in cols for i in "123"])

@@ -25,6 +25,8 @@ from tripweave.operators.profiling import count_flags
 from tripweave.operators.quantiles import exact_quantiles
 from tripweave.session import cut_lineage
 
+HIGH_SHARE = 0.99
+# --- fixed values: input columns ---
 ORIGIN_COLUMNS = ["origin_id", "subzone_name", "planning_area", "pop_total", "avg_hh_size", "Mean_Monthly_Income",
                   "PCA_Car_Proxy_01", "cbd_flag", "central_area_flag"]
 SCORES = ["vibrancy_robust_z", "pleasantness_robust_z", "walkability_robust_z", "safety_robust_z", "experiential_robust_z"]
@@ -207,8 +209,11 @@ def invariants(od: DataFrame, dest: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def quality_log(dest: DataFrame, od: DataFrame) -> DataFrame:
-    """Check rows: counts, coverage of skims, coverage fraction, prior validity."""
+def quality_log(dest: DataFrame, table: DataFrame, od: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """Check rows on all cleaned destinations (``dest``, with ``eligible``): counts, high outliers,
+    ratings, coverage of skims; on ``od``: coverage fraction; on the calibration ``table``: prior
+    validity; on ``origins``: car proxy against cost. Checks without their columns are left out.
+    """
     n = F.count(F.lit(1))
     c = F.col("rating_count")
     zero, sparse = F.count_if(c == 0), F.count_if((c > 0) & (c <= K.SPARSE_COUNT))
@@ -216,21 +221,43 @@ def quality_log(dest: DataFrame, od: DataFrame) -> DataFrame:
         quality_row(dest, "rating_count_zero", zero, F.bround(zero / n, 4), F.when(zero < 100, "OK").otherwise("WARN"), "no reviews"),
         quality_row(dest, "rating_count_sparse", sparse, F.bround(sparse / n, 4), F.when(sparse < 50, "OK").otherwise("WARN"), "few reviews"),
     ]
+    high = exact_quantiles(dest, [], "rating_count", {"_high": HIGH_SHARE})
+    outliers = F.count_if(c > F.col("_high"))
+    rows.append(quality_row(dest.crossJoin(F.broadcast(high)), "rating_count_high_outlier", outliers, F.bround(outliers / n, 4), F.lit("OK"), "top share; run sensitivity"))
+    if "rating" in dest.columns:
+        rated = F.count("rating")
+        rows.append(quality_row(dest, "rating_star_descriptive", rated, F.bround(rated / n, 4), F.lit("INFO"), "rated places"))
+        stars = spearman(dest.filter("rating_count > 0"), "rating_count", "rating").filter(F.col("n") >= 10)
+        against = quality_row(stars, "lambda_exclusion_check", F.bround(F.max("rho"), 4), None, F.when(F.abs(F.max("rho")) < 0.15, "OK").otherwise("WARN"), "rank correlation of count and rating")
+        rows += [against.filter("value is not null"), quality_row(dest, "rating_subtype_ranking", F.lit(None), None, F.lit("INFO"), "see rating_by_subtype")]
     eligible = dest.filter("eligible = 1").select("poi_id").distinct()
     reached = od.select("poi_id").distinct().withColumn("_hit", F.lit(1))
     seen = eligible.join(reached, "poi_id", "left")
     share = F.count("_hit") / n
-    rows.append(quality_row(seen, "eligible_coverage", F.count("_hit"), F.bround(share, 4), F.when(share > 0.85, "OK").otherwise("WARN"), "eligible with skims"))
+    rows.append(quality_row(seen, "eligible_pois_pt_coverage", F.count("_hit"), F.bround(share, 4), F.when(share > 0.85, "OK").otherwise("WARN"), "eligible with skims"))
     cover = od.groupBy("origin_id").agg(F.first("coverage").alias("c"))
     rows.append(quality_row(cover, "outside_option_coverage", F.bround(F.avg("c"), 4), None, F.when(F.avg("c") > 0.30, "OK").otherwise("WARN"), "mean coverage"))
-    rho = spearman(dest, "mu_j", "rating_count")
-    rows.append(quality_row(rho, "prior_validity", F.bround(F.max("rho"), 4), None, F.when(F.max("rho") > 0.2, "OK").otherwise("WARN"), "rank correlation with counts"))
+    if origins is not None:
+        r = F.corr("PCA_Car_Proxy_01", "mean_gtc")
+        rows.append(quality_row(origins, "pca_car_gtc_collinearity", F.bround(r, 4), None, F.when(F.abs(r) < 0.40, "OK").otherwise("WARN"), "before the residual is taken"))
+    rho = spearman(table, "mu_j", "rating_count")
+    rows.append(quality_row(rho, "prior_validity_spearman_rho", F.bround(F.max("rho"), 4), None, F.when(F.max("rho") > 0.2, "OK").otherwise("WARN"), "rank correlation with counts"))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
 
 
+def rating_by_subtype(dest: DataFrame) -> DataFrame:
+    """Median star rating per subtype, for the face validity of the ratings."""
+    return exact_quantiles(dest, ["subtype"], "rating", {"median_rating": 0.5})
+
+
+def validity_by_category(table: DataFrame, least: int = 5) -> DataFrame:
+    """Rank correlation of prediction and count per category code with ``least`` places or more."""
+    return spearman(table, "mu_j", "rating_count", ["cat_fe"]).filter(F.col("n") >= least)
+
+
 def with_count_flags(dest: DataFrame, count: str = "rating_count") -> DataFrame:
     """Quality flag of the count column with the exact 99th percentile as the high mark."""
     high = exact_quantiles(dest, [], count, {"_high": 0.99})
@@ -253,11 +280,11 @@ def run(origins_raw: DataFrame, dest_raw: DataFrame, transit_raw: DataFrame, car
     origins = cut_lineage(car_residual(origins, od))
     od = od.join(eligible.select("poi_id", "D_med", "D_lrg"), "poi_id")
     od = od.join(origins.select("origin_id", "T_o_base", "T_o"), "origin_id")
-    od = cut_lineage(flows(shares(cut_lineage(utilities(od)), outside=outside)))
+    od = cut_lineage(flows(shares(utilities(od), outside=outside)))
     table = cut_lineage(calibration(eligible, od))
     factor: Column = F.col("scale_factor")
     od_scaled = od.crossJoin(F.broadcast(table.select("scale_factor").limit(1))).withColumn("flow_od", F.col("flow_base") * factor)
     return {
         "od": od_scaled, "dest": table, "long": long_table(od_scaled, table, origins),
-        "quality": quality_log(table, od), "invariants": invariants(od, table),
+        "quality": quality_log(dest, table, od, origins), "invariants": invariants(od, table),
     }

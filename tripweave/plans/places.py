@@ -12,7 +12,7 @@ from tripweave.functions.numeric import composite
 from tripweave.operators.aggregates import weighted_moments
 from tripweave.operators.perception import image_weights, shrink
 from tripweave.operators.quantiles import exact_quantiles
-from tripweave.operators.scaling import min_max, robust_z
+from tripweave.operators.scaling import min_max_many, robust_z_many
 from tripweave.session import cut_lineage
 
 DIMENSIONS = list(K.DIMENSION_WEIGHTS)
@@ -22,8 +22,7 @@ def dimensions(features: DataFrame, scale: bool = True) -> DataFrame:
     """The five composite dimensions and their min-max scaled copies."""
     df = features.withColumns({d: composite(w) for d, w in K.DIMENSION_WEIGHTS.items()})
     if scale:
-        for d in DIMENSIONS:
-            df = min_max(df, d, f"{d}_std", constant=0.0)
+        df = min_max_many(df, {d: f"{d}_std" for d in DIMENSIONS}, constant=0.0)
     return df
 
 
@@ -43,6 +42,4 @@ def score_places(images: DataFrame, places: DataFrame, as_of, dims: Sequence[str
     weighted = cut_lineage(image_weights(images, as_of, half_life).select("poi_id", "age_days", "w_view", "weight", *dims))
     stats = place_stats(weighted, "poi_id", dims)
     scored = cut_lineage(shrink(places, stats, "poi_id", dims, "subtype", "planning_area", mix, strength))
-    for d in dims:
-        scored = robust_z(scored, d, f"{d}_robust_z")
-    return scored
+    return robust_z_many(scored, {d: f"{d}_robust_z" for d in dims})

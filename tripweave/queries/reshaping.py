@@ -50,12 +50,12 @@ def long_to_wide(spark, d):
 
 
 @query("U7 F5", """
-SELECT 'HC_' || substr(sha256(s_name || '|' || s_acctbal_text), 1, 8) AS poi_id, s_name AS name, 'community retail' AS category, 'hawker centre' AS subtype, 1 AS has_foodcourt, 0 AS heritage_flag
+SELECT 'HC_' || sha256('=' || s_name || '|=' || s_acctbal_text) AS poi_id, s_name AS name, 'community retail' AS category, 'hawker centre' AS subtype, 1 AS has_foodcourt, 0 AS heritage_flag
 FROM (SELECT s_name, s_suppkey::VARCHAR AS s_acctbal_text FROM supplier)
 UNION ALL
-SELECT 'HS_' || substr(sha256(n_name || '|' || n_nationkey::VARCHAR), 1, 8), n_name, 'leisure', 'historic_site', NULL, 1 FROM nation
+SELECT 'HS_' || sha256('=' || n_name || '|=' || n_nationkey::VARCHAR), n_name, 'leisure', 'historic_site', NULL, 1 FROM nation
 UNION ALL
-SELECT 'ML_' || substr(sha256(p_name || '|' || p_partkey::VARCHAR), 1, 8), p_name, 'retail', 'mall', (p_size % 2)::INTEGER, 0 FROM part
+SELECT 'ML_' || sha256('=' || p_name || '|=' || p_partkey::VARCHAR), p_name, 'retail', 'mall', (p_size % 2)::INTEGER, 0 FROM part
 """)
 def attribute_records(spark, d):
     sources = {

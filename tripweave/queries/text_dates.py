@@ -54,7 +54,7 @@ def latlon_in_text(spark, d):
 
 
 @query("F5", """
-SELECT s_suppkey, 'SP_' || substr(sha256(s_name || '|' || s_nationkey::VARCHAR), 1, 8) AS place_id,
+SELECT s_suppkey, 'SP_' || sha256('=' || s_name || '|=' || s_nationkey::VARCHAR) AS place_id,
   'P_' || lpad(s_suppkey::VARCHAR, 7, '0') AS point_id
 FROM supplier
 """)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tripweave.functions.costs import fare_amount, kilometres, minutes
 
 # --- fixed values: file-name patterns ---
-TRANSIT_NAME = r"O+_(\d+).*?(\d+_[A-Z]+_\d+)_PT\.json"
-DRIVE_NAME = r"O+_(\d+).*?(\d+_[A-Z]+_\d+)_DRIVE\.json"
-ERROR_NAME = r"ERROR_O+_(\d+).*?(\d+_[A-Z]+_\d+)\.json"
+TRANSIT_NAME = r"O+_(\d+).*?(\d+_[A-Z]+_\d+)_PT\.json$"
+DRIVE_NAME = r"O+_(\d+).*?(\d+_[A-Z]+_\d+)_DRIVE\.json$"
+ERROR_NAME = r"ERROR_O+_(\d+).*?(\d+_[A-Z]+_\d+)\.json$"
 
 TRANSIT_SCHEMA = (
     "status string, plan struct<itineraries: array<struct<duration: double, transitTime: double, walkTime: double, "
