@@ -294,3 +294,58 @@ def test_grid_box(spark):
     df = spark.createDataFrame([(0.5, 0.5), (0.6, 0.1), (1.5, 0.2)], "x double, y double")
     assert spatial.square_grid(df, "x", "y", 1.0).select(F.sum(geo.polygon_area(F.col("rings")))).first()[0] == 2.0
     assert K.RING_POINTS == 8
+
+
+def test_quantiles_of_infinite_values(spark):
+    from pyspark.sql import functions as F
+    from tripweave.operators.quantiles import exact_quantiles
+    from tripweave.session import cut_lineage
+
+    df = cut_lineage(spark.range(5000).selectExpr(
+        "id % 7 as k", "case when id % 50 = 0 then double('infinity') when id % 51 = 0 then double('-infinity') else cast(id * 37 % 1001 as double) end as v"))
+    probs = {"a": 0.1, "b": 0.5, "c": 0.995}
+    want = df.groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in probs.items()])
+    for ranges in (None, 3, 300):
+        assert sorted(exact_quantiles(df, ["k"], "v", probs, ranges).collect()) == sorted(want.collect())
+
+
+def test_columns_are_scaled_in_few_scans(spark, data):
+    from tripweave.operators.columns import fill_with_median
+    from tripweave.operators.scaling import min_max_many, robust_z, robust_z_many
+
+    df = spark.read.parquet(f"{data}/lineitem.parquet").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    cols = {c: f"{c}_z" for c in df.columns}
+    scans = lambda x: x._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet")
+    assert scans(min_max_many(df, cols)) <= 2
+    many, one = robust_z_many(df, cols), df
+    assert scans(many) <= 4 and scans(fill_with_median(df, *df.columns)) <= 4
+    for c, out in cols.items():
+        one = robust_z(one, c, out)
+    got, want = many.groupBy().sum(*cols.values()).first(), one.groupBy().sum(*cols.values()).first()
+    assert all(abs(a - b) < 1e-6 * max(1, abs(b)) for a, b in zip(got, want))
+
+
+def test_surrogate_keys_do_not_meet(spark):
+    from pyspark.sql import functions as F
+    from tripweave.functions.text import surrogate_key
+
+    odd = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "c"), ("", "c"), ("~", "c"), ("a\\", "|c"), ("a", "\\|c"), ("a|", "c")], "x string, y string")
+    many = spark.range(300_000).selectExpr("cast(id as string) as x", "cast(id % 7 as string) as y")
+    for df in (odd, many):
+        assert df.select(surrogate_key("K", F.col("x"), F.col("y"))).distinct().count() == df.count()
+
+
+def test_status_report_adds_up(spark):
+    from tripweave.operators.aggregates import status_report
+
+    df = spark.createDataFrame([("ok",), ("bad 1",), (None,), (None,), ("odd",)], "s string")
+    got = {r[0]: r[1] for r in status_report(df, "s", {"Good": "ok"}, {"Bad": "bad"}, "Other: ").collect()}
+    assert got == {"Total Records": 5, "Good": 1, "Bad": 1, "Other: (none)": 2, "Other: odd": 1}
+
+
+def test_one_dense_pair_of_cells_makes_many_tasks(spark):
+    from tripweave.operators.dedup import cluster_points
+
+    points = [("g", i * 1e-4, 0.001 * (i % 9), 1.0) for i in range(1500)] + [("g", 1.1 + i * 1e-4, 0.001 * (i % 7), 1.0) for i in range(1500)]
+    df = spark.createDataFrame(points, "g string, x double, y double, e double")
+    assert cluster_points(df, ["g"], "x", "y", "e").select("cluster").distinct().count() == 1

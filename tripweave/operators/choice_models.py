@@ -38,6 +38,14 @@ class Fit:
     steps: int
     gradient: np.ndarray = field(repr=False, default=None)
 
+    @property
+    def converged(self) -> bool:
+        """Whether this is a maximum: curvature negative in all directions and no step left to go
+        (a fit stops early, unconverged, when no step along its direction goes up)."""
+        if self.gradient is None or not np.isfinite(self.covariance).all() or np.linalg.eigvalsh(self.covariance).min() <= 0:
+            return False
+        return float(self.gradient @ self.covariance @ self.gradient) < 1e-6 * max(1.0, abs(self.loglik) * 1e-6)
+
     def table(self, spark) -> DataFrame:
         """parameter, estimate, se, t, p, sig."""
         rows = []

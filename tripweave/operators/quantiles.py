@@ -119,7 +119,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
 
     def between(n: str):
         low, high = F.col(f"`{n}<`._v"), F.col(f"`{n}>`")
-        return F.coalesce(low + (high["_v"] - low) * high["part"], low).alias(n)
+        mixed = F.when(high["_v"] == low, low).otherwise(low + (high["_v"] - low) * high["part"])  # equal: may be infinite
+        return F.coalesce(mixed, low).alias(n)
 
     return found.select(*keys, *[between(n) for n in probs])
 
