@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +28,10 @@ def stored(df: DataFrame, compact: bool = False) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now, not when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # references from Python go first, then what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def n_parts(spark: SparkSession) -> int:

@@ -132,7 +132,8 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 
 
 def _blocks(raw: DataFrame, marked: DataFrame, total: int, block_bytes: int) -> DataFrame:
-    """(block, ids, lengths, data): documents dealt by ranges of doc_id, sorted, one row a range.
+    """(block, ids, lengths, data): documents dealt by ranges of doc_id, sorted, one row a range,
+    their bytes compressed, as they are read three times and shuffled twice more.
     Short documents and whole copies are left out; marks of the copies travel with the texts."""
     parts = max(1, -(-total // block_bytes))
     ids = marked.filter(~F.col("copy") & (F.col("n_bytes") >= DEPTH)).select("doc_id").repartitionByRange(parts, "doc_id")
@@ -152,7 +153,7 @@ def _blocks(raw: DataFrame, marked: DataFrame, total: int, block_bytes: int) ->
         kept.sort()
         return pa.table({
             "block": pa.array([table.column("block")[0].as_py()], pa.int64()), "ids": pa.array([[i for i, _ in kept]], pa.list_(pa.int64())),
-            "lengths": pa.array([[len(t) for _, t in kept]], pa.list_(pa.int64())), "data": pa.array([b"".join(t for _, t in kept)], pa.binary()),
+            "lengths": pa.array([[len(t) for _, t in kept]], pa.list_(pa.int64())), "data": pa.array([pa.Codec("zstd").compress(b"".join(t for _, t in kept), asbytes=True)], pa.binary()),
         })
 
     texts = raw.filter(F.octet_length("text") >= DEPTH).select("doc_id", F.lit(False).alias("mark"), "text")
@@ -169,7 +170,8 @@ def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block,
         for i in range(batch.num_rows):
             ids, lengths = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (1, 2))
             answers = [[(r["bucket"], r["bits"]) for r in (batch.column(k)[i].as_py() or [])] for k in range(4, batch.num_columns)]
-            yield batch.column(0)[i].as_py(), Block(ids, lengths, batch.column(3)[i].as_py()), answers
+            data = pa.Codec("zstd").decompress(batch.column(3)[i].as_buffer(), int(lengths.sum()), asbytes=True)
+            yield batch.column(0)[i].as_py(), Block(ids, lengths, data), answers
 
 
 PAYLOAD = "block long, bucket long, names binary"
