@@ -349,3 +349,13 @@ def test_one_dense_pair_of_cells_makes_many_tasks(spark):
     points = [("g", i * 1e-4, 0.001 * (i % 9), 1.0) for i in range(1500)] + [("g", 1.1 + i * 1e-4, 0.001 * (i % 7), 1.0) for i in range(1500)]
     df = spark.createDataFrame(points, "g string, x double, y double, e double")
     assert cluster_points(df, ["g"], "x", "y", "e").select("cluster").distinct().count() == 1
+
+
+def test_long_edge_through_a_small_polygon(spark):
+    from tripweave.operators.spatial import edges_near
+
+    pt = "array(named_struct('x', {0}, 'y', {1}), named_struct('x', {2}, 'y', {3}))".format
+    edges = spark.sql(f"select 1 as e, {pt('0D', '0D', '1000D', '0D')} as line union all select 2, {pt('0D', '40D', '1000D', '40D')} union all select 3, {pt('0D', '34D', '1000D', '34D')}")
+    box = [(240.0, -10.0), (260.0, -10.0), (260.0, 10.0), (240.0, 10.0), (240.0, -10.0)]
+    shapes = spark.createDataFrame([(9, [box])], "s int, rings array<array<struct<x: double, y: double>>>")
+    assert sorted(r.e for r in edges_near(edges, "e", "line", shapes, "rings", 25.0).collect()) == [1, 3]

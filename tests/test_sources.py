@@ -152,3 +152,26 @@ def test_stored_tables_go_to_the_configured_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     stored = cut_lineage(spark.range(5))
     assert all(shared_dir(spark) in f for f in stored.inputFiles()) and stored.count() == 5
+
+
+def test_lookup_lines_have_no_bound(spark):
+    from pyspark.sql import functions as F
+
+    sectors = spark.range(20_000).select(F.col("id").alias("postal_sector"), F.lit("A").alias("planning_area"))
+    areas = spark.createDataFrame([("A", None)], "planning_area string, car_time double")
+    lines = sinks.lookup_lines(sectors, areas, ["car_time"])
+    assert lines.count() == 20_001
+    assert lines.filter(F.col("value").contains("accessibility")).first()[0] == '{"planning_area":"A","accessibility":{"car_time":null}}'
+
+
+def test_scratch_scope_leaves_nothing(spark, tmp_path):
+    import os
+
+    from tripweave.session import cut_lineage, scratch_scope, shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    with scratch_scope(spark):
+        with scratch_scope(spark):
+            assert cut_lineage(spark.range(5)).count() == 5
+        assert cut_lineage(spark.range(7)).count() == 7
+    assert set(os.listdir(shared_dir(spark))) == before

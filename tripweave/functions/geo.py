@@ -224,6 +224,30 @@ def polygon_distance(rings: Column, x: Column, y: Column) -> Column:
     return F.when(contains(rings, x, y), 0.0).otherwise(edge_distance(segs, x, y))
 
 
+def _side(ax, ay, bx, by, px, py) -> Column:
+    """Sign of the turn from a over b to p."""
+    return F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+
+
+def segment_polygon_distance(seg: Column, rings: Column) -> Column:
+    """Distance of a segment (struct x0, y0, x1, y1) to a polygon; 0 if they meet.
+
+    Segments that do not cross are closest at an end point of one of them, so the ends of the
+    segment against the polygon and the polygon's corners against the segment are enough.
+    """
+    ends = F.least(polygon_distance(rings, seg["x0"], seg["y0"]), polygon_distance(rings, seg["x1"], seg["y1"]))
+    corners = F.array_min(F.transform(F.flatten(rings), lambda p: edge_distance(F.array(seg), p["x"], p["y"])))
+    s = seg
+
+    def crosses(e: Column) -> Column:
+        a = _side(s["x0"], s["y0"], s["x1"], s["y1"], e["x0"], e["y0"]) * _side(s["x0"], s["y0"], s["x1"], s["y1"], e["x1"], e["y1"])
+        b = _side(e["x0"], e["y0"], e["x1"], e["y1"], s["x0"], s["y0"]) * _side(e["x0"], e["y0"], e["x1"], e["y1"], s["x1"], s["y1"])
+        return (a < 0) & (b < 0)
+
+    meets = F.exists(F.flatten(F.transform(rings, segments)), crosses)
+    return F.when(meets, 0.0).otherwise(F.least(ends, corners))
+
+
 def scan_crossings(rings: Column, y: Column) -> Column:
     """Sorted x of the crossings of a horizontal line with all rings."""
     hits = F.filter(

@@ -119,9 +119,17 @@ def token_set_score(a: str | None, b: str | None) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def _token_set_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_score(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None else token_set_score(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def _word_set(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+"), lambda w: w != ""))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
-    """Arrow-batched name similarity; call it on pruned candidate pairs only."""
-    return _token_set_udf(a, b)
+    """Name similarity, 0-100. Names without words (0) and names whose words are all in the other
+    (100) are settled in the JVM; only the rest is compared in Python, in Arrow batches."""
+    x, y = _word_set(a), _word_set(b)
+    shared = F.size(F.array_intersect(x, y))
+    settled = F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when((shared > 0) & (shared == F.least(F.size(x), F.size(y))), 100.0)
+    return F.coalesce(settled, _token_set_udf(F.when(settled.isNull(), a), F.when(settled.isNull(), b)))

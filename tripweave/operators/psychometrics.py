@@ -51,13 +51,16 @@ def kmo_bartlett(df: DataFrame, items: Sequence[str]) -> tuple[DataFrame, DataFr
 
 
 def cronbach_alpha(df: DataFrame, scales: Mapping[str, Sequence[str]], level: float = 0.95) -> DataFrame:
-    """Alpha with its F-based interval and a verdict per subscale; fewer than 10 rows are skipped."""
+    """Alpha with its F-based interval and a verdict per subscale. A scale with fewer than 10
+    complete rows, or fewer than two items, keeps its row and count; its figures are NULL."""
     rows = []
     for name, items in scales.items():
-        n, _, cov = moments(df, items)
         k = len(items)
+        n = df.dropna(subset=list(items)).count()
         if n < 10 or k < 2:
+            rows.append((name, k, n, None, None, None, None))
             continue
+        n, _, cov = moments(df, items)
         alpha = k / (k - 1) * (1 - float(np.trace(cov) / cov.sum()))
         d1, d2 = n - 1, (n - 1) * (k - 1)
         tail = (1 - level) / 2

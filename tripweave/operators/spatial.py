@@ -66,21 +66,24 @@ def within_distance(points: DataFrame, x: str, y: str, shapes: DataFrame, rings:
     return near.withColumn(out, geo.polygon_distance(F.col(rings), F.col(x), F.col(y))).filter(F.col(out) <= radius)
 
 
-def edges_near(edges: DataFrame, line: str, shapes: DataFrame, rings: str, radius: float) -> DataFrame:
-    """(edge, shape) pairs where some vertex or midpoint of the line lies within ``radius``.
+def edges_near(edges: DataFrame, key: str, line: str, shapes: DataFrame, rings: str, radius: float) -> DataFrame:
+    """(edge, shape) pairs of lines that come within ``radius`` of a polygon; the whole line is kept.
 
-    Clips a network to a buffered polygon at the grain of the line's own vertices.
+    Candidates are found by points at most 2 * ``radius`` apart on every segment, looked up with
+    twice the radius, so no pair is missed; exact segment distances decide. ``key`` names the edge.
     """
-    points = edges.withColumn("_vertices", F.concat(
-        F.col(line),
-        F.transform(geo.segments(F.col(line)), lambda s: F.struct(((s["x0"] + s["x1"]) / 2).alias("x"), ((s["y0"] + s["y1"]) / 2).alias("y"))),
-    ))
-    box = geo.bounding_box(F.col(rings))
-    exploded = points.withColumn("_p", F.explode("_vertices")).drop("_vertices").withColumn("_px", F.col("_p.x")).withColumn("_py", F.col("_p.y"))
-    near = near_pairs(exploded.drop("_p"), "_px", "_py", shapes, box, radius)
-    hit = near.filter(geo.polygon_distance(F.col(rings), F.col("_px"), F.col("_py")) <= radius).drop("_px", "_py")
-    keys = [c for c in hit.columns if c not in (line, rings)]
-    return hit.groupBy(*keys).agg(F.any_value(line).alias(line))
+    gap = 2.0 * max(radius, 1e-9)
+    seg = F.col("_seg")
+    length = F.hypot(seg["x1"] - seg["x0"], seg["y1"] - seg["y0"])
+    parts = edges.select(key, F.explode(geo.segments(F.col(line))).alias("_seg")).withColumn("_n", F.greatest(F.ceil(length / gap), F.lit(1)))
+    share = F.col("_i") / F.col("_n")
+    dense = parts.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n").cast("bigint"))))
+    dense = dense.withColumn("_px", seg["x0"] + (seg["x1"] - seg["x0"]) * share).withColumn("_py", seg["y0"] + (seg["y1"] - seg["y0"]) * share)
+    near = near_pairs(dense.drop("_i", "_n"), "_px", "_py", shapes, geo.bounding_box(F.col(rings)), 2 * max(radius, 1e-9)).drop("_px", "_py")
+    names = [c for c in shapes.columns if c != rings]
+    pairs = near.groupBy(key, "_seg", *names).agg(F.any_value(rings).alias(rings))
+    hit = pairs.filter(geo.segment_polygon_distance(seg, F.col(rings)) <= radius).select(key, *names).distinct()
+    return hit.join(edges, key)
 
 
 def union_area(df: DataFrame, keys: Sequence[str], rings: str, out: str, step: float = 1.0) -> DataFrame:

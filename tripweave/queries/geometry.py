@@ -134,19 +134,21 @@ def sampling_plans(spark, d):
 
 
 @query("G8", """
-WITH p AS (""" + PTS + """), e AS (SELECT vec_id, x, y, x + 80 AS x1, y + 10 AS y1 FROM p),
-v AS (SELECT vec_id, unnest([x, (x + x1) / 2, x1]) AS vx, unnest([y, (y + y1) / 2, y1]) AS vy FROM e),
-b AS (SELECT DISTINCT floor(x / 100)::BIGINT AS gx, floor(y / 100)::BIGINT AS gy FROM p WHERE label = 6)
-SELECT gx, gy, count(DISTINCT vec_id) AS edges FROM v, b
-WHERE sqrt(pow(greatest(gx * 100 - vx, vx - gx * 100 - 100, 0), 2) + pow(greatest(gy * 100 - vy, vy - gy * 100 - 100, 0), 2)) <= 25 GROUP BY 1, 2
+WITH p AS (""" + PTS + """), b AS (SELECT DISTINCT floor(x / 100)::BIGINT AS gx, floor(y / 100)::BIGINT AS gy FROM p),
+c AS (SELECT vec_id, x, y, gx, gy, gx * 100.0 AS x0, gx * 100.0 + 100 AS x1, gy * 100.0 AS y0, gy * 100.0 + 100 AS y1 FROM p, b
+  WHERE gx * 100 - 30 <= x + 80 AND x <= gx * 100 + 130 AND gy * 100 - 30 <= y + 10 AND y <= gy * 100 + 130),
+k AS (SELECT vec_id, x, y, gx, gy, x0, x1, y0, y1, unnest([x0, x0, x1, x1]) AS kx, unnest([y0, y1, y0, y1]) AS ky FROM c),
+t AS (SELECT *, least(1, greatest(0, ((kx - x) * 80 + (ky - y) * 10) / 6500)) AS u FROM k),
+m AS (SELECT vec_id, gx, gy, min(sqrt(pow(x + 80 * u - kx, 2) + pow(y + 10 * u - ky, 2))) AS corner,
+  any_value(least(sqrt(pow(greatest(x0 - x, x - x1, 0), 2) + pow(greatest(y0 - y, y - y1, 0), 2)), sqrt(pow(greatest(x0 - x - 80, x + 80 - x1, 0), 2) + pow(greatest(y0 - y - 10, y + 10 - y1, 0), 2)))) AS ends,
+  any_value(greatest(0, (x0 - x) / 80, (y0 - y) / 10) <= least(1, (x1 - x) / 80, (y1 - y) / 10)) AS meets FROM t GROUP BY 1, 2, 3)
+SELECT gx, gy, count(*) AS edges FROM m WHERE meets OR least(corner, ends) <= 25 GROUP BY 1, 2
 """)
 def edges_near_zones(spark, d):
     x, y = F.col("x"), F.col("y")
     line = F.array(F.struct(x.alias("x"), y.alias("y")), F.struct((x + 80).alias("x"), (y + 10).alias("y")))
     p = points(spark, d)
-    edges = p.select("vec_id", line.alias("line"))
-    boxes = spatial.square_grid(p.filter("label = 6"), "x", "y", SIDE)
-    near = spatial.edges_near(edges, "line", boxes, "rings", 25.0)
+    near = spatial.edges_near(p.select("vec_id", line.alias("line")), "vec_id", "line", spatial.square_grid(p, "x", "y", SIDE), "rings", 25.0)
     return near.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("edges"))
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPEN: list[list[str]] = []
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -41,16 +46,34 @@ def shared_dir(spark: SparkSession) -> str:
         context = spark.sparkContext
         base = context.getCheckpointDir()
         if base is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith(("local[", "local*")) and context.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             base = tempfile.mkdtemp(prefix="tripweave-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
             context.setCheckpointDir(base)
     return base
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, everything stored inside; results must be written or collected before."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN[:] = [m for m in _OPEN if m is not made]
+        for path in made:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame, compact: bool = False) -> DataFrame:

@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LOOKUP_ROWS = 10_000
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header."""
     df.write.mode(mode).option("header", True).csv(path)
@@ -78,12 +75,9 @@ def write_features(df: DataFrame, feature: Column, path: str) -> None:
 def lookup_json(sectors: DataFrame, areas: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """One JSON document: sector -> area and area -> metrics, NULLs kept.
 
-    Both inputs are lookup tables (two-digit sectors, named areas). The document is one
-    value, so their size is checked first.
+    For lookup tables (two-digit sectors, named areas): the document is one value and must fit
+    a task. ``lookup_lines`` has no such bound.
     """
-    for side in (sectors, areas):
-        if side.limit(MAX_LOOKUP_ROWS + 1).count() > MAX_LOOKUP_ROWS:
-            raise ValueError("too many rows for one lookup document")
     sector_map = sectors.groupBy().agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.lpad(F.col("postal_sector").cast("string"), 2, "0").alias("k"), F.col("planning_area").alias("v"))))).alias("a")
     )
@@ -96,3 +90,11 @@ def lookup_json(sectors: DataFrame, areas: DataFrame, metrics: Sequence[str]) ->
             {"ignoreNullFields": "false"},
         ).alias("value")
     )
+
+
+def lookup_lines(sectors: DataFrame, areas: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """The same lookup as one JSON line per sector and per area, NULLs kept; any size."""
+    keep = {"ignoreNullFields": "false"}
+    code = F.lpad(F.col("postal_sector").cast("string"), 2, "0")
+    lines = sectors.select(F.to_json(F.struct(code.alias("postal_sector"), "planning_area"), keep).alias("value"))
+    return lines.unionByName(areas.select(F.to_json(F.struct("planning_area", F.struct(*metrics).alias("accessibility")), keep).alias("value")))

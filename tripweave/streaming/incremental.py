@@ -21,9 +21,15 @@ def final_dedup(appended: DataFrame, keys: Sequence[str], order: Sequence[str])
     return keep_first(appended, keys, order)
 
 
-def stream_dedup(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same inside a stream: each key passes once."""
-    return stream.dropDuplicates(list(keys))
+def stream_dedup(stream: DataFrame, keys: Sequence[str], event_time: str | None = None, delay: str = "1 day") -> DataFrame:
+    """The same inside a stream: each key passes once.
+
+    With ``event_time`` keys are forgotten ``delay`` after the watermark passed them, so the
+    state is bounded; without it the stream remembers every key for ever.
+    """
+    if event_time is None:
+        return stream.dropDuplicates(list(keys))
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def outcome_counts(df: DataFrame, status: str, batch: int | None = None) -> DataFrame:
