@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -23,7 +26,9 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = get_session("bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"})
+    scratch = tempfile.mkdtemp(prefix="bench-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
+    spark = get_session("bench", f"local[{cpus}]", **{"spark.checkpoint.dir": scratch, "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"})
     bound.load_all()
     spark.read.parquet(f"{folder}/lineitem.parquet").count()  # start the executor threads
     times = {}
