@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tripweave import constants as K
 from tripweave.functions import geo
 from tripweave.operators import dedup, spatial
+from tripweave.plans import attributes
 from tripweave.queries.registry import query
 from tripweave.tables import table
 
@@ -55,26 +56,43 @@ def point_in_zone(spark, d):
     return out.select("vec_id", F.col("gx").alias("zone_x"), F.col("gy").alias("zone_y"))
 
 
+AREAS = ["bedok", "Newton", "Downtown Core", "Straits View", "Yishun"]
+
+
+@query("J11 F16", """
+WITH p AS (SELECT *, floor(x / 100)::BIGINT AS gx, floor(y / 100)::BIGINT AS gy FROM (""" + PTS + """)),
+z AS (SELECT vec_id, gx || ',' || gy AS subzone, upper(['bedok', 'Newton', 'Downtown Core', 'Straits View', 'Yishun'][((gx + 3 * gy) % 5 + 5) % 5 + 1]) AS area,
+  x - gx * 100 BETWEEN 40 AND 60 AND y - gy * 100 BETWEEN 40 AND 60 AS hole FROM p)
+SELECT vec_id, CASE WHEN hole THEN '' ELSE area END AS planning_area, CASE WHEN hole THEN '' ELSE subzone END AS subzone,
+  (NOT hole AND area IN ('DOWNTOWN CORE', 'STRAITS VIEW'))::INTEGER AS cbd_flag, (NOT hole AND area IN ('DOWNTOWN CORE', 'STRAITS VIEW', 'NEWTON'))::INTEGER AS central_area_flag FROM z
+""")
+def place_planning_areas(spark, d):
+    z = zones(spark, d).withColumn("subzone", F.concat_ws(",", "gx", "gy"))
+    z = z.withColumn("planning_area", F.element_at(F.array(*[F.lit(a) for a in AREAS]), (F.pmod(F.col("gx") + 3 * F.col("gy"), F.lit(5)) + 1).cast("int")))
+    out = attributes.planning_areas(points(spark, d), z.select("subzone", "planning_area", "rings"), "vec_id")
+    return out.select("vec_id", "planning_area", "subzone", "cbd_flag", "central_area_flag")
+
+
 @query("J12", """
-WITH p AS (""" + PTS + """), b AS (SELECT DISTINCT floor(x / 100)::BIGINT AS gx, floor(y / 100)::BIGINT AS gy FROM p WHERE label < 3)
+WITH p AS (""" + PTS + """), b AS (SELECT DISTINCT floor(x / 100)::BIGINT AS gx, floor(y / 100)::BIGINT AS gy FROM p)
 SELECT vec_id, gx, gy, round(sqrt(pow(greatest(gx * 100 - x, x - gx * 100 - 100, 0), 2) + pow(greatest(gy * 100 - y, y - gy * 100 - 100, 0), 2)), 6) AS dist
 FROM p, b WHERE sqrt(pow(greatest(gx * 100 - x, x - gx * 100 - 100, 0), 2) + pow(greatest(gy * 100 - y, y - gy * 100 - 100, 0), 2)) <= 50
 """)
 def zones_within_distance(spark, d):
     p = points(spark, d)
-    boxes = spatial.square_grid(p.filter("label < 3"), "x", "y", SIDE)
+    boxes = spatial.square_grid(p, "x", "y", SIDE)
     near = spatial.within_distance(p.select("vec_id", "x", "y"), "x", "y", boxes, "rings", 50.0)
     return near.select("vec_id", "gx", "gy", F.round("dist", 6).alias("dist"))
 
 
 @query("K3", """
-WITH p AS (""" + PTS + """), b AS (SELECT DISTINCT floor(x / 100)::BIGINT AS gx, floor(y / 100)::BIGINT AS gy FROM p WHERE label < 3),
+WITH p AS (""" + PTS + """), b AS (SELECT DISTINCT floor(x / 100)::BIGINT AS gx, floor(y / 100)::BIGINT AS gy FROM p),
 n AS (SELECT vec_id, gx, gy, sqrt(pow(greatest(gx * 100 - x, x - gx * 100 - 100, 0), 2) + pow(greatest(gy * 100 - y, y - gy * 100 - 100, 0), 2)) AS dist FROM p, b)
 SELECT vec_id, gx || ',' || gy AS zone, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, gx || ',' || gy)::INTEGER AS rank FROM n WHERE dist <= 100) WHERE rank <= 3
 """)
 def candidate_zones(spark, d):
     p = points(spark, d)
-    boxes = spatial.square_grid(p.filter("label < 3"), "x", "y", SIDE).withColumn("zone", F.concat_ws(",", "gx", "gy"))
+    boxes = spatial.square_grid(p, "x", "y", SIDE).withColumn("zone", F.concat_ws(",", "gx", "gy"))
     ranked = spatial.candidate_list(p.select("vec_id", "x", "y"), "vec_id", "x", "y", boxes, "zone", "rings", 100.0, 3)
     return ranked.select("vec_id", "zone", "rank")
 
