@@ -23,7 +23,8 @@ ANSWER_SHARE = 0.25
 #: Items whose posting blocks share one maximum, and items of one index; more items make more indexes.
 BLOCK, INDEX_ITEMS = 4, 4096
 SCHEMA = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
-CELLS = 2_000_000
+#: Bounds kept at once; with them the words of as many passages are held.
+CELLS = 400_000
 WORDS = re.compile(r"\w+")
 
 
