@@ -192,3 +192,34 @@ def test_draws_and_robustness(spark):
     assert {r["parameter"]: r["robust"] for r in posterior.robustness(runs).collect()} == {"ok": True, "far": False, "flip": False}
     grid = posterior.parameter_grid(spark)
     assert grid.count() == 7 and grid.filter(F.col("varied_param") == "baseline").count() == 1
+
+
+def test_survey_to_joint_recovers_known_coefficients(spark):
+    """Choices with cost, size and four attitude terms, and counts that share the size coefficient."""
+    import numpy as np
+    from tripweave.operators import choice_models as cm
+    from tripweave.plans import joint_estimation as je
+
+    rng = np.random.default_rng(12)
+    true = {"asc": 0.4, "cost": -0.8, "beta_lrg": 0.7, "att1": 0.5, "att2": -0.5, "att3": 0.3, "att4": 0.0}
+    long = []
+    for i in range(3000):
+        att = rng.normal(size=4)
+        cost, large = rng.random(3) * 3, rng.integers(0, 2, 3)
+        u = true["cost"] * cost + true["beta_lrg"] * large + rng.gumbel(size=3)
+        u[:2] += true["asc"] + sum(true[f"att{k + 1}"] * att[k] for k in range(4))
+        for j in range(3):
+            long.append((i, j, int(j == u.argmax()), float(cost[j]), float(large[j]), *map(float, att)))
+    df = spark.createDataFrame(long, "obs int, alt int, chosen int, cost double, large double, a1 double, a2 double, a3 double, a4 double")
+    terms = {"asc": (None, [0, 1]), "cost": ("cost", [0, 1, 2]), "beta_lrg": ("large", [0, 1, 2]), **je.person_terms({f"att{k}": f"a{k}" for k in (1, 2, 3, 4)}, [0, 1])}
+    arrays = cm.choice_arrays(df, "obs", "alt", [0, 1, 2], terms)
+    large = rng.integers(0, 2, 2000)
+    base = 3 + 4 * rng.random(2000)
+    counts = spark.createDataFrame([(float(rng.poisson(b * np.exp(0.7 * x) * rng.gamma(8, 1 / 8))), float(b), float(x)) for b, x in zip(base, large)], "n double, base double, beta_lrg double")
+    out = je.run(arrays, list(terms), 3, cm.count_rows(counts, "n", "base", ["beta_lrg"]), ["beta_lrg"], {})
+    final = {r.parameter: r for r in out["final"].collect()}
+    for name, value in true.items():
+        assert abs(final[name].mean - value) < 4 * final[name].sd and final[name].converged
+    assert final["beta_lrg"].layer == "shared" and final["cost"].layer == "choice" and final["beta_lrg"].p_positive > 0.99
+    survey = {r.parameter: r for r in out["handover"].filter("source = 'survey'").collect()}
+    assert final["beta_lrg"].sd < survey["beta_lrg"].prior_sigma

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripweave import constants as K
 from tripweave.operators.lookup import with_group_stats
 from tripweave.session import cut_lineage
 
@@ -135,7 +136,7 @@ def image_spread_scores(df: DataFrame, group: str, x: str, y: str, heading: str)
         return F.when(F.col(top) > 0, F.col(total) / F.col(top)).otherwise(F.col(total))
 
     mixed = F.when(
-        F.col("_headed"), 0.6 * scaled("spatial", "_smax") + 0.4 * scaled("angular", "_amax")
+        F.col("_headed"), K.PAIR_WEIGHTS["spatial"] * scaled("spatial", "_smax") + K.PAIR_WEIGHTS["angular"] * scaled("angular", "_amax")
     ).otherwise(scaled("spatial", "_smax"))
     p = p.withColumn("_mixed", F.try_divide(mixed, others))
     p = p.withColumn("_thin", 1 / (1 + F.ln(F.col("density") + 1))).withColumn("_mean", F.try_divide("spatial", others))

@@ -7,6 +7,7 @@ from tripweave.operators import columns, filters, lookup
 from tripweave.operators.allocation import allocate
 from tripweave.operators.reshape import key_difference, key_intersection
 from tripweave.queries.registry import query
+from tripweave.session import cut_lineage
 from tripweave.tables import table
 
 
@@ -131,9 +132,9 @@ FROM both_tables a JOIN (SELECT l_suppkey, avg(cost) AS cost FROM od GROUP BY 1)
 def two_key_lookup(spark, d):
     li = table(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
     trips = li.join(table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    od = trips.groupBy("o_custkey", "l_suppkey").agg(
+    od = cut_lineage(trips.groupBy("o_custkey", "l_suppkey").agg(
         F.avg("l_quantity").alias("cost"), F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice"))).alias("car")
-    )
+    ))  # read three times below
     car = od.filter("car IS NOT NULL").select("o_custkey", "l_suppkey", F.col("car").alias("car_cost"))
     both = od.drop("car").join(car, ["o_custkey", "l_suppkey"], "left")
     per = od.groupBy("l_suppkey").agg(F.avg("cost").alias("cost"))

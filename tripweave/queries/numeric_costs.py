@@ -108,10 +108,11 @@ SELECT origin_zone, dest_zone, count(*) AS n, round(sum(distance_km * 0.25), 4)
 FROM c GROUP BY 1, 2
 """)
 def vehicle_cost_matrix(spark, d):
+    customers = table(spark, d, "customer", "c_custkey", F.col("c_nationkey").alias("origin_id"))
+    orders = table(spark, d, "orders", "o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     trips = (
         table(spark, d, "lineitem", "l_orderkey", "l_suppkey", F.col("l_quantity").alias("distance_km"))
-        .join(table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, d, "customer", "c_custkey", F.col("c_nationkey").alias("origin_id")), F.col("o_custkey") == F.col("c_custkey"))
+        .join(orders.select("o_orderkey", "origin_id"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, d, "supplier", "s_suppkey", F.col("s_nationkey").alias("dest_id")), F.col("l_suppkey") == F.col("s_suppkey"))
         .select("origin_id", "dest_id", "distance_km")
     )

@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from tripweave import constants as K
 from tripweave.functions.dates import age_days, decay_weight
 from tripweave.operators import choice_models as cm
 from tripweave.operators import linear, posterior
 from tripweave.operators import psychometrics as psy
-from tripweave.plans import sensitivity
+from tripweave.plans import joint_estimation, sensitivity
 from tripweave.queries import surveys
 from tripweave.queries.registry import query
 from tripweave.session import cut_lineage
@@ -256,7 +257,7 @@ def count_table(spark, d):
     })
 
 
-PRIORS = {"beta_med": (0.4485, 0.1455), "beta_lrg": (0.6691, 0.1367), "late": (0.0, 1.0), "urgent": (0.0, 1.0)}
+PRIORS = {**K.SIZE_PRIORS, "late": (0.0, 1.0), "urgent": (0.0, 1.0)}
 
 
 @query("M18 U6")
@@ -292,6 +293,15 @@ def joint_model(spark, d):
     return fit.table(spark).select("parameter", F.round("estimate", 5).alias("estimate"), F.round("se", 5).alias("se"))
 
 
+@query("M18 M20 M21 M22")
+def survey_to_joint(spark, d):
+    """The plan from survey choices over counts to the final table."""
+    names = list(TERMS)
+    rows = cm.count_rows(count_table(spark, d), "n", "base", COUNT_FEATURES)
+    out = joint_estimation.run(standard_tasks(spark, d, names), names, 3, rows, COUNT_FEATURES, {"late": (0.0, 1.0), "urgent": (0.0, 1.0)})
+    return out["final"].select("parameter", "layer", *[F.round(c, 5).alias(c) for c in ("mean", "sd", "low", "high", "p_positive")], "converged")
+
+
 @query("M24", """
 WITH x AS (SELECT l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem)
 SELECT round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg(pow(y - p, 2))), 4) AS rmse, round(corr(y, p), 8) AS r, round(var_pop(p) / (var_pop(p) + var_pop(y - p)), 8) AS r2 FROM x
