@@ -60,7 +60,7 @@ def quota_top_n(df: DataFrame, key: str, score: str, tie: str, limited: Column,
 
 def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Repeatable sample of at most ``n`` rows: the smallest hashes of key and seed."""
-    mixed = F.xxhash64(F.col(key), F.lit(seed))
+    mixed = F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
     return df.orderBy(mixed, F.col(key)).limit(n)
 
 

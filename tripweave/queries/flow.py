@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tripweave import constants as K
 from tripweave.plans import od_flow as flow
 from tripweave.queries.registry import query
 from tripweave.session import cut_lineage
@@ -187,7 +188,14 @@ def flow_quality_log(spark, d):
     return flow.quality_log(dest, calibrated, od, origins).drop("note")
 
 
-@query("W5 O1 O5 O6 O7 O11")
+PLAN_SQL = OD_SQL.replace("/ 1000 AS gtc", f"/ 1000 + 1.5 / {K.VALUE_OF_TIME!r}::DOUBLE + {K.TRANSFER_PENALTY_MIN!r} AS gtc")
+
+
+@query("W5 O1 O5 O6 O7 O11", PLAN_SQL + """,
+t AS (SELECT poi_id, sum(flow_base) AS mu, sum(greatest(flow_base, 1e-9) * coverage) / sum(greatest(flow_base, 1e-9)) AS cov FROM p GROUP BY 1),
+f AS (SELECT sum(rating_count) / sum(mu) AS k FROM t JOIN dest USING (poi_id))
+SELECT poi_id, CASE WHEN poi_id % 2 = 0 THEN 0 ELSE 5 END AS cat_fe, scale_cat, rating_count, round(mu * k, 4) AS mu_j, round(cov, 6) AS mean_coverage FROM t JOIN dest USING (poi_id), f
+""")
 def flow_plan(spark, d):
     """The whole plan from raw tables, with text flags and missing values to clean."""
     origins = productions(spark, d).select("origin_id", "pop_total", "PCA_Car_Proxy_01", "cbd_flag", F.lit(None).cast("int").alias("central_area_flag"))
