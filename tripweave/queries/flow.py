@@ -168,7 +168,7 @@ SELECT 'rating_count_zero' AS "check", count(*) FILTER (rc = 0)::DOUBLE AS value
 UNION ALL SELECT 'rating_count_sparse', count(*) FILTER (rc BETWEEN 1 AND 10), round_even(count(*) FILTER (rc BETWEEN 1 AND 10)::DOUBLE / count(*), 4), CASE WHEN count(*) FILTER (rc BETWEEN 1 AND 10) < 50 THEN 'OK' ELSE 'WARN' END FROM d
 UNION ALL SELECT 'rating_count_high_outlier', count(*) FILTER (rc > high), round_even(count(*) FILTER (rc > high)::DOUBLE / count(*), 4), 'OK' FROM q
 UNION ALL SELECT 'rating_star_descriptive', count(rating), round_even(count(rating)::DOUBLE / count(*), 4), 'INFO' FROM d
-UNION ALL SELECT 'lambda_exclusion_check', round_even(corr(a, b), 4), NULL, CASE WHEN abs(corr(a, b)) < 0.15 THEN 'OK' ELSE 'WARN' END FROM sp
+UNION ALL SELECT 'lambda_exclusion_check', round_even(corr(a, b), 4), NULL, CASE WHEN abs(corr(a, b)) < 0.15 THEN 'OK' ELSE 'WARN' END FROM sp HAVING count(*) >= 10
 UNION ALL SELECT 'rating_subtype_ranking', NULL, NULL, 'INFO'
 UNION ALL SELECT 'eligible_pois_pt_coverage', hit, round_even(hit::DOUBLE / n, 4), CASE WHEN hit::DOUBLE / n > 0.85 THEN 'OK' ELSE 'WARN' END FROM e
 UNION ALL SELECT 'outside_option_coverage', round_even(cov, 4), NULL, CASE WHEN cov > 0.3 THEN 'OK' ELSE 'WARN' END FROM c
