@@ -55,7 +55,7 @@ def test_flow_plan_matches_numpy(spark):
     assert out["long"].count() == n_o * len(keep)
     assert {r["check"] for r in out["quality"].collect()} == {
         "rating_count_zero", "rating_count_sparse", "rating_count_high_outlier", "eligible_pois_pt_coverage", "outside_option_coverage",
-        "pca_car_gtc_collinearity", "prior_validity_spearman_rho",
+        "pca_car_gtc_collinearity", "prior_validity_spearman_rho", "rating_star_descriptive", "rating_subtype_ranking",
     }
 
 

@@ -77,10 +77,15 @@ def ranked(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> Data
     return df
 
 
+def safe_corr(a: str, b: str) -> Column:
+    """Correlation as an aggregate; NULL, not an error, where a column does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rank correlation of two columns, overall or per group."""
     both = ranked(df.select(*keys, a, b), [a, b], keys)
-    return both.groupBy(*keys).agg(F.corr(a, b).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return both.groupBy(*keys).agg(safe_corr(a, b).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def rank_gap(df: DataFrame, cols: Sequence[str]) -> DataFrame:

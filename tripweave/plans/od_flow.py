@@ -19,7 +19,7 @@ from tripweave.functions.text import parse_number
 from tripweave.operators.aggregates import floored_average, quality_row, violations
 from tripweave.operators.columns import require_columns, select_existing
 from tripweave.operators.filters import is_clear_status, is_true_text, keep_non_negative
-from tripweave.operators.linear import residualise, spearman
+from tripweave.operators.linear import residualise, safe_corr, spearman
 from tripweave.operators.lookup import inner_suffixed, with_group_stats
 from tripweave.operators.profiling import count_flags
 from tripweave.operators.quantiles import exact_quantiles
@@ -238,7 +238,7 @@ def quality_log(dest: DataFrame, table: DataFrame, od: DataFrame, origins: DataF
     cover = od.groupBy("origin_id").agg(F.first("coverage").alias("c"))
     rows.append(quality_row(cover, "outside_option_coverage", F.bround(F.avg("c"), 4), None, F.when(F.avg("c") > 0.30, "OK").otherwise("WARN"), "mean coverage"))
     if origins is not None:
-        r = F.corr("PCA_Car_Proxy_01", "mean_gtc")
+        r = safe_corr("PCA_Car_Proxy_01", "mean_gtc")
         rows.append(quality_row(origins, "pca_car_gtc_collinearity", F.bround(r, 4), None, F.when(F.abs(r) < 0.40, "OK").otherwise("WARN"), "before the residual is taken"))
     rho = spearman(table, "mu_j", "rating_count")
     rows.append(quality_row(rho, "prior_validity_spearman_rho", F.bround(F.max("rho"), 4), None, F.when(F.max("rho") > 0.2, "OK").otherwise("WARN"), "rank correlation with counts"))
