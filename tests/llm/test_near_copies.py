@@ -69,3 +69,11 @@ def test_stage_drops_near_copies_simhash_leaves(spark, data):
 
 def test_empty_table(no_docs):
     assert near_copies.drop_near_copies(no_docs).count() == 0
+
+
+def test_one_row_of_each_group_stays(make_docs, odd):
+    got = near_copies.drop_near_copies(odd)
+    assert got.columns == odd.columns
+    assert sorted(r.doc_id for r in got.collect()) == [1, 4, 5, 6, 7, 8, 10, 12]
+    bare = make_docs([(None, "only here and nowhere else")] * 3 + [(3, "Another text"), (3, "another  TEXT"), (3, "a third one")])
+    assert sorted((r.doc_id or 0) for r in near_copies.drop_near_copies(bare).collect()) == [0, 3, 3]
