@@ -76,13 +76,16 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut_lineage(df: DataFrame, compact: bool = False) -> DataFrame:
+def cut_lineage(df: DataFrame, compact: bool = False, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For tables used more than once, and for loops: a lost executor then costs a re-read, and
     the optimizer sees the true size, prunes columns and may broadcast. ``compact`` is for tables
     far smaller than their inputs: at most three files a core, however many partitions made them.
+    ``keep`` lets the table outlive the innermost ``scratch_scope``, as what the scope returns.
     """
     path = scratch_path(df.sparkSession, "table")
+    if keep and _OPEN:
+        _OPEN[-1].remove(path)
     (df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism) if compact else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
