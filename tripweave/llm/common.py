@@ -20,10 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, compact: bool = False) -> DataFrame:
+def stored(df: DataFrame, compact: bool = False, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, safe against lost executors.
-    ``compact`` keeps the number of files down, for tables far smaller than the corpus."""
-    return cut_lineage(df, compact)
+    ``compact`` keeps the number of files down, for tables far smaller than the corpus; ``keep`` is for
+    the one table that a ``scratch_scope`` returns."""
+    return cut_lineage(df, compact, keep)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -34,6 +35,24 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+#: Bits of the map that ``sift`` sends to all tasks: 2 MB.
+SIFT_BITS = 24
+
+
+def sift(df: DataFrame, key: str, wanted: DataFrame, bits: int = SIFT_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among those of ``wanted``, before a join that shuffles.
+
+    All rows with a wanted key stay, and some others; the join decides. The map of ``2**bits``
+    hashed keys is broadcast, at most ``2**(bits - 6)`` rows whatever ``wanted`` holds.
+    """
+    at = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
+    found = wanted.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_cell"))
+    cells = found.agg(F.bit_or(F.expr("shiftleft(1L, int(_at & 63))")).alias("_bits"))
+    marked = df.withColumn("_at", at)
+    held = marked.join(F.broadcast(cells), F.shiftright("_at", 6) == F.col("_cell")).filter("(shiftright(_bits, int(_at & 63)) & 1L) = 1")
+    return held.select(*df.columns)
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

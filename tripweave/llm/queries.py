@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import decontamination, edit_embedding, language_crf, mixing, quality_trees, ring_sharding, simhash, suffix_dedup, token_counts, url_filters
+from tripweave.llm import decontamination, edit_embedding, language_crf, minhash, mixing, quality_trees, ring_sharding, simhash, suffix_dedup, token_counts, url_filters
 from tripweave.llm.common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,24 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.edit_table(table(spark, sf_dir, "documents"))
+
+
+NEAR_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as grams from d),
+s as (select grams, min(doc_id) as node, len(grams) as n from g where len(grams) > 0 group by grams),
+m as (select node, n, unnest(grams) as gram from s),
+e as (select a.node as a, b.node as b from m a join m b on a.gram = b.gram and a.node < b.node
+    group by a.node, b.node, a.n, b.n having 185 * count(*) >= 85 * (a.n + b.n)),
+pairs as (select a, b from e union all select b, a from e),
+r(node, seen) as (select node, node from s union select r.node, pairs.b from r join pairs on r.seen = pairs.a),
+c as (select node, min(seen) as root from r group by node)
+select g.doc_id, len(g.grams)::bigint as n_shingles, coalesce(c.root, g.doc_id) as component_id, g.doc_id = coalesce(c.root, g.doc_id) as kept
+from g left join s on g.grams = s.grams left join c on s.node = c.node"""
+
+
+@query(NEAR_SQL)
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
