@@ -81,7 +81,7 @@ def test_odd_rows(odd):
     assert len(got) == odd.count()
     assert by[1] == {(0, 1, True)} and by[2] == {(0, 2, True)} and by[3] == {(0, 3, True)}
     assert by[4] == {(1, 4, True)} and by[6] == {(2, 6, True)} and by[8] == {(1, 8, True)}
-    assert by[10] == {(4, 10, True)} and by[11] == {(4, 10, False)}
+    assert by[10] == {(5, 10, True)} and by[11] == {(5, 10, False)}
     assert by[None] == {(2, 6, False), (0, None, True)}
 
 

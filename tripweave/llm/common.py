@@ -39,13 +39,13 @@ def free_shuffles(spark: SparkSession) -> None:
 SIFT_BITS = 24
 
 
-def sift(df: DataFrame, key: str, wanted: DataFrame, bits: int = SIFT_BITS) -> DataFrame:
-    """The rows of ``df`` whose ``key`` may be among those of ``wanted``, before a join that shuffles.
+def sift(df: DataFrame, keys: str | Sequence[str], wanted: DataFrame, bits: int = SIFT_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` may be among those of ``wanted``, before a join that shuffles.
 
     All rows with a wanted key stay, and some others; the join decides. The map of ``2**bits``
     hashed keys is broadcast, at most ``2**(bits - 6)`` rows whatever ``wanted`` holds.
     """
-    at = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
+    at = F.xxhash64(*([keys] if isinstance(keys, str) else keys)).bitwiseAND(F.lit((1 << bits) - 1))
     found = wanted.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_cell"))
     cells = found.agg(F.bit_or(F.expr("shiftleft(1L, int(_at & 63))")).alias("_bits"))
     marked = df.withColumn("_at", at)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import decontamination, edit_embedding, language_crf, minhash, mixing, quality_trees, ring_sharding, simhash, suffix_dedup, token_counts, url_filters
+from tripweave.llm import collocations, decontamination, edit_embedding, language_crf, minhash, mixing, quality_trees, ring_sharding, simhash, suffix_dedup, token_counts, url_filters
 from tripweave.llm.common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,39 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.edit_table(table(spark, sf_dir, "documents"))
 
 
+PHRASE_SQL = r"""
+with t as (select row_number() over () as d, coalesce(lang, 'und') as lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, d, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from t),
+q as (select lang, row_number() over () as p, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+w as (select lang, p, unnest(w) as w1, unnest(range(1, len(w) + 1)) as i from q),
+o as (select lang, w1, lead(w1) over (partition by p order by i) as w2, lead(w1, 2) over (partition by p order by i) as w3 from w),
+f1 as (select lang, w1, count(*) as f from o group by lang, w1),
+f2 as (select lang, w1, w2, count(*) as f from o where w2 is not null group by lang, w1, w2 having count(*) >= 10),
+f3 as (select lang, w1, w2, w3, count(*) as f from o where w3 is not null group by lang, w1, w2, w3 having count(*) >= 10),
+n as (select lang, sum(f)::bigint as n from f1 group by lang),
+held as (select lang, w1, w2, max(f) as m from (select lang, w1, w2, f from f3 union all select lang, w2, w3, f from f3) group by lang, w1, w2),
+c2 as (
+  select f2.lang, f2.w1 || ' ' || f2.w2 as phrase, f2.f as a, 1 as cut, x.f as l, y.f as r
+  from f2 join f1 x on x.lang = f2.lang and x.w1 = f2.w1 join f1 y on y.lang = f2.lang and y.w1 = f2.w2
+  left join held on held.lang = f2.lang and held.w1 = f2.w1 and held.w2 = f2.w2 where m is null or 100 * m < 50 * f2.f),
+c3 as (
+  select f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 as phrase, f3.f as a, 1 as cut, x.f as l, y.f as r
+  from f3 join f1 x on x.lang = f3.lang and x.w1 = f3.w1 join f2 y on y.lang = f3.lang and y.w1 = f3.w2 and y.w2 = f3.w3
+  union all
+  select f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 2, x.f, y.f
+  from f3 join f2 x on x.lang = f3.lang and x.w1 = f3.w1 and x.w2 = f3.w2 join f1 y on y.lang = f3.lang and y.w1 = f3.w3),
+cuts as (select *, (1000000::hugeint * a * a) // (l::hugeint * r) as score from (select * from c2 union all select * from c3)),
+lowest as (select *, row_number() over (partition by lang, phrase order by score, cut) as nth from cuts),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest where nth = 1)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join n using (lang) where rank <= 2000"""
+
+
+@query(PHRASE_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 NEAR_SQL = r"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
