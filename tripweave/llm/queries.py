@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import collocations, decontamination, edit_embedding, language_crf, minhash, mixing, quality_trees, ring_sharding, simhash, suffix_dedup, token_counts, url_filters
+from tripweave.llm import collocations, decontamination, edit_embedding, language_crf, minhash, mixing, quality_trees, resampling, ring_sharding, simhash, suffix_dedup, token_counts, url_filters
 from tripweave.llm.common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,36 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+#: CRC-32 byte by byte and bit by bit, as DuckDB has no function for it.
+RESAMPLE_SQL = r"""
+with w as (
+  select doc_id, row_number() over () as d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark),
+o as (select d, unnest(w) as word from w),
+words as (select distinct word from (select word from o union all select word from b)),
+h as (select word, hex(word) as hex from words),
+c as (select word, (xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(hex) // 2), lambda i: ('0x' || hex[2 * i + 1:2 * i + 2])::bigint)),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), range(0, 8)), lambda u, v: xor(u >> 1, 3988292384 * (u & 1))))) % 10000)::bigint as bucket from h),
+s as (select bucket, count(*) as s from o join c using (word) group by bucket),
+t as (select bucket, count(*) as t from b join c using (word) group by bucket),
+z as (select (select count(*) from o) as ss, (select count(*) from b) as tt),
+g as (select bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::double * (ss + 10000)::double) / ((coalesce(s, 0) + 1)::double * (tt + 10000)::double)))::bigint as gain
+  from s full join t using (bucket) cross join z),
+m as (select d, sum(gain) as total from o join c using (word) join g using (bucket) group by d),
+x as (select w.doc_id, w.d, len(w.w)::bigint as n_features, coalesce(floor(total::double / len(w.w)::double), 0)::bigint as weight,
+  ('0x' || sha256('2024:' || coalesce(w.doc_id::varchar, ''))[1:8])::bigint as h from w left join m using (d)),
+y as (select *, weight + floor(-1000.0::double * ln(-ln((h + 0.5)::double / 4294967296.0::double)))::bigint as score from x),
+r as (select d, row_number() over (order by score desc, doc_id nulls last, n_features, d) as rank from y where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= (select count(*) from r) * 10 // 100 then rank end as rank from y left join r using (d)"""
+
+
+@query(RESAMPLE_SQL)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 NEAR_SQL = r"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
