@@ -13,6 +13,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN: list[list[str]] = []
+#: With it Spark deletes the shuffle files of a write when the write ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -62,6 +64,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Delete, on leaving, everything stored inside; results must be written or collected before."""
@@ -72,20 +79,41 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _OPEN[:] = [m for m in _OPEN if m is not made]
         for path in made:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
 
 
 def cut_lineage(df: DataFrame, compact: bool = False, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For tables used more than once, and for loops: a lost executor then costs a re-read, and
-    the optimizer sees the true size, prunes columns and may broadcast. ``compact`` is for tables
-    far smaller than their inputs: at most three files a core, however many partitions made them.
+    the optimizer sees the true size, prunes columns and may broadcast. Shuffle files of the write go
+    when it ends. ``compact`` is for tables far smaller than their inputs: at most three files a core,
+    however many partitions made them.
     ``keep`` lets the table outlive the innermost ``scratch_scope``, as what the scope returns.
     """
-    path = scratch_path(df.sparkSession, "table")
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
     if keep and _OPEN:
         _OPEN[-1].remove(path)
-    (df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism) if compact else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        (df.coalesce(3 * spark.sparkContext.defaultParallelism) if compact else df).write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut_lineage`` that nothing reads any more."""
+    for table in tables:
+        path = table._stored_at
+        for made in _OPEN:
+            if path in made:
+                made.remove(path)
+        _delete(table.sparkSession, path)
