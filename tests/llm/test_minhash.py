@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tripweave.llm import minhash
-from tripweave.llm.near_copies import shingles
+from tripweave.llm.common import shingles
 
 
 def plain(rows, p=85, q=100):
@@ -114,4 +114,11 @@ def test_every_band_of_similar_sets_is_met_often_enough():
             if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
                 x, y = bins.signature(a), bins.signature(b)
                 assert (bins.keys(x) == bins.keys(y)).any()
-                assert (x == y).sum() >= minhash.agreement(minhash.ALIKE, bins.size)
+
+
+def test_intersections_of_blocks_are_exact():
+    rng = random.Random(8)
+    x, y = ([np.array(sorted(rng.sample(range(9000), rng.randint(1, 4500)))) for _ in range(n)] for n in (7, 5))
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert minhash._shared(x, y).tolist() == want
+    assert minhash._shared([np.array([1])], [np.array([2, 3])]).tolist() == [[0]]

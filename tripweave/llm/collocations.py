@@ -20,10 +20,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripweave.llm.common import sift, stored
-from tripweave.session import scratch_scope
+from tripweave.session import release, scratch_scope
 
 #: Words of one chunk; a document is never split.
-CHUNK = 600_000
+CHUNK = 1_500_000
 LONGEST, LEAST, TOP = 3, 10, 2000
 #: A candidate goes if a longer one that contains it has this share of its count or more, as a fraction.
 WITHIN = (50, 100)
@@ -191,6 +191,7 @@ def collocations(
         )
         frequent = known.groupBy("chunk").agg(F.collect_list(F.struct("slot", "gid")).alias("frequent"))
         relation = stored(cut.select("chunk", "slots").join(frequent, "chunk").mapInArrow(_frequent_words, RELATION))
+        release(cut)
         found = None
         for length in range(2, longest + 1):
             pairs = stored(candidates(relation))
@@ -209,7 +210,8 @@ def collocations(
                 names = longer.select(F.col("first").alias("a"), F.col("rest").alias("b"), "gid")
                 known = sift(pairs, ["a", "b"], names).join(names, ["a", "b"])
                 frequent = known.groupBy("chunk").agg(F.collect_list(F.struct("a", "b", "gid")).alias("frequent"))
-                relation = stored(relation.join(frequent, "chunk").mapInArrow(_frequent_pairs, RELATION))
+                shorter, relation = relation, stored(relation.join(frequent, "chunk").mapInArrow(_frequent_pairs, RELATION))
+                release(shorter, pairs)
             groups = longer
         last = _scored(groups, longest)
         found = last if found is None else found.unionByName(last)

@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import time
 from collections.abc import Sequence
+from itertools import repeat
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from tripweave.session import cut_lineage
 
 #: A word is a longest run of characters other than ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Words of a shingle of near copies, and the seed of the shingles' hashes.
+SHINGLE, HASH_SEED = 5, 42
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +62,18 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit names of the word shingles; the words themselves, if they are too few for one.
+    Of UTF-8 bytes only A-Z are lower-cased and only ASCII white space parts words. No word: an empty set."""
+    words = (text or b"").lower().split()
+    n = len(words) - shingle + 1
+    if n < 1:
+        grams = [b" ".join(words)] if words else []
+        return np.array([xxhash.xxh64_intdigest(g, HASH_SEED) for g in grams], np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(HASH_SEED)), np.uint64, n))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

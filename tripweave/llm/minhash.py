@@ -3,13 +3,13 @@
 One hash orders the shingles of a set. The order is cut into BANDS x ROWS bins, and each bin keeps
 its smallest hash. An empty bin takes the value of the first bin with one in a random order of its
 own, so every bin is a fair and independent draw. Sets with equal bins in some band meet in
-its bucket. A bucket gives links to its smallest member only; what those leave apart is compared
-across the groups found so far, block by block. Every link is confirmed on the full sets.
+its bucket. A bucket gives candidates with its smallest member only; what those leave apart is compared
+on the full sets, block by block, and gives at most one link for each group that it joins. Every link
+is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +17,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tripweave.llm.common import sift, stored
-from tripweave.llm.near_copies import SEED, SHINGLE, shingles
+from tripweave.llm.common import HASH_SEED as SEED
+from tripweave.llm.common import SHINGLE, shingles, sift, stored
 from tripweave.operators.dedup import components
 from tripweave.session import scratch_scope
 
@@ -27,10 +28,8 @@ from tripweave.session import scratch_scope
 ALIKE = (85, 100)
 #: Sets at the least similarity share no band with a chance of (1 - 0.85^5)^40, about 10^-10.
 BANDS, ROWS = 40, 5
-#: Members of a bucket compared in one block.
-BLOCK = 256
-#: Pairs whose bins agree by this many standard deviations less than the least similarity are not confirmed.
-DEVIATIONS = 8
+#: Members of a bucket compared in one block, and shingles of such a block (a larger set is a block of its own).
+BLOCK, BLOCK_SHINGLES = 256, 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,42 +63,30 @@ class Bins:
         return key
 
 
-def agreement(alike: tuple[int, int], bins: int) -> int:
-    """Least number of agreeing bins of a pair worth confirming."""
-    share = alike[0] / alike[1]
-    return max(0, math.floor(bins * share - DEVIATIONS * math.sqrt(bins * share * (1 - share))))
-
-
-def with_signatures(docs: DataFrame, bins: Bins, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text, node, n, keys, marks) of each row: the name of its set (null: no words), the set's
-    size, its band keys and one byte of each bin."""
+def with_signatures(docs: DataFrame, bins: Bins, shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, node, n, keys, and columns ``also``) of each row: the name of its set (null: no words),
+    the set's size and its band keys."""
+    kept = ["text", "doc_id", *also]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys, marks = [], [], [], []
-            for text in batch.column(1):
-                names = shingles(text.as_py(), shingle)
-                sizes.append(len(names))
-                if not len(names):
-                    nodes.append(None), keys.append(None), marks.append(None)
-                    continue
-                values = bins.signature(names)
-                nodes.append(xxhash.xxh3_128_digest(names.tobytes(), SEED))
-                keys.append(bins.keys(values).view(np.int64))
-                marks.append((values & np.uint64(255)).astype(np.uint8).tobytes())
-            columns = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text", "node", "n", "keys", "marks"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(signed, "doc_id long, text binary, node binary, n long, keys array<long>, marks binary")
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, alike: tuple[int, int], shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) of set names whose sets have a Jaccard similarity of ``alike`` or more.
-
-    ``texts`` has node and text; only texts of wanted nodes are shuffled, one for each node.
-    """
-    p, q = alike
+            nodes, sizes, keys = [], [], []
+            for text in batch.column(0):
+                found = shingles(text.as_py(), shingle)
+                sizes.append(len(found))
+                nodes.append(xxhash.xxh3_128_digest(found.tobytes(), SEED) if len(found) else None)
+                keys.append(bins.keys(bins.signature(found)).view(np.int64) if len(found) else None)
+            columns = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*kept, "node", "n", "keys"])
+
+    rows = docs.select(F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *also)
+    made = [T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    return rows.mapInArrow(signed, T.StructType([*rows.schema.fields, *made]))
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(node, grams): the sorted shingle hashes of each wanted node. Only texts of wanted nodes are
+    shuffled, one for each node."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,70 +95,105 @@ def confirmed(pairs: DataFrame, texts: DataFrame, alike: tuple[int, int], shingl
                 found = pa.array([shingles(t.as_py(), shingle).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), found], names=["node", "grams"])
 
-    pairs = stored(pairs.distinct())
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     one = sift(texts, "node", wanted).groupBy("node").agg(F.min("text").alias("text")).join(wanted, "node", "left_semi")
-    known = stored(one.mapInArrow(grams, "node binary, grams array<long>"))
-    both = pairs.join(known.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-    both = both.join(known.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return stored(both.filter((p + q) * shared >= p * (F.size("ga") + F.size("gb"))).select("a", "b"))
+    return one.mapInArrow(grams, "node binary, grams array<long>")
 
 
-def _across(alike: tuple[int, int], least: int):
-    """Pairs of a block of a bucket with another one, or with itself, that are in different groups and
-    whose sizes and bins allow a link."""
+def confirmed(pairs: DataFrame, sets: DataFrame, alike: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of set names whose sets have a Jaccard similarity of ``alike`` or more."""
+    p, q = alike
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return both.filter((p + q) * shared >= p * (F.size("ga") + F.size("gb"))).select("a", "b")
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets ``x`` with the sets ``y``: products of incidence matrices,
+    a few thousand members of the sets at a time, only of those that both sides have."""
+    rows = [np.repeat(np.arange(len(s)), [len(g) for g in s]) for s in (x, y)]
+    every = [np.concatenate(s) for s in (x, y)]
+    common = np.intersect1d(*every)
+    out = np.zeros((len(x), len(y)), np.int64)
+    if not len(common):
+        return out
+    spots = [np.minimum(np.searchsorted(common, e), len(common) - 1) for e in every]
+    held = [common[s] == e for s, e in zip(spots, every)]
+    cells = [(r[h], s[h]) for r, s, h in zip(rows, spots, held)]
+    for lo in range(0, len(common), 4096):
+        sides = []
+        for (r, s), size in zip(cells, out.shape):
+            part = (s >= lo) & (s < lo + 4096)
+            side = np.zeros((size, min(4096, len(common) - lo)), np.float32)
+            side[r[part], s[part] - lo] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _across(alike: tuple[int, int]):
+    """Links between groups of a block of a bucket and groups of another one, or of itself: confirmed pairs that
+    join them, one fewer than the groups joined."""
     p, q = alike
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                sides = []
+                nodes, groups, sets = [], [], []
                 for c in (0, 1):
                     members = batch.column(c)[k].values
-                    node, n, root, marks = (members.field(f) for f in ("node", "n", "root", "marks"))
-                    sides.append((node, n.to_numpy(), root, np.array([np.frombuffer(m.as_py(), np.uint8) for m in marks])))
-                (a, n, ra, x), (b, m, rb, y) = sides
-                able = q * np.minimum(n[:, None], m) >= p * np.maximum(n[:, None], m)
-                names, codes = np.unique(np.array(ra.to_pylist() + rb.to_pylist(), dtype=object), return_inverse=True)
-                able &= codes[: len(ra), None] != codes[len(ra) :]
-                i, j = np.nonzero(able)
-                near = np.concatenate([(x[i[s : s + 4096]] == y[j[s : s + 4096]]).sum(axis=1) >= least for s in range(0, len(i), 4096)] or [[]]).astype(bool)
-                left, right = a.take(pa.array(i[near])).to_pylist(), b.take(pa.array(j[near])).to_pylist()
-                ends = [(min(u, v), max(u, v)) for u, v in zip(left, right)]
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                    nodes.append(members.field("node").to_pylist()), groups.append(members.field("root").to_pylist())
+                    sets.append([g.values.to_numpy() for g in members.field("grams")])
+                sizes = [np.array([len(g) for g in s]) for s in sets]
+                alike_ones = (p + q) * _shared(*sets) >= p * (sizes[0][:, None] + sizes[1])
+                root = {g: g for side in groups for g in side}
+                found = []
+                for i, j in zip(*(x.tolist() for x in np.nonzero(alike_ones))):
+                    u, v = groups[0][i], groups[1][j]
+                    while root[u] != u:
+                        root[u] = u = root[root[u]]
+                    while root[v] != v:
+                        root[v] = v = root[root[v]]
+                    if u != v:
+                        root[u] = v
+                        found.append((nodes[0][i], nodes[1][j]))
+                yield pa.RecordBatch.from_arrays([pa.array([f[s] for f in found], pa.binary()) for s in (0, 1)], names=["a", "b"])
 
     return pairs
 
 
-def links(nodes: DataFrame, texts: DataFrame, bins: Bins, alike: tuple[int, int] = ALIKE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+def links(
+    nodes: DataFrame, texts: DataFrame, alike: tuple[int, int] = ALIKE, shingle: int = SHINGLE, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
     """(a, b): confirmed links that join exactly the sets which links of candidates join, directly or through others.
 
-    ``nodes`` has node, n, keys and marks of each distinct set. A bucket of m sets gives m - 1 candidates
-    first. Members that stay in different groups are then compared in blocks of about ``block``; a
-    block goes to its partner under a key of its own, so a large bucket becomes many tasks.
+    ``nodes`` has node, n and keys of each distinct set, ``texts`` has node and text. A bucket of m sets gives
+    m - 1 candidates first. Buckets whose members stay in different groups are then compared in blocks; a block
+    goes to each partner under a key of its own, so a large bucket becomes many tasks.
     """
     p, q = alike
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    buckets = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("hub")).filter("size > 1"), compact=True)
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("load"), F.min(F.struct("node", "n")).alias("hub"))
+    buckets = stored(counts.filter("size > 1"), compact=True)
     met = stored(sift(keyed, "key", buckets).join(buckets, "key"))
+    sets = stored(sets_of(texts, met.select("node").distinct(), shingle))
     able = q * F.least("n", "hub.n") >= p * F.greatest("n", "hub.n")
     stars = met.filter("node <> hub.node").filter(able).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-    first = confirmed(stars, texts, alike, shingle)
+    first = stored(confirmed(stars.distinct(), sets, alike), compact=True)
     groups = stored(components(first), compact=True).withColumnRenamed("node", "_node")
     others = met.filter("size > 2 and node <> hub.node")  # the hub has met all others
-    rooted = stored(others.join(groups, F.col("node") == F.col("_node"), "left").select("key", "size", "node", "n", F.coalesce("component", "node").alias("root")))
+    parts = F.greatest(F.ceil(F.col("size") / F.lit(float(block))), F.ceil(F.col("load") / F.lit(float(block_shingles)))).alias("parts")
+    rooted = others.join(groups, F.col("node") == F.col("_node"), "left").select("key", parts, "node", F.coalesce("component", "node").alias("root"))
+    rooted = stored(rooted)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    cell = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(float(block)))).alias("cell")
-    open_ones = stored(rooted.join(mixed, "key", "left_semi"))
-    marks = sift(nodes.select("node", "marks"), "node", open_ones)
-    member = F.struct("node", "n", "root", "marks").alias("member")
-    cells = open_ones.join(marks, "node").select("key", "size", cell, member).groupBy("key", "size", "cell").agg(F.collect_list("member").alias("members"))
-    cells = stored(cells.withColumn("last", F.ceil(F.col("size") / F.lit(float(block))) - 1))
-    sent = cells.select("key", F.col("members").alias("ma"), F.explode(F.sequence("cell", "last")).alias("cell"))
+    member = F.struct("node", "root", "grams").alias("member")
+    cell = F.pmod(F.xxhash64("node"), F.col("parts")).alias("cell")
+    cells = rooted.join(mixed, "key", "left_semi").join(sets, "node").select("key", "parts", cell, member)
+    cells = stored(cells.groupBy("key", "parts", "cell").agg(F.collect_list("member").alias("members")))
+    sent = cells.select("key", F.col("members").alias("ma"), F.explode(F.expr("sequence(cell, parts - 1)")).alias("cell"))
     blocks = sent.join(cells.select("key", "cell", F.col("members").alias("mb")), ["key", "cell"]).select("ma", "mb")
-    second = blocks.mapInArrow(_across(alike, agreement(alike, bins.size)), "a binary, b binary")
-    return first.unionByName(confirmed(second, texts, alike, shingle))
+    second = stored(blocks.mapInArrow(_across(alike), "a binary, b binary").distinct(), compact=True)
+    return first.unionByName(second)
 
 
 def near_duplicates(
@@ -190,9 +212,9 @@ def near_duplicates(
     with scratch_scope(docs.sparkSession):
         marked = stored(with_signatures(docs, bins, shingle))
         worded = marked.filter("node is not null")
-        firsts = [F.first(c).alias(c) for c in ("n", "keys", "marks")]
+        firsts = [F.first(c).alias(c) for c in ("n", "keys")]
         sets = stored(worded.groupBy("node").agg(*firsts, F.min("doc_id").alias("first_id")))
-        parts = components(links(sets, worded.select("node", "text"), bins, alike, shingle, block)).withColumnRenamed("node", "_node")
+        parts = components(links(sets, worded.select("node", "text"), alike, shingle, block)).withColumnRenamed("node", "_node")
         named = sets.join(parts, F.col("node") == F.col("_node"), "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
         named = stored(named)
         roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
