@@ -59,6 +59,9 @@ def test_several_indexes_find_the_same(spark, make_docs, monkeypatch):
     table = spark.createDataFrame(items, "item_id long, text string")
     parts = dc.indexes(table, 17)
     assert len(parts) == 4 and sum(len(p.ids) for p in parts) == 62
+    whole = sorted(map(tuple, dc.find_leaks(make_docs(docs), table).collect()))
+    monkeypatch.setattr(dc.indexes, "__defaults__", (17,))
+    assert whole and sorted(map(tuple, dc.find_leaks(make_docs(docs), table).collect())) == whole  # scores too
 
 
 def test_wand_equals_the_full_sum():

@@ -55,3 +55,14 @@ def test_documents_come_as_often_as_taken(spark, data):
     assert out.columns == docs.columns
     got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert got == {i: n for i, n in times.items() if n}
+
+
+def test_ids_shared_by_sources_and_any_column_names(spark):
+    rows = [(i % 50, " ".join(["w"] * (10 + i % 7)), "a" if i < 50 else "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as _id", "2 as _size", "3 as _times", "4 as row", "5 as tag", "6 as size")
+    planned = mixing.mix(docs).collect()
+    wanted = sum(-(-r.taken // r.size) * r.size for r in planned)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    assert sum(len(r.text.split()) for r in out.collect()) == wanted
+    assert wanted - sum(r.taken for r in planned) < 2 * 17

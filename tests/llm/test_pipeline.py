@@ -34,14 +34,12 @@ def test_quality_rejects_by_the_model(spark, data, steps):
 
 
 def test_one_of_each_group_stays(steps):
-    from test_simhash import plain_components, plain_fingerprint
+    from test_near_copies import plain_groups
 
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in steps[1].collect()}
-    roots = plain_components(set(prints.values()), 2)
-    first = {}
-    for i, p in sorted(prints.items()):
-        first.setdefault(roots[p], i)
-    assert sorted(r.doc_id for r in steps[2].collect()) == sorted(first.values())
+    rows = sorted(steps[1].collect(), key=lambda r: r.doc_id)
+    first = set(plain_groups([r.text for r in rows]))
+    assert len(first) < len(rows)
+    assert sorted(r.doc_id for r in steps[2].collect()) == [rows[i].doc_id for i in sorted(first)]
 
 
 def test_no_leak_stays_and_no_other_goes(spark, data, steps):
@@ -79,5 +77,16 @@ def test_every_row_has_its_slot(steps):
     assert crc == Counter((r.doc_id, r.text_crc32) for r in rows)
 
 
+def test_odd_and_empty_documents_go_through(spark, data, odd, no_docs):
+    for docs in (odd, no_docs):
+        out = docs
+        for name, stage in cp.STAGES:
+            before, out = out, stage(spark, out, data)
+            if name != "sharding":
+                assert out.columns == docs.columns
+                assert name == "mixing" or out.count() <= before.count()
+        assert out.count() == before.count()
+
+
 def test_run_gives_the_same(spark, data, steps):
     assert sorted(map(tuple, cp.run(spark, data).collect())) == sorted(map(tuple, steps[5].collect()))

@@ -69,6 +69,10 @@ def test_odd_rows(odd, no_docs):
 
 def test_written_shards_hold_every_document(spark, odd, tmp_path):
     docs = odd.filter("doc_id is not null")
-    rs.write_shards(docs, rs.assign(docs, range(4)), f"file://{tmp_path}/out")
+    rs.write_shards(docs, f"file://{tmp_path}/out", range(4))
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert {r.doc_id for r in back.collect()} == {r.doc_id for r in docs.collect()}
+    own = docs.selectExpr("*", "1 as _id", "2 as _crc", "3 as row", "4 as key").drop("shard").withColumn("shard", docs["doc_id"] * 10)
+    rs.write_shards(own, f"file://{tmp_path}/own", range(4))
+    again = spark.read.parquet(f"file://{tmp_path}/own").collect()
+    assert len(again) == own.count() and all(r.shard_in == r.doc_id * 10 for r in again)

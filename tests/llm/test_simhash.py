@@ -102,14 +102,6 @@ def test_groups_and_odd_rows(spark, odd, no_docs):
     assert [r.component_id for r in by_id[6]] == [6, 6]
     assert sorted(r.component_id for r in by_id[None]) == [1, 6]
     assert simhash.near_duplicates(no_docs).count() == 0
-    kept = simhash.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 6, 7, 8, 10, 12]
-
-
-def test_group_without_ids_stays(make_docs):
-    docs = make_docs([(None, "only here and nowhere else"), (3, "another text altogether, my friend")])
-    assert simhash.drop_near_duplicates(docs).count() == 2
 
 
 def test_query_is_brute_force(spark, data):

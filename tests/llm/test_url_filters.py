@@ -42,10 +42,10 @@ def test_parts_and_rules(spark):
         assert r.verdict == (dict((b, a) for a, b in RULES)[r.rule] if r.rule else "allow")
 
 
-def plain_templates(rows, depth, min_share, merge_z):
+def plain_templates(rows, min_labels, merge_z):
     """rows: (page, host, path, bad or None) -> template of each page."""
     work = {p: (h, [s for s in path.split("/") if s], "", bad) for p, h, path, bad in rows}
-    for level in range(depth):
+    for level in range(max(len(seg) for _, seg, _, _ in work.values())):
         kids, parents = {}, {}
         for h, seg, t, bad in work.values():
             if len(seg) > level:
@@ -57,14 +57,14 @@ def plain_templates(rows, depth, min_share, merge_z):
         kept = set()
         for (h, t, s), (n, k, b) in kids.items():
             an, ak, ab = parents[h, t]
-            if n >= min_share * an and k and ak > k and 0 < ab < ak:
+            if k >= min_labels and ak > k and 0 < ab < ak:
                 p = ab / ak
                 if abs(b / k - (ab - b) / (ak - k)) >= merge_z * (p * (1 - p) * (1 / k + 1 / (ak - k))) ** 0.5:
                     kept.add((h, t, s))
         work = {
             p: (h, seg, (t + "/" + (seg[level] if (h, t, seg[level]) in kept else "*")) if len(seg) > level else t, bad) for p, (h, seg, t, bad) in work.items()
         }
-    return {p: (h, t + "/**" * (len(seg) > depth)) for p, (h, seg, t, _) in work.items()}
+    return {p: (h, t) for p, (h, seg, t, _) in work.items()}
 
 
 def test_template_tree_is_the_plain_one(spark):
@@ -76,9 +76,19 @@ def test_template_tree_is_the_plain_one(spark):
     pages = spark.createDataFrame([(p, f"http://{h}{path}") for p, h, path, _ in rows], "page_id long, url string")
     labels = spark.createDataFrame([(p, b) for p, _, _, b in rows if b is not None] + [(None, 1), (10**9, 1), (0, None)], "page_id long, bad int")
     got = {r.page_id: r for r in uf.judge(pages, labels, ()).collect()}
-    want = plain_templates(rows, uf.DEPTH, uf.MIN_SHARE, uf.MERGE_Z)
+    want = plain_templates(rows, uf.MIN_LABELS, uf.MERGE_Z)
     assert {p: (r.host, r.template) for p, r in got.items()} == want
-    assert got[0].template == "/spam/*/*" and got[0].verdict == "block" and got[1].verdict == "allow" and got[2].template.endswith("/**")
+    assert got[0].template == "/spam/*/*" and got[0].verdict == "block" and got[1].verdict == "allow" and got[2].template == "/news/*/*/*/*/*"
+
+
+def test_small_branches_and_deep_ones_are_judged_by_their_labels(spark):
+    """One bad branch in a hundred, and a bad branch that begins at the fifth segment."""
+    rows = [(f"http://wide.net/b{i}/{k}", int(i in (7, 70)), k % 2 == 0) for i in range(100) for k in range(60)]
+    rows += [(f"http://deep.net/a/{k}/c/d/{'bad' if k % 40 == 0 else 'good'}/x/{k}", int(k % 40 == 0), True) for k in range(2000)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, bad) for i, (_, bad, shown) in enumerate(rows) if shown], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in uf.judge(pages, labels, ()).collect()}
+    assert got == {i: "block" if bad else "allow" for i, (_, bad, _) in enumerate(rows)}
 
 
 def test_empty_tables(spark):

@@ -37,6 +37,33 @@ def shingles(words: Sequence[str]) -> list[tuple[str, ...]]:
     return [tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
 
 
+class Corpus:
+    """What BM25 takes from all items: their number, mean length, and how many hold each word."""
+
+    def __init__(self) -> None:
+        self.n, self.length, self.holding = 0, 0, Counter()
+
+    def add(self, text: str | None) -> None:
+        words = words_of(text)
+        if words:
+            self.n, self.length = self.n + 1, self.length + len(words)
+            self.holding.update(set(words))
+
+    @classmethod
+    def of(cls, items: Iterable[tuple[int, str | None]]) -> Corpus:
+        out = cls()
+        for _, text in items:
+            out.add(text)
+        return out
+
+    @property
+    def mean(self) -> float:
+        return self.length / max(1, self.n)
+
+    def idf(self, word: str) -> float:
+        return float(np.log(1 + (self.n - self.holding[word] + 0.5) / (self.holding[word] + 0.5)))
+
+
 class Index:
     """BM25 postings of some items. Weights are divided by the item's threshold, so 1 is enough.
 
@@ -45,18 +72,21 @@ class Index:
     shingles may be, and at worst those of the largest weights. Nothing above it is lost.
     """
 
-    def __init__(self, items: Iterable[tuple[int, str | None]]):
+    def __init__(self, items: Iterable[tuple[int, str | None]], corpus: Corpus | None = None):
+        """``corpus``: statistics of all items, when these are a part of them."""
+        items = list(items)
+        corpus = corpus or Corpus.of(items)
         pairs = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
         self.ids, self.words = [i for i, _ in pairs], [w for _, w in pairs]
         counts = [Counter(w) for w in self.words]
-        found = Counter(t for c in counts for t in c)
+        found = {t for c in counts for t in c}
         self.vocabulary = {t: k for k, t in enumerate(sorted(found))}
-        n, mean = len(pairs), sum(map(len, self.words)) / max(1, len(pairs))
+        n = len(pairs)
         postings: list[list[tuple[int, float]]] = [[] for _ in found]
         self.longest = max(map(len, self.words), default=1)
         for i, c in enumerate(counts):
-            norm = K1 * (1 - B + B * len(self.words[i]) / mean)
-            weights = {t: np.log(1 + (n - found[t] + 0.5) / (found[t] + 0.5)) * tf * (K1 + 1) / (tf + norm) for t, tf in c.items()}
+            norm = K1 * (1 - B + B * len(self.words[i]) / corpus.mean)
+            weights = {t: corpus.idf(t) * tf * (K1 + 1) / (tf + norm) for t, tf in c.items()}
             spare = int((1 - SIMILARITY) * len(shingles(self.words[i])) + 1e-9)
             least = sum(weights.values()) - sum(sorted(weights.values(), reverse=True)[:spare])
             for t, w in weights.items():
@@ -200,15 +230,19 @@ class Index:
 
 
 def indexes(items: DataFrame, size: int = INDEX_ITEMS) -> list[Index]:
-    """Indexes of at most ``size`` items each; every one is built and sent to the tasks by itself."""
+    """Indexes of at most ``size`` items each; every one is built and sent to the tasks by itself. Scores
+    do not depend on the cut: word statistics are those of all items."""
     clean = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text")
+    corpus = Corpus()
+    for r in clean.toLocalIterator():
+        corpus.add(r["text"])
     out, part = [], []
     for r in clean.toLocalIterator():
         part.append((r["item_id"], r["text"]))
         if len(part) == size:
-            out.append(Index(part))
+            out.append(Index(part, corpus))
             part = []
-    return out + [Index(part)] if part or not out else out
+    return out + [Index(part, corpus)] if part or not out else out
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -238,7 +272,11 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, columns as they came."""
+    """The documents that hold no benchmark item, columns as they came and with any name.
+
+    Judged as in ``find_leaks``: null, empty and wordless texts hold nothing and stay, repeated rows stay or
+    go together, and without items all stay.
+    """
     for index in indexes(items):
         docs = docs.filter(_clean(index)(docs["text"]))
     return docs

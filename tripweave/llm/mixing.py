@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.llm.common import running_totals, stored, word_count
+from tripweave.session import scratch_scope
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -57,7 +58,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     form a source of their own. Rows without an id, or with the same, follow each other by size.
     Extra columns are ignored. An empty table gives an empty one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    return _mixed(docs, [], weights, share, most)
+
+
+def _mixed(docs: DataFrame, also: list[str], weights: Sequence[int], share: float, most: int) -> DataFrame:
+    """``mix`` with further columns of ``docs``."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *also
+    )
     rows = stored(rows.withColumn("_key", random_key(F.col("doc_id"))))
     aims = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), compact=True)
     placed = running_totals(rows, ["source"], [F.col("_key"), F.col("doc_id"), F.col("size")], "size", "_before")
@@ -68,18 +76,21 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *also)
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix itself: each document as often as the mix takes it, columns as they came.
 
     A document taken in part at its source's cut comes whole once more. Documents without words
-    cost nothing and stay once. Rows that repeat an id come as often as their sizes say together.
+    (null, empty or blank texts) cost nothing and stay once. Every row is judged by itself, whatever
+    id it has or shares. Columns may have any name. An empty table gives an empty one.
     """
-    plan = mix(docs, weights, share, most)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest("size", F.lit(1))))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), times.cast("int").alias("_times")).filter("_times > 0")
-    plan = plan.groupBy("_id", "_size").agg(F.max("_times").alias("_times"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")) & (word_count(docs["text"]) == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    with scratch_scope(docs.sparkSession):
+        rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text", F.monotonically_increasing_id().alias("tag"))
+        rows = stored(rows.select("row", "tag"))
+        plan = _mixed(rows.select("row.doc_id", "row.source", "row.text", "tag"), ["tag"], weights, share, most)
+        times = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
+        plan = stored(plan.select("tag", times.alias("times")).filter("times > 0"))
+        copies = rows.join(plan, "tag").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        return stored(copies.select("row.*"), keep=True)

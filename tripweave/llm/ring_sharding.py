@@ -7,10 +7,10 @@ import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import stored
+from tripweave.llm.common import running_totals, stored
+from tripweave.session import scratch_scope
 
 SHARDS = 40
 VNODES = 64
@@ -90,13 +90,18 @@ def assign(docs: DataFrame, shards: Sequence[int] = tuple(range(SHARDS)), vnodes
     equal rows share the places they fill. Extra columns are ignored. An empty table gives an
     empty one.
     """
+    return _assigned(docs, [], shards, vnodes, slack)
+
+
+def _assigned(docs: DataFrame, also: list[str], shards: Sequence[int], vnodes: int, slack: float) -> DataFrame:
+    """``assign`` with further columns of ``docs``."""
     spark = docs.sparkSession
     nodes = ring(shards, vnodes)
     raw = F.col("text").cast("binary")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(raw), F.lit(0)) + 16).cast("long").alias("size"),
-        F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
+        F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"), *also,
     )
     rows = rows.withColumn("_pos", F.xxhash64("doc_id", "text_crc32"))
     rows = stored(rows.withColumn("_slice", F.pmod("_pos", F.lit(SLICES)).cast("int")))
@@ -105,21 +110,24 @@ def assign(docs: DataFrame, shards: Sequence[int] = tuple(range(SHARDS)), vnodes
     steps = place(counts, nodes, row_room(sum(counts.values()), shards, slack))
     start_table = spark.createDataFrame(starts, "_slice int, _arc int, _start long")
     step_table = spark.createDataFrame(steps, "_arc int, _from long, _to long, shard int, _slot long")
-    inside = W.partitionBy("_slice").orderBy("_pos", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("_n", F.row_number().over(inside) - 1).join(F.broadcast(start_table), "_slice")
+    order = [F.col(c) for c in ("_pos", "doc_id", "text_crc32", "size")]
+    ranked = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), ["_slice"], order, "_one", "_n").join(F.broadcast(start_table), "_slice")
     ranked = ranked.withColumn("_rank", F.col("_n") + F.col("_start"))
     placed = ranked.join(F.broadcast(step_table), "_arc").filter("_rank >= _from and _rank < _to")
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).cast("long").alias("slot"))
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).cast("long").alias("slot"), *also)
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write every document, with its shard and slot, to one folder per shard.
+def write_shards(docs: DataFrame, path: str, shards: Sequence[int] = tuple(range(SHARDS)), vnodes: int = VNODES, slack: float = 0.0) -> None:
+    """Write every row, with its shard and slot as in ``assign``, to one folder per shard.
 
-    Rows are dealt by (shard, block of 100,000 slots): several even files make a shard.
+    Rows are dealt by (shard, block of 100,000 slots): several even files make a shard. Columns of
+    ``docs`` may have any name; its own ``shard`` and ``slot`` are written as ``shard_in`` and ``slot_in``.
+    Null ids and texts and repeated rows have places of their own; an empty table writes no shard.
     """
-    spots = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot").distinct()
-    crc = F.coalesce(F.crc32(docs["text"].cast("binary")), F.lit(0))
-    clear = docs.drop("shard", "slot")
-    rows = clear.join(spots, clear["doc_id"].eqNullSafe(F.col("_id")) & (crc == F.col("_crc"))).drop("_id", "_crc")
-    spread = rows.repartition("shard", F.floor(F.col("slot") / 100_000))
-    spread.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    with scratch_scope(docs.sparkSession):
+        rows = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("tag")))
+        placed = _assigned(rows.select("row.doc_id", "row.text", "tag"), ["tag"], shards, vnodes, slack).select("tag", "shard", "slot")
+        kept = [F.col("row")[c].alias(f"{c}_in" if c in ("shard", "slot") else c) for c in docs.columns]
+        named = rows.join(placed, "tag").select(*kept, "shard", "slot")
+        spread = named.repartition("shard", F.floor(F.col("slot") / 100_000))
+        spread.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

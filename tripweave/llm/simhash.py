@@ -135,27 +135,3 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = S
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
-
-def drop_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
-    """The documents that give their group its id, all columns as they came.
-
-    Of rows that repeat a doc_id all stay when it names the group; a row without a doc_id stays
-    when its whole group has none.
-    """
-    groups = near_duplicates(docs, **options)
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(keep, docs["doc_id"] == F.col("_kept"), "left_semi")
-    bare = docs.filter(F.col("doc_id").isNull())
-    lone = groups.filter("doc_id is null and component_id is null").select("fp").distinct()
-    if lone.isEmpty():
-        return named
-    prints = bare.select(F.struct(*bare.columns).alias("_row"), "doc_id", "text")
-    marked = prints.mapInArrow(_row_fingerprints, f"_row {prints.schema['_row'].dataType.simpleString()}, fp long")
-    return named.unionByName(marked.join(lone, "fp", "left_semi").select("_row.*"))
-
-
-def _row_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(2).cast(pa.binary())
-        values = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["_row", "fp"])
