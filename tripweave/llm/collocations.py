@@ -23,7 +23,7 @@ from tripweave.llm.common import sift, stored
 from tripweave.session import release, scratch_scope
 
 #: Words of one chunk; a document is never split.
-CHUNK = 1_500_000
+CHUNK = 400_000
 LONGEST, LEAST, TOP = 3, 10, 2000
 #: A candidate goes if a longer one that contains it has this share of its count or more, as a fraction.
 WITHIN = (50, 100)
@@ -65,9 +65,10 @@ def occurrences(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         def row() -> pa.RecordBatch:
             slots = np.concatenate(parts)
             n = np.bincount(slots[slots >= 0], minlength=len(words))
-            table = [{"lang": lang, "word": word, "n": k} for (lang, word), k in zip(words, n.tolist())]
-            kind = pa.list_(pa.struct([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]))
-            columns = [pa.array([first + done], pa.int64()), pa.array([slots.tobytes()], pa.binary()), pa.array([table], kind)]
+            lang, word = pa.array([w[0] for w in words], pa.string()), pa.array([w[1] for w in words], pa.binary())
+            table = pa.StructArray.from_arrays([lang, word, pa.array(n, pa.int64())], names=["lang", "word", "n"])
+            rows = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), table)
+            columns = [pa.array([first + done], pa.int64()), pa.array([slots.tobytes()], pa.binary()), rows]
             return pa.RecordBatch.from_arrays(columns, names=["chunk", "slots", "words"])
 
         for batch in batches:

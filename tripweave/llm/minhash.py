@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tripweave.llm.common import HASH_SEED as SEED
 from tripweave.llm.common import SHINGLE, shingles, sift, stored
 from tripweave.operators.dedup import components
-from tripweave.session import scratch_scope
+from tripweave.session import release, scratch_scope
 
 #: Least similarity, as a fraction of whole numbers.
 ALIKE = (85, 100)
@@ -185,14 +185,17 @@ def links(
     parts = F.greatest(F.ceil(F.col("size") / F.lit(float(block))), F.ceil(F.col("load") / F.lit(float(block_shingles)))).alias("parts")
     rooted = others.join(groups, F.col("node") == F.col("_node"), "left").select("key", parts, "node", F.coalesce("component", "node").alias("root"))
     rooted = stored(rooted)
+    release(met)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     member = F.struct("node", "root", "grams").alias("member")
     cell = F.pmod(F.xxhash64("node"), F.col("parts")).alias("cell")
     cells = rooted.join(mixed, "key", "left_semi").join(sets, "node").select("key", "parts", cell, member)
     cells = stored(cells.groupBy("key", "parts", "cell").agg(F.collect_list("member").alias("members")))
+    release(rooted)
     sent = cells.select("key", F.col("members").alias("ma"), F.explode(F.expr("sequence(cell, parts - 1)")).alias("cell"))
     blocks = sent.join(cells.select("key", "cell", F.col("members").alias("mb")), ["key", "cell"]).select("ma", "mb")
     second = stored(blocks.mapInArrow(_across(alike), "a binary, b binary").distinct(), compact=True)
+    release(cells)
     return first.unionByName(second)
 
 
@@ -202,7 +205,7 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept): one row per document.
 
     Documents are linked if their sets of word shingles have a Jaccard similarity of ``alike`` or more
-    (words as in ``near_copies.shingles``). ``component_id`` is the smallest doc_id of the group, ``kept``
+    (words as in ``common.shingles``). ``component_id`` is the smallest doc_id of the group, ``kept``
     whether it is the document's own. Null, empty and blank texts have no shingles and are linked with
     nothing. A null doc_id takes part but names a group only if it has no other: then component_id is null
     and its rows are kept. Repeated rows stay repeated. Extra columns are ignored. An empty table

@@ -58,25 +58,28 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     form a source of their own. Rows without an id, or with the same, follow each other by size.
     Extra columns are ignored. An empty table gives an empty one.
     """
-    return _mixed(docs, [], weights, share, most)
+    placed = _placed(docs, [], weights, share, most)
+    taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken)
 
 
-def _mixed(docs: DataFrame, also: list[str], weights: Sequence[int], share: float, most: int) -> DataFrame:
-    """``mix`` with further columns of ``docs``."""
+def _placed(docs: DataFrame, also: list[str], weights: Sequence[int], share: float, most: int) -> DataFrame:
+    """Each row with the whole epochs of its source, and the words that the last epoch takes of it. ``also`` are
+    further columns, by which rows that tie are ordered last."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *also
     )
     rows = stored(rows.withColumn("_key", random_key(F.col("doc_id"))))
     aims = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), compact=True)
-    placed = running_totals(rows, ["source"], [F.col("_key"), F.col("doc_id"), F.col("size")], "size", "_before")
+    placed = running_totals(rows, ["source"], [F.col(c) for c in ("_key", "doc_id", "size", *also)], "size", "_before")
     aims = aims.select(F.col("source").alias("_source"), "source_size", "target")
     # as many rows as there are sources; left to the optimizer, which splits a hot source
     joined = placed.join(aims, F.col("source").eqNullSafe(F.col("_source")))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0)
-    rest = budget - epochs * F.col("source_size")
+    rest = budget - F.col("epochs") * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *also)
+    return joined.withColumn("epochs", epochs).withColumn("part", part)
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -85,12 +88,20 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     A document taken in part at its source's cut comes whole once more. Documents without words
     (null, empty or blank texts) cost nothing and stay once. Every row is judged by itself, whatever
     id it has or shares. Columns may have any name. An empty table gives an empty one.
+
+    A source's rows come once an epoch, and once more up to its cut, so one row a source decides: texts
+    are not shuffled.
     """
     with scratch_scope(docs.sparkSession):
-        rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text", F.monotonically_increasing_id().alias("tag"))
-        rows = stored(rows.select("row", "tag"))
-        plan = _mixed(rows.select("row.doc_id", "row.source", "row.text", "tag"), ["tag"], weights, share, most)
-        times = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
-        plan = stored(plan.select("tag", times.alias("times")).filter("times > 0"))
-        copies = rows.join(plan, "tag").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        rows = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("tag")))
+        placed = _placed(rows.select("row.doc_id", "row.source", "row.text", "tag"), ["tag"], weights, share, most)
+        place = F.struct("_key", "doc_id", "size", "tag")
+        cuts = placed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("part") > 0, place)).alias("cut"))
+        cuts = stored(cuts.withColumnRenamed("source", "_source"), compact=True)
+        number, size = F.col("row.doc_id").cast("long"), word_count(F.col("row.text")).alias("size")
+        judged = rows.select("row", F.col("row.source").cast("string").alias("source"), random_key(number).alias("_key"), number.alias("doc_id"), size, "tag")
+        judged = judged.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+        once_more = F.coalesce(place <= F.col("cut"), F.lit(False)).cast("int")
+        times = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + once_more).cast("int")
+        copies = judged.select("row", times.alias("times")).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
         return stored(copies.select("row.*"), keep=True)
