@@ -223,3 +223,32 @@ def test_survey_to_joint_recovers_known_coefficients(spark):
     assert final["beta_lrg"].layer == "shared" and final["cost"].layer == "choice" and final["beta_lrg"].p_positive > 0.99
     survey = {r.parameter: r for r in out["handover"].filter("source = 'survey'").collect()}
     assert final["beta_lrg"].sd < survey["beta_lrg"].prior_sigma
+
+
+def test_crowded_ranges_are_cut_again(spark, monkeypatch):
+    """With three rows a range, several rounds cut every range; quantiles, ranks and running sums stay exact."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tripweave.operators import quantiles as q
+
+    rng = random.Random(3)
+    rows = [(k, float(rng.choice([rng.gauss(0, 1), rng.randint(0, 5), 1e9, float("inf")]))) for k in "aab" for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"lo": 0.1, "mid": 0.5, "hi": 0.93}
+    plain = {c: (q.exact_quantiles(df, ["k"], "v", probs), q.average_ranks(df, "v", "r", ["k"])) for c in "x"}["x"]
+    want = [sorted(map(tuple, d.collect()), key=repr) for d in plain]
+    rounds = []
+    real = q.cut_lineage
+    monkeypatch.setattr(q, "cut_lineage", lambda d, **o: rounds.append(d.columns) or real(d, **o))
+    monkeypatch.setattr(q, "RANGE_ROWS", 3)
+    counted = real(df.distinct().withColumn("_range", F.lit(0).cast("long")))
+    cut = q.refine_ranges(counted, ["k"], "v")
+    assert max(r["count"] for r in cut.groupBy("k", "_range").count().collect()) <= 3
+    assert sum("_borders" in c for c in rounds) >= 2
+    for k in "ab":
+        one = sorted((r.v, r._range) for r in cut.collect() if r.k == k)
+        assert [r for _, r in one] == sorted(r for _, r in one)
+    got = [sorted(map(tuple, d.collect()), key=repr) for d in (q.exact_quantiles(df, ["k"], "v", probs), q.average_ranks(df, "v", "r", ["k"]))]
+    assert got == want

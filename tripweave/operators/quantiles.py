@@ -15,42 +15,57 @@ from pyspark.sql import functions as F
 
 from tripweave.session import cut_lineage
 
-#: A range holds about RANGE_ROWS rows, within these numbers of ranges.
-RANGE_ROWS, FEWEST_RANGES, MOST_RANGES = 250_000, 16, 1024
+#: No task orders more rows than a range holds. The first cut makes FEWEST_RANGES to FIRST_RANGES ranges;
+#: ranges with more than RANGE_ROWS rows are cut into SPLIT parts again, until there are none.
+RANGE_ROWS, FEWEST_RANGES, FIRST_RANGES, SPLIT = 250_000, 16, 64, 32
 
 
 def _cuts(df: DataFrame, value: str, ranges: int | None) -> list[float]:
     """Approximate range borders, as many as the rows ask for. They only balance work, so borders
     at infinity are left out: infinite values fall into the outer ranges."""
-    fine = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
-    sketch = F.percentile_approx(F.col(value).cast("double"), fine, 4 * MOST_RANGES).alias("c")
+    fine = [i / FIRST_RANGES for i in range(1, FIRST_RANGES)]
+    sketch = F.percentile_approx(F.col(value).cast("double"), fine, 4 * FIRST_RANGES).alias("c")
     row = df.agg(sketch, F.count(value).alias("n")).first()
-    wanted = ranges or min(MOST_RANGES, max(FEWEST_RANGES, row["n"] // RANGE_ROWS))
+    wanted = ranges or min(FIRST_RANGES, max(FEWEST_RANGES, row["n"] // RANGE_ROWS))
     found = row["c"] or []
     picked = {found[round(i * len(found) / wanted)] for i in range(1, wanted) if round(i * len(found) / wanted) < len(found)}
     return sorted(c for c in picked if math.isfinite(c))
 
 
 def _range_of(value: str, cuts: Sequence[float]):
-    """Index of the range holding a column's value. Up to 64 borders: a balanced CASE tree. More:
-    the tree picks one of 32 slices of the borders, and the borders of that slice are counted."""
+    """Index of the range holding a column's value, as a long: a balanced CASE tree over the borders."""
 
-    def tree(low: int, high: int, borders: Sequence[float], leaf) -> str:
+    def tree(low: int, high: int) -> str:
         if low == high:
-            return leaf(low)
+            return f"{low}L"
         mid = (low + high) // 2
-        return f"CASE WHEN `{value}` < {float(borders[mid])!r}D THEN {tree(low, mid, borders, leaf)} ELSE {tree(mid + 1, high, borders, leaf)} END"
+        return f"CASE WHEN `{value}` < {float(cuts[mid])!r}D THEN {tree(low, mid)} ELSE {tree(mid + 1, high)} END"
 
-    if len(cuts) <= 64:
-        return F.expr(tree(0, len(cuts), cuts, str))
-    size = -(-len(cuts) // 32)
-    slices = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    return F.expr(tree(0, len(cuts)))
 
-    def counted(k: int) -> str:
-        inner = ", ".join(f"{float(c)!r}D" for c in slices[k])
-        return f"{k * size} + size(filter(array({inner}), b -> b <= `{value}`))"
 
-    return F.expr(tree(0, len(slices) - 1, [s[0] for s in slices[1:]], counted))
+def refine_ranges(df: DataFrame, keys: Sequence[str], value: str, most: int | None = None) -> DataFrame:
+    """Split the ranges (``keys`` and ``_range``) of more than ``most`` rows at sketched quantiles of their own,
+    again and again until none is left. ``value`` must be distinct within ``keys``; ranges keep their order.
+
+    Each round reads one small row a crowded range; only those ranges are sketched. ``df`` must be stored.
+    """
+    most = most or RANGE_ROWS
+    cell = [*keys, "_range"]
+    points = [i / SPLIT for i in range(1, SPLIT)]
+    while True:
+        crowded = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > most).select(*cell)
+        crowded = cut_lineage(crowded, compact=True)
+        if crowded.isEmpty():
+            return df
+        sketch = F.percentile_approx(F.col(value).cast("double"), points, 8 * SPLIT)
+        cuts = df.join(crowded, cell, "left_semi").groupBy(*cell).agg(sketch.alias("_borders"))
+        part = F.size(F.filter(F.array_distinct("_borders"), lambda b: b <= F.col(value).cast("double")))
+        df = cut_lineage(
+            df.join(cut_lineage(cuts, compact=True), cell, "left")
+            .withColumn("_range", F.col("_range") * (SPLIT + 1) + F.when(F.col("_borders").isNull(), 0).otherwise(part))
+            .drop("_borders")
+        )
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: str, amount: str, out: str,
@@ -62,7 +77,12 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, amount: str, o
     NULL key are dropped. ``df`` is read three times, so it should be a stored table.
     """
     keys = list(keys)
-    df = df.withColumn("_range", _range_of(order, _cuts(df, order, ranges)))
+    df = refine_ranges(df.withColumn("_range", _range_of(order, _cuts(df, order, ranges))), keys, order)
+    return _running(df, keys, order, amount, out)
+
+
+def _running(df: DataFrame, keys: list[str], order: str, amount: str, out: str) -> DataFrame:
+    """``running_total`` of rows that have their ``_range``."""
     totals = df.groupBy(*keys, "_range").agg(F.sum(amount).alias("_in_range"))
     by_range = Window.partitionBy(*keys).orderBy("_range")
     everything = Window.partitionBy(*keys)
@@ -85,8 +105,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
 
     Equal to ``percentile`` on the same rows, NULLs and NULL keys skipped; a group may hold
     any share of the data. Rows are first only counted per group and value range, which
-    combines map-side. Then just the ranges that hold a wanted rank are shuffled and
-    ordered. ``df`` is read three times: store it first when it is costly to compute.
+    combines map-side. Then just the values of the ranges that hold a wanted rank are counted, and their
+    ranges are cut again while they hold more than RANGE_ROWS of them, so any number of rows is ordered
+    in tasks of that size. ``df`` is read three times: store it first when it is costly to compute.
     """
     keys = list(keys)
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna(subset=[*keys, "_v"])
@@ -108,9 +129,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     # a few ranks per group and range
     spots = cut_lineage(wanted.groupBy(*keys, "_range").agg(F.collect_list(F.struct("side", "part", "_at")).alias("_spots")))
     near = base.join(spots.select(*keys, "_range"), [*keys, "_range"], "left_semi")
-    counted = near.groupBy(*keys, "_range", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    inside = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ran = counted.withColumn("_upto", F.sum("_n").over(inside)).join(spots, [*keys, "_range"])
+    counted = cut_lineage(near.groupBy(*keys, F.col("_range").alias("_cell"), "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", F.lit(0).cast("long")))
+    cells = [*keys, "_cell"]
+    ran = _running(refine_ranges(counted, cells, "_v"), cells, "_v", "_n", "_upto").join(spots.withColumnRenamed("_range", "_cell"), cells)
     mine = F.filter("_spots", lambda w: (w["_at"] < F.col("_upto")) & (w["_at"] >= F.col("_upto") - F.col("_n")))
     hits = ran.select(*keys, "_v", F.inline(mine))
     found = hits.groupBy(*keys).agg(
