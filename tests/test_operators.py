@@ -359,3 +359,60 @@ def test_long_edge_through_a_small_polygon(spark):
     box = [(240.0, -10.0), (260.0, -10.0), (260.0, 10.0), (240.0, 10.0), (240.0, -10.0)]
     shapes = spark.createDataFrame([(9, [box])], "s int, rings array<array<struct<x: double, y: double>>>")
     assert sorted(r.e for r in edges_near(edges, "e", "line", shapes, "rings", 25.0).collect()) == [1, 3]
+
+
+def test_edges_near_with_no_radius(spark):
+    """A long line and a radius of 0: no flood of points, and the pairs that touch."""
+    from tripweave.operators.spatial import edges_near
+
+    line = "array(struct(0.0d as x, 5.0d as y), struct(1000.0d as x, 5.0d as y))"
+    away = "array(struct(0.0d as x, 11.0d as y), struct(1000.0d as x, 11.0d as y))"
+    edges = spark.sql(f"select 1 as e, {line} as line union all select 2, {away}")
+    ring = [(400.0, 0.0), (410.0, 0.0), (410.0, 10.0), (400.0, 10.0), (400.0, 0.0)]
+    shapes = spark.createDataFrame([(7, [ring])], f"s int, rings {RINGS}")
+    for radius, want in ((0.0, [1]), (1e-6, [1]), (1.0, [1, 2])):
+        assert sorted(r.e for r in edges_near(edges, "e", "line", shapes, "rings", radius).collect()) == want
+
+
+def plain_union(polygons):
+    """Area of a union of simple polygons, in fractions."""
+    from fractions import Fraction as Q
+
+    sides = [[(tuple(map(Q, a)), tuple(map(Q, b))) for a, b in zip(p, p[1:])] for p in polygons]
+    ys = {v[1] for p in sides for s in p for v in s}
+    flat = [s for p in sides for s in p]
+    for i, (a, b) in enumerate(flat):
+        for c, d in flat[:i]:
+            turn = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
+            if turn:
+                t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / turn
+                u = ((c[0] - a[0]) * (b[1] - a[1]) - (c[1] - a[1]) * (b[0] - a[0])) / turn
+                if 0 <= t <= 1 and 0 <= u <= 1:
+                    ys.add(a[1] + t * (b[1] - a[1]))
+    ys, total = sorted(ys), Q(0)
+    for lo, hi in zip(ys, ys[1:]):
+        mid, spans = (lo + hi) / 2, []
+        for p in sides:
+            xs = sorted(a[0] + (b[0] - a[0]) * (mid - a[1]) / (b[1] - a[1]) for a, b in p if (a[1] > mid) != (b[1] > mid))
+            spans += zip(xs[::2], xs[1::2])
+        end = None
+        for x0, x1 in sorted(spans):
+            start = x0 if end is None else max(x0, end)
+            total += max(Q(0), x1 - start) * (hi - lo)
+            end = x1 if end is None else max(end, x1)
+    return float(total)
+
+
+def test_union_area_of_slanted_shapes_is_exact(spark):
+    import random
+
+    rng = random.Random(6)
+    tri = lambda: [(rng.randint(0, 40) / 4, rng.randint(0, 40) / 4) for _ in range(3)]
+    groups = {"two": [[(0, 0), (4, 0), (0, 4), (0, 0)], [(0, 0), (4, 0), (4, 4), (0, 0)]], "same": [[(0, 0), (3, 0), (1, 2), (0, 0)]] * 3}
+    for k in range(6):
+        groups[f"r{k}"] = [t + t[:1] for t in (tri() for _ in range(2 + 4 * k))]
+    data = [(k, [[(float(x), float(y)) for x, y in p]]) for k, ps in groups.items() for p in ps] + [("flat", [[(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)]])]
+    out = dict(rows(spatial.union_area(spark.createDataFrame(data, f"k string, rings {RINGS}"), ["k"], "rings", "area")))
+    assert abs(out["two"] - 12) < 1e-12 and abs(out["same"] - 3) < 1e-12 and out["flat"] == 0
+    for k, ps in groups.items():
+        assert abs(out[k] - plain_union(ps)) < 1e-9

@@ -69,54 +69,86 @@ def within_distance(points: DataFrame, x: str, y: str, shapes: DataFrame, rings:
 def edges_near(edges: DataFrame, key: str, line: str, shapes: DataFrame, rings: str, radius: float) -> DataFrame:
     """(edge, shape) pairs of lines that come within ``radius`` of a polygon; the whole line is kept.
 
-    Candidates are found by points at most 2 * ``radius`` apart on every segment, looked up with
-    twice the radius, so no pair is missed; exact segment distances decide. ``key`` names the edge.
+    Candidates are found by points on every segment, looked up with a reach of their own: the radius, or the
+    shapes' mean size or an eighth of the mean segment if larger, so that short reaches do not
+    multiply points. The reach covers the gaps, so no pair is missed; exact segment distances decide.
+    ``key`` names the edge.
     """
-    gap = 2.0 * max(radius, 1e-9)
     seg = F.col("_seg")
     length = F.hypot(seg["x1"] - seg["x0"], seg["y1"] - seg["y0"])
-    parts = edges.select(key, F.explode(geo.segments(F.col(line))).alias("_seg")).withColumn("_n", F.greatest(F.ceil(length / gap), F.lit(1)))
+    parts = edges.select(key, F.explode(geo.segments(F.col(line))).alias("_seg"))
+    box = geo.bounding_box(F.col(rings))
+    size = shapes.agg(F.avg(F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"]))).first()[0] or 0.0
+    mean = parts.agg(F.avg(length)).first()[0] or 0.0
+    reach = max(radius, size, mean / 8, 1e-9)
+    parts = parts.withColumn("_n", F.greatest(F.ceil(length / (2 * reach)), F.lit(1)))
     share = F.col("_i") / F.col("_n")
     dense = parts.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n").cast("bigint"))))
     dense = dense.withColumn("_px", seg["x0"] + (seg["x1"] - seg["x0"]) * share).withColumn("_py", seg["y0"] + (seg["y1"] - seg["y0"]) * share)
-    near = near_pairs(dense.drop("_i", "_n"), "_px", "_py", shapes, geo.bounding_box(F.col(rings)), 2 * max(radius, 1e-9)).drop("_px", "_py")
+    near = near_pairs(dense.drop("_i", "_n"), "_px", "_py", shapes, box, radius + reach).drop("_px", "_py")
     names = [c for c in shapes.columns if c != rings]
     pairs = near.groupBy(key, "_seg", *names).agg(F.any_value(rings).alias(rings))
     hit = pairs.filter(geo.segment_polygon_distance(seg, F.col(rings)) <= radius).select(key, *names).distinct()
     return hit.join(edges, key)
 
 
-def union_area(df: DataFrame, keys: Sequence[str], rings: str, out: str, step: float = 1.0) -> DataFrame:
-    """Area covered by a key's polygons together, overlaps once.
+def _bins(y0: Column, y1: Column) -> Column:
+    """Numbers of the horizontal strips of a key (``_low``, ``_high``, ``_strip``) that reach from y0 to y1."""
+    at = lambda y: F.floor((y - F.col("_low")) / F.col("_strip")).cast("bigint")
+    return F.explode(F.sequence(at(y0), at(y1)))
 
-    Horizontal scan lines ``step`` apart: exact along x, and exact overall for a key with
-    one polygon (where the shoelace area is used).
+
+def _crossing_heights(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, y): heights at which two segments of a key cross. A horizontal segment crosses at the height of its
+    ends and two upright ones do not cross, so one side of the join holds slanted segments only."""
+    upright = parts.filter("y0 <> y1").withColumn("_bin", _bins(F.least("y0", "y1"), F.greatest("y0", "y1"))).drop("_low", "_high", "_strip")
+    names = ("x0", "y0", "x1", "y1")
+    a = upright.filter("x0 <> x1").select(*keys, "_bin", *[F.col(c).alias(f"a{c}") for c in names])
+    b = upright.select(*keys, "_bin", *[F.col(c).alias(f"b{c}") for c in names])
+    overlap = F.expr(
+        "greatest(ax0, ax1) >= least(bx0, bx1) and greatest(bx0, bx1) >= least(ax0, ax1) and greatest(ay0, ay1) >= least(by0, by1)"
+        " and greatest(by0, by1) >= least(ay0, ay1)"
+    )
+    turn = F.expr("(ax1 - ax0) * (by1 - by0) - (ay1 - ay0) * (bx1 - bx0)")
+    met = a.join(b, [*keys, "_bin"]).filter(overlap).withColumn("_d", turn).filter("_d <> 0")
+    met = met.withColumn("_t", F.expr("((bx0 - ax0) * (by1 - by0) - (by0 - ay0) * (bx1 - bx0)) / _d"))
+    met = met.withColumn("_u", F.expr("((bx0 - ax0) * (ay1 - ay0) - (by0 - ay0) * (ax1 - ax0)) / _d"))
+    return met.filter("_t between 0 and 1 and _u between 0 and 1").select(*keys, F.expr("ay0 + _t * (ay1 - ay0)").alias("y"))
+
+
+def union_area(df: DataFrame, keys: Sequence[str], rings: str, out: str) -> DataFrame:
+    """Area covered by a key's polygons together, overlaps once; exact up to rounding.
+
+    The plane is cut into horizontal slabs at every corner and every crossing of two sides. Inside a
+    slab no sides cross, so the covered width is linear in the height and the slab's area is its
+    height times the width at its middle. A polygon meets the slabs of the strips that it reaches;
+    a key has as many strips as polygons. Rows without a polygon are left out.
     """
     keys = list(keys)
-    boxed = df.withColumn("_box", geo.bounding_box(F.col(rings)))
-    first = F.floor(F.col("_box.y0") / step).cast("bigint")
-    last = F.floor(F.col("_box.y1") / step).cast("bigint")
-    lines = boxed.withColumn("_line", F.explode(F.sequence(first, last)))
-    xs = geo.scan_crossings(F.col(rings), (F.col("_line") + 0.5) * step)
-    lines = lines.withColumn("_xs", xs).filter(F.size("_xs") >= 2)
+    boxed = df.select(*keys, F.col(rings).alias("_rings"), geo.bounding_box(F.col(rings)).alias("_box")).filter("_box.y0 < _box.y1")
+    frame = boxed.groupBy(*keys).agg(F.min("_box.y0").alias("_low"), F.max("_box.y1").alias("_high"), F.count(F.lit(1)).alias("_many"))
+    frame = frame.select(*keys, "_low", "_high", ((F.col("_high") - F.col("_low")) / F.col("_many")).alias("_strip"))
+    shapes = cut_lineage(boxed.join(frame, keys))
+    sides = shapes.select(*keys, "_low", "_high", "_strip", F.inline(F.flatten(F.transform("_rings", geo.segments))))
+    heights = sides.select(*keys, F.explode(F.array("y0", "y1")).alias("y")).unionByName(_crossing_heights(sides, keys)).distinct()
+    up = Window.partitionBy(*keys).orderBy("y")
+    slabs = heights.withColumn("_to", F.lead("y").over(up)).filter("_to > y").select(*keys, F.col("y").alias("_from"), "_to", ((F.col("y") + F.col("_to")) / 2).alias("_mid"))
+    slabs = slabs.join(frame, keys).withColumn("_bin", F.floor((F.col("_mid") - F.col("_low")) / F.col("_strip")).cast("bigint")).drop("_low", "_high", "_strip")
+    reached = shapes.select(*keys, "_rings", "_box", _bins(F.col("_box.y0"), F.col("_box.y1")).alias("_bin"))
+    lines = reached.join(slabs, [*keys, "_bin"]).filter("_mid > _box.y0 and _mid < _box.y1")
+    lines = lines.select(*keys, "_from", "_to", geo.scan_crossings(F.col("_rings"), F.col("_mid")).alias("_xs")).filter(F.size("_xs") >= 2)
     spans = lines.withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_xs") - 1, F.lit(2)))).select(
-        *keys, "_line", F.element_at("_xs", F.col("_i")).alias("_a"), F.element_at("_xs", F.col("_i") + 1).alias("_b")
-    )
-    along = Window.partitionBy(*keys, "_line").orderBy("_a", "_b")
-    reached = F.max("_b").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.col("_b") - F.greatest(F.col("_a"), F.coalesce(reached, F.col("_a"))), F.lit(0.0))
-    scanned = spans.withColumn("_new", new).groupBy(*keys).agg((F.sum("_new") * step).alias("_scanned"))
-    single = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.max(geo.polygon_area(F.col(rings))).alias("_one")
-    )
-    return single.join(scanned, keys, "left").select(
-        *keys, F.when(F.col("_n") == 1, F.col("_one")).otherwise(F.coalesce("_scanned", F.lit(0.0))).alias(out)
+        *keys, "_from", "_to", F.element_at("_xs", F.col("_i")).alias("_a"), F.element_at("_xs", F.col("_i") + 1).alias("_b")
     )
+    along = Window.partitionBy(*keys, "_from").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max("_b").over(along)
+    new = F.greatest(F.col("_b") - F.greatest(F.col("_a"), F.coalesce(reach, F.col("_a"))), F.lit(0.0))
+    areas = spans.withColumn("_new", new * (F.col("_to") - F.col("_from"))).groupBy(*keys).agg(F.sum("_new").alias(out))
+    return df.select(*keys).distinct().join(areas, keys, "left").select(*keys, F.coalesce(out, F.lit(0.0)).alias(out))
 
 
 def match_footprints(places: DataFrame, features: DataFrame, radius: float = K.NAME_RADIUS_M,
-                     threshold: float = K.NAME_THRESHOLD, rules: Mapping = K.CATEGORY_TAG_RULES,
-                     step: float = 1.0) -> DataFrame:
+                     threshold: float = K.NAME_THRESHOLD, rules: Mapping = K.CATEGORY_TAG_RULES) -> DataFrame:
     """Footprint of each place by the first stage that succeeds.
 
     Stages: polygons containing the point; else polygons within ``radius`` whose name
@@ -143,7 +175,7 @@ def match_footprints(places: DataFrame, features: DataFrame, radius: float = K.N
     used = near.join(best, "poi_id").filter(
         (F.col("stage") == F.col("_stage")) & ((F.col("_stage") < 3) | (F.col("osm_id") == F.col("_largest")))
     )
-    areas = union_area(used.select("poi_id", "rings"), ["poi_id"], "rings", "footprint_area", step)
+    areas = union_area(used.select("poi_id", "rings"), ["poi_id"], "rings", "footprint_area")
     kinds = used.groupBy("poi_id").agg(F.min("_stage").alias("_stage"), F.count(F.lit(1)).alias("n_polygons"))
     many = F.when(F.col("n_polygons") > 1, "union").otherwise("single")
     kind = (
