@@ -416,3 +416,26 @@ def test_union_area_of_slanted_shapes_is_exact(spark):
     assert abs(out["two"] - 12) < 1e-12 and abs(out["same"] - 3) < 1e-12 and out["flat"] == 0
     for k, ps in groups.items():
         assert abs(out[k] - plain_union(ps)) < 1e-9
+
+
+def test_pass_rates_and_passers(spark):
+    from tripweave.operators.survey import pass_rates, passers
+
+    kind = "person_id int, vc_pass int, retest_match int, verdict string"
+    quality = spark.createDataFrame([(1, 1, 1, "keep"), (2, 1, 0, "flag"), (2, 0, 0, "remove"), (3, 0, 1, "flag")], kind)
+    assert tuple(pass_rates(quality).first()) == (4, 2, 0.5, 2, 0.5, 1, 2, 1)
+    assert [r.person_id for r in passers(quality).collect()] == [1]
+    assert tuple(pass_rates(quality.limit(0)).first()) == (0, 0, None, 0, None, 0, 0, 0)
+
+
+def test_sector_lookup_and_image_capacity(spark):
+    from tripweave.operators.lookup import sector_lookup
+    from tripweave.operators.perception import image_capacity
+
+    homes = spark.createDataFrame([(1, "0512"), (2, "99"), (3, None)], "id int, postal string")
+    sectors = spark.createDataFrame([("05", " Bedok "), ("07", "None")], "code string, area string")
+    stats = spark.createDataFrame([("BEDOK", 4.5)], "name string, time double")
+    assert sorted(map(tuple, sector_lookup(homes, "postal", sectors, "code", "area", stats, "name", ["time"]).collect()), key=repr) == [
+        (1, "0512", "05", 4.5), (2, "99", "99", None), (3, None, None, None)]
+    images = spark.createDataFrame([("1_a",)] * 60 + [("x_b",)] * 3, "place string")
+    assert {tuple(r) for r in image_capacity(images, "place").collect()} == {("1_a", 60, 20, 50), ("x_b", 3, 15, 3)}

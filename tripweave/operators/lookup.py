@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripweave.functions.text import norm_key
+
 
 def literal_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A lookup written in code as a table; the optimizer knows its size and picks the join."""
@@ -68,6 +70,19 @@ def still_to_do(work: DataFrame, log: DataFrame, key: str, order: str, state: st
     return drop_listed(work, finished, [key])
 
 
+def sector_lookup(df: DataFrame, postal: str, sectors: DataFrame, code: str, area: str, stats: DataFrame, stats_area: str, take: Sequence[str]) -> DataFrame:
+    """Add ``sector`` (the first two characters of a postal code) and the columns ``take`` of the sector's area.
+
+    ``sectors`` has a code and an area, ``stats`` one row an area; areas match whatever their case and
+    outer blanks. An unknown sector or area leaves NULL.
+    """
+    keyed = df.withColumn("sector", F.substring(F.col(postal), 1, 2))
+    named = sectors.select(F.col(code).alias("_code"), norm_key(F.col(area)).alias("_area"))
+    placed = left_lookup(keyed, named, {"sector": "_code"}, ["_area"])
+    known = stats.select(norm_key(F.col(stats_area)).alias("_name"), *take)
+    return left_lookup(placed, known, {"_area": "_name"}, list(take)).select(*df.columns, "sector", *take)
+
+
 def still_incomplete(work: DataFrame, done: DataFrame, key: str, required: Sequence[str]) -> DataFrame:
     """Work not yet present in ``done`` with every required column filled."""
     return drop_listed(work, done.dropna(subset=list(required)), [key])

@@ -157,6 +157,16 @@ def composite_score(df: DataFrame, weights: Mapping[str, float] = K.SCORE_WEIGHT
     return df.withColumn("composite_score", total)
 
 
+def image_capacity(images: DataFrame, key: str) -> DataFrame:
+    """Add the size of each place (``n_images``), its subtype's minimum (``min_images``) and how many images it may
+    keep (``capacity``). The subtype is the part of ``key`` before the first ``_``."""
+    subtype = F.get(F.split(F.col(key), "_"), F.lit(0))
+    sized = with_group_stats(images, [key], n_images=F.count(F.lit(1)))
+    return sized.withColumn("min_images", code_map(subtype, K.MIN_IMAGES, K.MIN_IMAGES_DEFAULT)).withColumn(
+        "capacity", F.least(code_map(subtype, K.CAPACITY, K.CAPACITY_DEFAULT).cast("bigint"), F.col("n_images"))
+    )
+
+
 def refine_images(images: DataFrame, key: str, x: str, y: str, heading: str, panorama_share: float = K.PANORAMA_SHARE,
                   weights: Mapping[str, float] = K.SCORE_WEIGHTS) -> DataFrame:
     """Keep the best images of each place.
@@ -164,12 +174,7 @@ def refine_images(images: DataFrame, key: str, x: str, y: str, heading: str, pan
     Places below their subtype's minimum keep everything; the others keep their capacity,
     chosen by composite score with a cap on panoramas.
     """
-    subtype = F.get(F.split(F.col(key), "_"), F.lit(0))
-    sized = with_group_stats(images, [key], n_images=F.count(F.lit(1)))
-    sized = sized.withColumn("_min", code_map(subtype, K.MIN_IMAGES, K.MIN_IMAGES_DEFAULT)).withColumn(
-        "_cap", F.least(code_map(subtype, K.CAPACITY, K.CAPACITY_DEFAULT).cast("bigint"), F.col("n_images"))
-    )
-    sized = cut_lineage(sized)
+    sized = cut_lineage(image_capacity(images, key).withColumnsRenamed({"min_images": "_min", "capacity": "_cap"}))
     small = sized.filter(F.col("n_images") < F.col("_min"))
     large = sized.filter(F.col("n_images") >= F.col("_min"))
     spread = image_spread_scores(large, key, x, y, heading).withColumnsRenamed(

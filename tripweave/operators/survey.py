@@ -110,6 +110,22 @@ def response_quality(long: DataFrame, person: str = "person_id") -> DataFrame:
     )
 
 
+def pass_rates(quality: DataFrame) -> DataFrame:
+    """Persons, passes and rates of both checks of ``response_quality``, and the number of each verdict: one row.
+    Rates of no persons are NULL."""
+    count = lambda c: F.coalesce(F.sum(F.expr(c).cast("long")), F.lit(0))
+    return quality.agg(
+        F.count(F.lit(1)).alias("n"), count("vc_pass").alias("vc_passed"), F.avg("vc_pass").alias("vc_rate"),
+        count("retest_match").alias("retest_matched"), F.avg("retest_match").alias("retest_rate"),
+        *[count(f"verdict = '{v}'").alias(f"n_{v}") for v in ("keep", "flag", "remove")],
+    )
+
+
+def passers(quality: DataFrame, person: str = "person_id") -> DataFrame:
+    """Ids of the persons who passed the validity task in every block that they answered."""
+    return quality.groupBy(person).agg(F.min("vc_pass").alias("_all")).filter("_all = 1").select(person)
+
+
 def choice_shares(long: DataFrame, alt: str = "alt") -> DataFrame:
     """Chosen count and share per alternative."""
     chosen = long.filter(F.col("chosen") == 1).groupBy(alt).agg(F.count(F.lit(1)).alias("n"))

@@ -112,11 +112,11 @@ def reject_reasons(spark, d):
 
 @query("J1 J2", """
 SELECT o_orderkey, c_mktsegment AS segment, n_name AS area FROM orders
-LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
 """)
 def attribute_lookup(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_custkey")
-    c = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal", F.col("c_mktsegment").alias("segment")).filter("c_acctbal > 0")
+    c = table(spark, d, "customer", "c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment"))
     n = table(spark, d, "nation", "n_nationkey", F.col("n_name").alias("area"))
     joined = lookup.left_lookup(o, c, {"o_custkey": "c_custkey"}, ["segment", "c_nationkey"])
     return lookup.left_lookup(joined, n, {"c_nationkey": "n_nationkey"}, ["area"]).select("o_orderkey", "segment", "area")
@@ -223,8 +223,8 @@ SELECT c_custkey FROM customer WHERE c_custkey NOT IN (
 """)
 def incomplete_work(spark, d):
     work = table(spark, d, "customer", "c_custkey")
-    done = table(spark, d, "orders").filter("o_totalprice > 400000").select(
-        F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderpriority") != "5-LOW", 1).alias("a"),
+    done = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), F.when((F.col("o_orderpriority") != "5-LOW") & (F.col("o_totalprice") > 400000), 1).alias("a"),
         F.when(F.col("o_orderstatus") != "P", 1).alias("b"),
     )
     return lookup.still_incomplete(work, done, "c_custkey", ["a", "b"])
@@ -255,13 +255,14 @@ def prior_with_fallback(spark, d):
 
 @query("J19", """
 SELECT p_partkey, coalesce(d.area, p_retailprice) AS area, coalesce(d.kind, p_type) AS kind FROM part
-LEFT JOIN (SELECT l_partkey, max(l_quantity) AS area, CASE WHEN max(l_linenumber) > 6 THEN 'manual' END AS kind FROM lineitem WHERE l_discount = 0.1 GROUP BY 1) d ON p_partkey = l_partkey
+LEFT JOIN (SELECT l_partkey, max(CASE WHEN l_discount = 0.1 THEN l_quantity END) AS area, max(CASE WHEN l_discount = 0.1 AND l_linenumber > 6 THEN 'manual' END) AS kind FROM lineitem GROUP BY 1) d ON p_partkey = l_partkey
 """)
 def applied_decisions(spark, d):
     p = table(spark, d, "part", "p_partkey", F.col("p_retailprice").alias("area"), F.col("p_type").alias("kind"))
-    decisions = table(spark, d, "lineitem", "l_partkey", "l_quantity", "l_linenumber", "l_discount").filter("l_discount = 0.1")
+    decisions = table(spark, d, "lineitem", "l_partkey", "l_quantity", "l_linenumber", "l_discount")
+    decided = F.col("l_discount") == 0.1
     decisions = decisions.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
-        F.max("l_quantity").alias("area"), F.max(F.when(F.col("l_linenumber") > 6, "manual")).alias("kind")
+        F.max(F.when(decided, F.col("l_quantity"))).alias("area"), F.max(F.when(decided & (F.col("l_linenumber") > 6), "manual")).alias("kind")
     )
     return lookup.apply_decisions(p, decisions, "p_partkey", ["area", "kind"])
 

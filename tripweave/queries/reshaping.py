@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tripweave.functions.text import norm_key
 from tripweave.operators import reshape
-from tripweave.operators.lookup import left_lookup
+from tripweave.operators.lookup import sector_lookup
 from tripweave.queries.registry import query
 from tripweave.tables import table
 
@@ -83,12 +82,11 @@ FROM orders LEFT JOIN nation ON n_nationkey = o_orderkey % 30 LEFT JOIN area ON
 """)
 def postal_lookup(spark, d):
     n = table(spark, d, "nation", "n_nationkey", "n_name")
-    stats = table(spark, d, "customer", "c_nationkey", "c_acctbal").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(norm_key(F.col("n_name")).alias("area")).agg(
+    stats = table(spark, d, "customer", "c_nationkey", "c_acctbal").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("area")).agg(
         F.round(F.avg("c_acctbal")).alias("car_time"), F.bround(F.avg("c_acctbal") / 100, 2).alias("car_cost")
     )
-    sectors = n.select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("code"), norm_key(F.col("n_name")).alias("sector_area"))
+    sectors = n.select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("code"), F.col("n_name").alias("sector_area"))
     code = F.lpad((F.col("o_orderkey") % 30).cast("string"), 2, "0")
     o = table(spark, d, "orders", "o_orderkey", F.concat(code, F.lit("1234")).alias("postal"))
-    keyed = o.withColumn("sector", F.substring("postal", 1, 2))
-    placed = left_lookup(keyed, sectors, {"sector": "code"}, ["sector_area"])
-    return left_lookup(placed, stats, {"sector_area": "area"}, ["car_time", "car_cost"]).select("o_orderkey", "sector", "car_time", "car_cost")
+    found = sector_lookup(o, "postal", sectors, "code", "sector_area", stats, "area", ["car_time", "car_cost"])
+    return found.select("o_orderkey", "sector", "car_time", "car_cost")

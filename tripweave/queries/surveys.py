@@ -72,6 +72,26 @@ def response_screening(spark, d):
     return sv.response_quality(choices(spark, d)).select("person_id", "vc_pass", "retest_match", "verdict")
 
 
+QUALITY = LONG + """
+, q AS (SELECT person_id, block, max(alt) FILTER (chosen = 1 AND task = 7) AS v, max(alt) FILTER (chosen = 1 AND task = 3) AS s, max(alt) FILTER (chosen = 1 AND task = 8) AS r FROM long GROUP BY 1, 2),
+f AS (SELECT *, coalesce(v = 'A', FALSE)::INTEGER AS vc_pass, coalesce(s = r, FALSE)::INTEGER AS retest_match FROM q)
+"""
+
+
+@query("A31", QUALITY + """
+SELECT count(*) AS n, sum(vc_pass)::BIGINT AS vc_passed, round(avg(vc_pass), 8) AS vc_rate, sum(retest_match)::BIGINT AS retest_matched, round(avg(retest_match), 8) AS retest_rate,
+  count(*) FILTER (vc_pass + retest_match = 2) AS n_keep, count(*) FILTER (vc_pass + retest_match = 1) AS n_flag, count(*) FILTER (vc_pass + retest_match = 0) AS n_remove FROM f
+""")
+def response_pass_rates(spark, d):
+    rates = sv.pass_rates(sv.response_quality(choices(spark, d)))
+    return rates.withColumns({c: F.round(c, 8) for c in ("vc_rate", "retest_rate")})
+
+
+@query("A31", QUALITY + "SELECT person_id FROM f GROUP BY 1 HAVING min(vc_pass) = 1")
+def response_passers(spark, d):
+    return sv.passers(sv.response_quality(choices(spark, d)))
+
+
 @query("A30", LONG + ", c AS (SELECT alt, count(*) AS n FROM long WHERE chosen = 1 GROUP BY 1) SELECT alt, n, round(n / (SELECT sum(n) FROM c), 8) AS share FROM c")
 def alternative_shares(spark, d):
     return sv.choice_shares(choices(spark, d)).withColumn("share", F.round("share", 8))

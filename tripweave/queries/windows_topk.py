@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tripweave import constants as K
 from tripweave.functions.numeric import composite
 from tripweave.operators import ranking, scaling
-from tripweave.operators.perception import composite_score, prefilter_images, recency
+from tripweave.operators.perception import composite_score, image_capacity, prefilter_images, recency
 from tripweave.operators.quantiles import average_ranks, exact_quantiles, running_total
 from tripweave.queries.registry import query
 from tripweave.tables import table
@@ -65,12 +66,21 @@ def quota_selection(spark, d):
     return ranking.quota_top_n(li, "l_suppkey", "l_extendedprice", "id", F.col("pano"), 40, 0.30, 40).drop("id")
 
 
-@query("W13", """
-SELECT o_custkey, count(*) AS n, CASE WHEN count(*) < 10 THEN 'keep all' ELSE 'select' END AS rule, least(40, count(*)) AS capacity FROM orders GROUP BY 1
+def _by_subtype(codes, other):
+    cases = " ".join(f"WHEN '{code}' THEN {n}" for code, n in codes.items())
+    return f"CASE (o_custkey % 10)::VARCHAR {cases} ELSE {other} END"
+
+
+@query("W13", f"""
+WITH g AS (SELECT o_custkey, {_by_subtype(K.MIN_IMAGES, K.MIN_IMAGES_DEFAULT)} AS least_n, {_by_subtype(K.CAPACITY, K.CAPACITY_DEFAULT)} AS most, count(*) AS n FROM orders GROUP BY 1)
+SELECT o_custkey, n, CASE WHEN n < least_n THEN 'keep all' ELSE 'select' END AS rule, least(most, n)::BIGINT AS capacity FROM g
 """)
 def group_capacity(spark, d):
-    per = table(spark, d, "orders", "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return per.select("o_custkey", "n", F.when(F.col("n") < 10, "keep all").otherwise("select").alias("rule"), F.least(F.lit(40), "n").cast("bigint").alias("capacity"))
+    """Orders as images of customers, whose last digit is the subtype."""
+    key = F.concat_ws("_", F.col("o_custkey") % 10, "o_custkey")
+    sized = image_capacity(table(spark, d, "orders", "o_custkey", key.alias("place")), "place").distinct()
+    rule = F.when(F.col("n_images") < F.col("min_images"), "keep all").otherwise("select").alias("rule")
+    return sized.select("o_custkey", F.col("n_images").alias("n"), rule, "capacity")
 
 
 @query("W15", """
