@@ -88,16 +88,48 @@ def test_odd_rows(odd, no_docs):
     assert ee.edit_table(no_docs).count() == 0 and ee.with_fingerprints(no_docs).count() == 0
 
 
-def test_pairs_found_by_bands(spark, make_docs):
+def groups_of(prints, links):
+    root = {p: p for p in prints}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    return {p: find(p) for p in prints}
+
+
+def test_groups_of_pairs_and_of_a_crowd(make_docs):
+    """60 pairs, and 400 texts a few edits from one text: nothing joined that should not be, and the crowd found whole."""
     rng = random.Random(6)
+    text = lambda n, letters="abcdefghij ": "".join(rng.choice(letters) for _ in range(n))
     rows = []
     for i in range(60):
-        t = "".join(rng.choice("abcdefghij ") for _ in range(400))
-        rows += [(2 * i, t), (2 * i + 1, t[:-20] + "".join(rng.choice("klm") for _ in range(20)))]
-    docs = make_docs(rows)
-    prints = {r.fingerprint: r.doc_id for r in ee.with_fingerprints(docs).collect()}
-    got = {tuple(sorted((prints[r.a], prints[r.b]))) for r in ee.near_pairs(docs).collect()}
-    names = list(prints)
-    alike = lambda a, b: sum(x == y for x, y in zip(a, b)) / ee.DIGITS
-    want = {tuple(sorted((prints[a], prints[b]))) for k, a in enumerate(names) for b in names[k + 1 :] if alike(a, b) >= ee.LIKENESS}
-    assert got <= want and len(want) > 50 and len(got) >= 0.9 * len(want)
+        t = text(400)
+        rows += [(2 * i, t), (2 * i + 1, t[:-20] + text(20, "klm"))]
+    base = text(500)
+    for i in range(400):
+        t = list(base)
+        for _ in range(rng.randint(0, 12)):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        rows.append((1000 + i, "".join(t)))
+    for block in (256, 16):
+        got = {r.doc_id: r for r in ee.near_groups(make_docs(rows), block=block).collect()}
+        assert len(got) == len(rows)
+        digits = {r.fingerprint: ee.np.frombuffer(r.fingerprint.encode(), ee.np.uint8) for r in got.values()}
+        names = list(digits)
+        links = [(a, b) for k, a in enumerate(names) for b in names[:k] if (digits[a] == digits[b]).sum() >= 0.8 * ee.DIGITS]
+        want = groups_of(names, links)
+        own = {r.fingerprint: r.component_id for r in got.values()}
+        assert all(want[r.fingerprint] == want[got[r.component_id].fingerprint] for r in got.values())
+        assert len(links) > 2000 and sum(own[a] == own[b] for a, b in links) >= 0.99 * len(links)
+        assert min(i for i in got if got[i].component_id == got[1000].component_id) == got[1000].component_id
+
+
+def test_groups_of_odd_rows(odd, no_docs):
+    rows = ee.near_groups(odd).collect()
+    assert len(rows) == odd.count() and ee.near_groups(no_docs).count() == 0
+    assert {r.component_id for r in rows if r.doc_id in (1, 2, 9)} == {1}
+    assert {r.component_id for r in rows if r.doc_id == 6} == {6}

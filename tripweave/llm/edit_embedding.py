@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripweave.llm import minhash
 from tripweave.llm.common import n_parts, stored
+from tripweave.operators.dedup import components
+from tripweave.session import scratch_scope
 
 SEED = 20_261
 #: Sampled steps of the walk; each gives one hex digit.
@@ -175,37 +179,35 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def like(a: Column, b: Column) -> Column:
-    """Likeness of two hex fingerprints."""
-    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y).cast("int"))
-    return F.aggregate(pairs, F.lit(0), lambda s, x: s + x) / F.lit(float(DIGITS))
+def near_groups(docs: DataFrame, least: float = LIKENESS, bands: int = BANDS, block: int = minhash.BLOCK) -> DataFrame:
+    """(doc_id, fingerprint, component_id): group of each document under links of fingerprints alike by ``least`` or more.
 
+    Each band samples DIGITS / ``bands`` digits by a shared permutation; fingerprints with an equal band
+    meet. A pair at a likeness of 0.8 shares none of 32 bands with a chance of (1 - 0.8^8)^32, 0.3 %. Whatever
+    meets is decided digit by digit: first with the smallest of its bucket, then across the groups found,
+    block by block, so a crowd of any size loses no pair that meets and makes no list of its pairs.
 
-def near_pairs(docs: DataFrame, least: float = LIKENESS, bands: int = BANDS, bucket: int = 64) -> DataFrame:
-    """(a, b, likeness): pairs of different fingerprints alike by ``least`` or more that share a band.
-
-    Each band samples DIGITS / ``bands`` digits by a shared permutation; fingerprints with an equal
-    band are compared digit by digit. Sampling finds a pair with a chance, not for sure. Where
-    more than ``bucket`` fingerprints share a band, those that also share twice, then four times
-    as many digits are compared, so a crowd is never compared whole: its closest pairs are found.
-    ``a`` and ``b`` are fingerprints; documents follow by joining on them.
+    ``component_id`` is the smallest doc_id of the group, null if it has none. Null texts count as
+    empty; repeated rows stay; extra columns are ignored; an empty table gives an empty one.
     """
     order = np.argsort(_random("bands", DIGITS)).tolist()
     width = DIGITS // bands
-    prints = stored(with_fingerprints(docs).select("fingerprint").distinct())
-    picked = lambda k, n: F.concat(*[F.substring("fingerprint", order[(k * width + i) % DIGITS] + 1, 1) for i in range(n)])
-    found = None
-    for extra in (0, width, 3 * width):
-        keys = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), picked(k, width + extra).alias("digits")) for k in range(bands)]))
-        rows = prints.select("fingerprint", keys.alias("k")).select("fingerprint", "k.*")
-        sizes = rows.groupBy("band", "digits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, bucket))
-        lists = rows.join(sizes, ["band", "digits"]).groupBy("band", "digits").agg(F.collect_list("fingerprint").alias("members"))
-        pairs = lists.select(F.explode("members").alias("a"), "members").select(
-            "a", F.explode(F.filter("members", lambda x: x > F.col("a"))).alias("b")
-        )
-        found = pairs if found is None else found.unionByName(pairs)
-    scored = found.distinct().withColumn("likeness", like(F.col("a"), F.col("b")))
-    return scored.filter(F.col("likeness") >= least)
+    picked = [F.concat(*[F.substring("fingerprint", order[k * width + i] + 1, 1) for i in range(width)]) for k in range(bands)]
+    equal = math.ceil(least * DIGITS)  # as many equal of DIGITS marked digits each are equal / (2 DIGITS - equal) of both
+    with scratch_scope(docs.sparkSession):
+        rows = stored(with_fingerprints(docs))
+        prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
+        marked = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(DIGITS)), lambda i: F.concat(i, F.lit(":"), F.substr("fingerprint", i, F.lit(1)))))
+        keys = F.array(*[F.xxhash64(F.lit(k), digits) for k, digits in enumerate(picked)])
+        nodes = stored(prints.select(
+            F.unhex("fingerprint").alias("node"), F.lit(DIGITS).cast("long").alias("n"), keys.alias("keys"), marked.cast("binary").alias("text"), "fingerprint", "first_id",
+        ))
+        found = components(minhash.links(nodes, nodes.select("node", "text"), (equal, 2 * DIGITS - equal), 1, block)).withColumnRenamed("node", "_node")
+        named = nodes.join(found, F.col("node") == F.col("_node"), "left").select("fingerprint", "first_id", F.coalesce("component", "node").alias("root"))
+        named = stored(named)
+        roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        groups = named.join(roots, "root").select("fingerprint", "component_id")
+        return stored(rows.join(groups, "fingerprint").select("doc_id", "fingerprint", "component_id"), keep=True)
 
 
 def _edits(table: pa.Table) -> pa.Table:
