@@ -40,7 +40,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _table() -> np.ndarray:
     seed = int.from_bytes(hashlib.md5(b"byte values").digest()[:8], "big")
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 64, 256, dtype=np.uint64)
 
 
 BYTE_VALUES = _table()
