@@ -132,6 +132,11 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def line_length(line: Column) -> Column:
+    """Length of a line or ring."""
+    return _sum(F.transform(segments(line), lambda s: F.hypot(s["x1"] - s["x0"], s["y1"] - s["y0"])))
+
+
 def ring_area(ring: Column) -> Column:
     """Signed shoelace area: positive when counter-clockwise."""
     origin = ring[0]
@@ -290,3 +295,97 @@ def box_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Closed counter-clockwise rectangle."""
     corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
     return F.array(*[F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in corners])
+
+
+# ---------------------------------------------------------------- clipping
+
+#: Shares of a segment closer than this are one place.
+SHARE_EPS = 1e-12
+
+
+def _interval(lo: Column, hi: Column) -> Column:
+    return F.struct(lo.alias("t0"), hi.alias("t1"))
+
+
+def _linear(at: Column, step: Column, lo: Column, hi: Column) -> Column:
+    """Interval of t with ``lo <= at + t * step <= hi``, not yet cut to 0..1; t0 > t1 if empty."""
+    a, b = F.try_divide(lo - at, step), F.try_divide(hi - at, step)
+    still = F.when(at.between(lo, hi), _interval(F.lit(0.0), F.lit(1.0))).otherwise(_interval(F.lit(1.0), F.lit(0.0)))
+    return F.when(step == 0, still).otherwise(_interval(F.least(a, b), F.greatest(a, b)))
+
+
+def merge_intervals(intervals: Column) -> Column:
+    """Union of ``array<struct<t0,t1>>``: sorted, disjoint, those that touch joined."""
+
+    def add(acc: Column, v: Column) -> Column:
+        last = F.element_at(acc, -1)
+        grown = _interval(last["t0"], F.greatest(last["t1"], v["t1"]))
+        return (
+            F.when(F.size(acc) == 0, F.array(v))
+            .when(v["t0"] <= last["t1"] + SHARE_EPS, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)))
+            .otherwise(F.concat(acc, F.array(v)))
+        )
+
+    return F.aggregate(F.array_sort(intervals), F.lit([]).cast("array<struct<t0:double,t1:double>>"), add)
+
+
+def buffer_intervals(seg: Column, rings: Column, radius: float) -> Column:
+    """Parts of a segment (struct x0, y0, x1, y1) at most ``radius`` from a polygon, as shares of its length.
+
+    The grown polygon is the polygon itself, a strip along every side and a disc at every corner.
+    Between two crossings with the boundary a segment is wholly inside or outside, so one middle
+    point decides; strips and discs give one interval each. Corners are round, not many-sided.
+    """
+    dx, dy = seg["x1"] - seg["x0"], seg["y1"] - seg["y0"]
+    sides = F.flatten(F.transform(rings, segments))
+    r = F.lit(float(radius))
+
+    def crossing(s: Column) -> Column:
+        ex, ey = s["x1"] - s["x0"], s["y1"] - s["y0"]
+        turn = dx * ey - dy * ex
+        t = F.try_divide((s["x0"] - seg["x0"]) * ey - (s["y0"] - seg["y0"]) * ex, turn)
+        u = F.try_divide((s["x0"] - seg["x0"]) * dy - (s["y0"] - seg["y0"]) * dx, turn)
+        return F.when(t.between(0.0, 1.0) & u.between(-SHARE_EPS, 1.0 + SHARE_EPS), t)
+
+    met = F.filter(F.transform(sides, crossing), lambda t: t.isNotNull())
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), met)))
+    spans = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1), _interval)
+    inner = F.filter(
+        spans,
+        lambda v: contains(rings, seg["x0"] + dx * (v["t0"] + v["t1"]) / 2, seg["y0"] + dy * (v["t0"] + v["t1"]) / 2),
+    )
+
+    def strip(s: Column) -> Column:
+        ex, ey = s["x1"] - s["x0"], s["y1"] - s["y0"]
+        size = F.nullif(F.hypot(ex, ey), F.lit(0.0))
+        fx, fy = seg["x0"] - s["x0"], seg["y0"] - s["y0"]
+        along = _linear((fx * ex + fy * ey) / size, (dx * ex + dy * ey) / size, F.lit(0.0), size)
+        across = _linear((fy * ex - fx * ey) / size, (dy * ex - dx * ey) / size, -r, r)
+        return _interval(F.greatest(along["t0"], across["t0"]), F.least(along["t1"], across["t1"]))
+
+    def disc(p: Column) -> Column:
+        fx, fy = seg["x0"] - p["x"], seg["y0"] - p["y"]
+        a, b, c = dx * dx + dy * dy, fx * dx + fy * dy, fx * fx + fy * fy - r * r
+        root = F.when(b * b >= a * c, F.sqrt(b * b - a * c))
+        still = F.when((a == 0) & (c <= 0), 0.0)  # a segment of one point inside the disc is whole
+        return _interval(F.coalesce(still, F.try_divide(-b - root, a)), F.coalesce(still + 1, F.try_divide(-b + root, a)))
+
+    grown = F.concat(inner, F.transform(sides, strip), F.transform(F.flatten(rings), disc))
+    cut = F.transform(grown, lambda v: _interval(F.greatest(v["t0"], F.lit(0.0)), F.least(v["t1"], F.lit(1.0))))
+    # a NULL end, of a side without length or a disc not reached, fails the comparison; greatest() skips it
+    real = F.filter(F.zip_with(grown, cut, lambda g, v: F.when(g["t0"].isNotNull() & g["t1"].isNotNull(), v)),
+                    lambda v: v.isNotNull() & (v["t1"] - v["t0"] > SHARE_EPS))
+    return merge_intervals(real)
+
+
+def line_part(line: Column, start: Column, end: Column) -> Column:
+    """Part of a line between two positions; position i + t is share t of segment i (from 0)."""
+
+    def at(s: Column) -> Column:
+        i = F.least(F.floor(s), F.size(line) - F.lit(2)).cast("int")
+        a, b, t = F.get(line, i), F.get(line, i + 1), s - i
+        return F.struct((a["x"] + (b["x"] - a["x"]) * t).alias("x"), (a["y"] + (b["y"] - a["y"]) * t).alias("y"))
+
+    first = F.floor(start).cast("int") + 1
+    between = F.slice(line, first + 1, F.greatest(F.ceil(end).cast("int") - first, F.lit(0)))
+    return F.concat(F.array(at(start)), between, F.array(at(end)))

@@ -66,32 +66,60 @@ def within_distance(points: DataFrame, x: str, y: str, shapes: DataFrame, rings:
     return near.withColumn(out, geo.polygon_distance(F.col(rings), F.col(x), F.col(y))).filter(F.col(out) <= radius)
 
 
-def edges_near(edges: DataFrame, key: str, line: str, shapes: DataFrame, rings: str, radius: float) -> DataFrame:
-    """(edge, shape) pairs of lines that come within ``radius`` of a polygon; the whole line is kept.
+def _near_segments(edges: DataFrame, key: str, line: str, shapes: DataFrame, rings: str, radius: float) -> DataFrame:
+    """(key, _i, _seg, shape columns): segments of lines within ``radius`` of a polygon, once a pair.
 
     Candidates are found by points on every segment, looked up with a reach of their own: the radius, or the
     shapes' mean size or an eighth of the mean segment if larger, so that short reaches do not
     multiply points. The reach covers the gaps, so no pair is missed; exact segment distances decide.
-    ``key`` names the edge.
     """
     seg = F.col("_seg")
     length = F.hypot(seg["x1"] - seg["x0"], seg["y1"] - seg["y0"])
-    parts = edges.select(key, F.explode(geo.segments(F.col(line))).alias("_seg"))
+    parts = edges.select(key, F.posexplode(geo.segments(F.col(line))).alias("_i", "_seg"))
     box = geo.bounding_box(F.col(rings))
     size = shapes.agg(F.avg(F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"]))).first()[0] or 0.0
     mean = parts.agg(F.avg(length)).first()[0] or 0.0
     reach = max(radius, size, mean / 8, 1e-9)
     parts = parts.withColumn("_n", F.greatest(F.ceil(length / (2 * reach)), F.lit(1)))
-    share = F.col("_i") / F.col("_n")
-    dense = parts.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n").cast("bigint"))))
+    share = F.col("_k") / F.col("_n")
+    dense = parts.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n").cast("bigint"))))
     dense = dense.withColumn("_px", seg["x0"] + (seg["x1"] - seg["x0"]) * share).withColumn("_py", seg["y0"] + (seg["y1"] - seg["y0"]) * share)
-    near = near_pairs(dense.drop("_i", "_n"), "_px", "_py", shapes, box, radius + reach).drop("_px", "_py")
+    near = near_pairs(dense.drop("_k", "_n"), "_px", "_py", shapes, box, radius + reach).drop("_px", "_py")
     names = [c for c in shapes.columns if c != rings]
-    pairs = near.groupBy(key, "_seg", *names).agg(F.any_value(rings).alias(rings))
-    hit = pairs.filter(geo.segment_polygon_distance(seg, F.col(rings)) <= radius).select(key, *names).distinct()
+    pairs = near.groupBy(key, "_i", "_seg", *names).agg(F.any_value(rings).alias(rings))
+    return pairs.filter(geo.segment_polygon_distance(seg, F.col(rings)) <= radius)
+
+
+def edges_near(edges: DataFrame, key: str, line: str, shapes: DataFrame, rings: str, radius: float) -> DataFrame:
+    """(edge, shape) pairs of lines that come within ``radius`` of a polygon; the whole line is kept.
+
+    ``key`` names the edge.
+    """
+    names = [c for c in shapes.columns if c != rings]
+    hit = _near_segments(edges, key, line, shapes, rings, radius).select(key, *names).distinct()
     return hit.join(edges, key)
 
 
+def clip_edges(edges: DataFrame, key: str, line: str, shapes: DataFrame, rings: str, radius: float) -> DataFrame:
+    """Pieces of lines inside each polygon grown by ``radius``: key, shape columns, piece, part, length.
+
+    ``part`` is the piece's line, ``piece`` numbers the pieces of a pair from 1 along the line. A line that
+    goes on inside over a corner of its own gives one piece. Places where a line only touches the
+    grown polygon have no length and give none; so do lines of one point, empty lines and nulls.
+    Segments are cut one by one where they meet a polygon; only their shares are gathered by line.
+    """
+    names = [c for c in shapes.columns if c != rings]
+    near = _near_segments(edges, key, line, shapes, rings, radius)
+    shares = near.select(key, *names, "_i", F.explode(geo.buffer_intervals(F.col("_seg"), F.col(rings), radius)).alias("_v"))
+    spans = shares.groupBy(key, *names).agg(
+        F.collect_list(F.struct((F.col("_i") + F.col("_v.t0")).alias("t0"), (F.col("_i") + F.col("_v.t1")).alias("t1"))).alias("_spans")
+    )
+    pieces = spans.select(key, *names, F.posexplode(geo.merge_intervals(F.col("_spans"))).alias("_p", "_v"))
+    cut = pieces.join(edges.select(key, line), key).withColumn("part", geo.line_part(F.col(line), F.col("_v.t0"), F.col("_v.t1")))
+    cut = cut.select(key, *names, (F.col("_p") + 1).alias("piece"), "part", geo.line_length(F.col("part")).alias("length"))
+    return cut.filter(F.col("length") > 0)
+
+
 def _bins(y0: Column, y1: Column) -> Column:
     """Numbers of the horizontal strips of a key (``_low``, ``_high``, ``_strip``) that reach from y0 to y1."""
     at = lambda y: F.floor((y - F.col("_low")) / F.col("_strip")).cast("bigint")

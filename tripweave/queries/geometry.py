@@ -170,6 +170,31 @@ def edges_near_zones(spark, d):
     return near.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("edges"))
 
 
+@query("G8", """
+WITH p AS (""" + PTS + """), b AS (SELECT DISTINCT floor(x / 100)::BIGINT AS gx, floor(y / 100)::BIGINT AS gy FROM p),
+s AS (SELECT vec_id, x, y, 80.0::DOUBLE AS dx, 10.0::DOUBLE AS dy FROM p UNION ALL SELECT vec_id, x + 80, y + 10, -30.0::DOUBLE, 60.0::DOUBLE FROM p),
+c AS (SELECT vec_id, gx, gy, x, y, dx, dy, gx * 100.0 AS x0, gx * 100.0 + 100 AS x1, gy * 100.0 AS y0, gy * 100.0 + 100 AS y1 FROM s, b
+  WHERE gx * 100 - 30 <= greatest(x, x + dx) AND least(x, x + dx) <= gx * 100 + 130 AND gy * 100 - 30 <= y + dy AND y <= gy * 100 + 130),
+k AS (SELECT *, unnest([x0, x0, x1, x1]) AS kx, unnest([y0, y1, y0, y1]) AS ky FROM c),
+q AS (SELECT vec_id, gx, gy, x, y, dx, dy, dx * dx + dy * dy AS a, (x - kx) * dx + (y - ky) * dy AS h, pow(x - kx, 2) + pow(y - ky, 2) - 625 AS m FROM k),
+i AS (SELECT vec_id, gx, gy, x, y, dx, dy, (-h - sqrt(h * h - a * m)) / a AS lo, (-h + sqrt(h * h - a * m)) / a AS hi FROM q WHERE h * h >= a * m
+  UNION ALL SELECT vec_id, gx, gy, x, y, dx, dy, greatest(least((x0 - 25 - x) / dx, (x1 + 25 - x) / dx), (y0 - y) / dy), least(greatest((x0 - 25 - x) / dx, (x1 + 25 - x) / dx), (y1 - y) / dy) FROM c
+  UNION ALL SELECT vec_id, gx, gy, x, y, dx, dy, greatest(least((x0 - x) / dx, (x1 - x) / dx), (y0 - 25 - y) / dy), least(greatest((x0 - x) / dx, (x1 - x) / dx), (y1 + 25 - y) / dy) FROM c),
+u AS (SELECT vec_id, gx, gy, x, dx, dy, (least(max(hi), 1) - greatest(min(lo), 0)) * sqrt(dx * dx + dy * dy) AS len FROM (SELECT * FROM i WHERE least(hi, 1) > greatest(lo, 0)) GROUP BY 1, 2, 3, 4, 5, 6)
+SELECT vec_id, gx, gy, round(sum(len), 5) AS length FROM u WHERE len > 1e-5 GROUP BY 1, 2, 3
+""")
+def clipped_edges(spark, d):
+    """Length of each bent line inside each zone grown by 25 metres, from its clipped pieces."""
+    def at(x, y):
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    x, y = F.col("x"), F.col("y")
+    p = points(spark, d)
+    lines = p.select("vec_id", F.array(at(x, y), at(x + 80, y + 10), at(x + 50, y + 70)).alias("line"))
+    cut = spatial.clip_edges(lines, "vec_id", "line", spatial.square_grid(p, "x", "y", SIDE), "rings", 25.0).filter("length > 1e-5")
+    return cut.groupBy("vec_id", "gx", "gy").agg(F.round(F.sum("length"), 5).alias("length"))
+
+
 @query("G10 J14")
 def spatial_clusters(spark, d):
     """Clusters of points within the source's distance, per label, and their representatives."""
