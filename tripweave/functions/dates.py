@@ -33,7 +33,7 @@ def age_days(c: Column, as_of) -> Column:
     return F.when(days >= 0, days)
 
 
-def decay_weight(days: Column, half_life: float = K.HALF_LIFE_DAYS) -> Column:
+def decay_weight(days: Column, half_life: float | Column = K.HALF_LIFE_DAYS) -> Column:
     """Exponential time decay, 1 at age 0 and 1/2 at one half-life."""
     return F.exp(F.lit(-math.log(2) / half_life) * days)
 

@@ -95,15 +95,17 @@ def image_weights(images: DataFrame, as_of, half_life: float = K.HALF_LIFE_DAYS)
 
 
 def shrink(places: DataFrame, stats: DataFrame, key: str, dims: Sequence[str], category: str, area: str,
-           mix: float = K.PRIOR_MIX, strength: float = K.PRIOR_STRENGTH) -> DataFrame:
+           mix: float | Column = K.PRIOR_MIX, strength: float | Column = K.PRIOR_STRENGTH, by: Sequence[str] = ()) -> DataFrame:
     """Reliability-weighted place scores.
 
     Priors mix the mean of the category's places and of the area's places; both fall back
     to the mean over all places. With no image the prior is the score, with an effective
     sample of 5 or more the place's own mean is, in between the two are blended.
-    ``stats`` holds key, n_images, n_eff and ``{dim}_mean``.
+    ``stats`` holds key, n_images, n_eff and ``{dim}_mean``. ``by`` names columns of ``places`` that set
+    runs apart: each run has priors of its own, ``mix`` and ``strength`` may be columns, and
+    ``stats`` is met on the ``by`` columns that it has.
     """
-    placed = places.join(stats, key, "left").fillna({"n_images": 0, "n_eff": 0.0, category: "unknown", area: "unknown"})
+    placed = places.join(stats, [key, *[c for c in by if c in stats.columns]], "left").fillna({"n_images": 0, "n_eff": 0.0, category: "unknown", area: "unknown"})
     method = (
         F.when(F.col("n_images") == 0, "no_image")
         .when(F.col("n_eff") >= K.N_EFF_NORMAL, "normal").otherwise("shrinkage")
@@ -111,16 +113,15 @@ def shrink(places: DataFrame, stats: DataFrame, key: str, dims: Sequence[str], c
     out = cut_lineage(placed.withColumn("aggregation_method", method))
     measured = out.filter(F.col("n_images") > 0)
     means = [f"{d}_mean" for d in dims]
-    overall = measured.agg(*[F.avg(m).alias(f"_all_{m}") for m in means])
 
-    def group_means(col: str, tag: str) -> DataFrame:
-        return measured.groupBy(F.col(col).alias(f"_{tag}")).agg(*[F.avg(m).alias(f"_{tag}_{m}") for m in means])
+    def with_means(df: DataFrame, tag: str, cols: Sequence[str]) -> DataFrame:
+        names = {c: f"_{tag}_of_{c}" for c in (*by, *cols)}
+        sums = measured.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(*[F.avg(m).alias(f"_{tag}_{m}") for m in means])
+        if not names:
+            return df.crossJoin(F.broadcast(sums))
+        return df.join(sums, [F.col(c) == F.col(n) for c, n in names.items()], "left")
 
-    out = (
-        out.join(group_means(category, "cat"), F.col(category) == F.col("_cat"), "left")
-        .join(group_means(area, "area"), F.col(area) == F.col("_area"), "left")
-        .crossJoin(F.broadcast(overall))
-    )
+    out = with_means(with_means(with_means(out, "cat", [category]), "area", [area]), "all", [])
     n_eff = F.col("n_eff")
     for d in dims:
         m = f"{d}_mean"

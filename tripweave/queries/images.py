@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tripweave.operators import perception
 from tripweave.operators.pairwise import group_pair_sums, image_spread_scores
-from tripweave.plans import places
+from tripweave.plans import places, sensitivity
 from tripweave.queries.registry import query
 from tripweave.tables import table
 
@@ -156,6 +156,35 @@ def shrunken_scores(spark, d):
     )
 
 
+@query("O13 O14 O12", """
+WITH g AS (SELECT * FROM (VALUES (0, 365.0::DOUBLE, 4.0::DOUBLE, 0.6::DOUBLE), (1, 270.0, 4.0, 0.6), (2, 730.0, 4.0, 0.6), (3, 365.0, 2.0, 0.6), (4, 365.0, 15.0, 0.6), (5, 365.0, 4.0, 0.0), (6, 365.0, 4.0, 1.0)) v(tag, hl, kappa, alpha)),
+i AS (SELECT user_id AS poi_id, event_type = 'view' AS pano, value AS x, sqrt(value) AS y, date_diff('day', ts::DATE, DATE '2024-01-25') AS age FROM events
+  WHERE event_type <> 'error' AND event_id % 50 <> 0 AND ts::DATE <= DATE '2024-01-25'),
+w AS (SELECT *, exp(-ln(2) / hl * age) * CASE WHEN pano THEN 1.0 ELSE 0.75 END AS w FROM i, (SELECT DISTINCT hl FROM g)),
+a AS (SELECT poi_id, hl, count(*) AS n_images, sum(w) * sum(w) / sum(w * w) AS n_eff, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w GROUP BY 1, 2),
+p AS (SELECT c_custkey AS poi_id, c_acctbal AS outcome, c_mktsegment AS cat, CASE WHEN c_nationkey < 20 THEN 'N' || c_nationkey ELSE 'unknown' END AS area FROM customer),
+j AS (SELECT p.*, g.*, coalesce(n_images, 0) AS n, coalesce(n_eff, 0) AS ne, mx, my FROM p CROSS JOIN g LEFT JOIN a ON a.poi_id = p.poi_id AND a.hl = g.hl),
+c AS (SELECT tag, cat, avg(mx) AS cx, avg(my) AS cy FROM j WHERE n > 0 GROUP BY 1, 2), r AS (SELECT tag, area, avg(mx) AS rx, avg(my) AS ry FROM j WHERE n > 0 GROUP BY 1, 2),
+o AS (SELECT tag, avg(mx) AS gx, avg(my) AS gy FROM j WHERE n > 0 GROUP BY 1),
+q AS (SELECT j.*, alpha * coalesce(cx, gx) + (1 - alpha) * coalesce(rx, gx) AS px, alpha * coalesce(cy, gy) + (1 - alpha) * coalesce(ry, gy) AS py
+  FROM j LEFT JOIN c USING (tag, cat) LEFT JOIN r USING (tag, area) JOIN o USING (tag)),
+f AS (SELECT tag, outcome, CASE WHEN n = 0 THEN px WHEN ne >= 5 THEN mx ELSE (ne * mx + kappa * px) / (ne + kappa) END AS vx,
+  CASE WHEN n = 0 THEN py WHEN ne >= 5 THEN my ELSE (ne * my + kappa * py) / (ne + kappa) END AS vy FROM q),
+t AS (SELECT tag, 'vibrancy' AS parameter, vx AS v, outcome FROM f UNION ALL SELECT tag, 'safety', vy, outcome FROM f),
+m AS (SELECT tag, parameter, regr_slope(outcome, v) AS b, sqrt((regr_syy(outcome, v) - regr_slope(outcome, v) * regr_sxy(outcome, v)) / (count(*) - 2) / regr_sxx(outcome, v)) AS sd FROM t GROUP BY 1, 2),
+z AS (SELECT parameter, b AS b0, sd AS s0 FROM m WHERE tag = 0)
+SELECT parameter, round(any_value(b0), 4) AS base_mean, round(any_value(s0), 4) AS base_sd, round(max(abs(b - b0)), 4) AS max_shift, bool_and((abs(b) > 1.96 * sd) = (abs(b0) > 1.96 * s0)) AS verdict_stable,
+  bool_and((abs(b) > 1.96 * sd) = (abs(b0) > 1.96 * s0)) AND max(abs(b - b0)) < any_value(s0) AS robust FROM m JOIN z USING (parameter) GROUP BY 1
+""")
+def score_robustness(spark, d):
+    """Does the effect of place scores on an outcome hold under other half-lives, strengths and mixes?"""
+    area = F.when(F.col("c_nationkey") < 20, F.concat(F.lit("N"), F.col("c_nationkey")))
+    spots = table(spark, d, "customer", F.col("c_custkey").alias("poi_id"), F.col("c_acctbal").alias("outcome"), F.col("c_mktsegment").alias("subtype"), area.alias("planning_area"))
+    scores = sensitivity.score_grid(image_scores(spark, d), spots, "2024-01-25", ["vibrancy", "safety"])
+    out = sensitivity.judge(sensitivity.score_effects(scores, "outcome", ["vibrancy", "safety"]))
+    return out.select("parameter", *[F.round(c, 4).alias(c) for c in ("base_mean", "base_sd", "max_shift")], "verdict_stable", "robust")
+
+
 IMG = """
 WITH i AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, CASE WHEN embedding[3] > -0.1 THEN 180 + 500 * embedding[3]::DOUBLE END AS h FROM embeddings)
 """
