@@ -60,6 +60,44 @@ def test_token_set_score_partial():
     assert score == pytest.approx(100 * max(1 - (5 + 5 - 2 * 3) / 20, 1 - 6 / 14))
 
 
+def plain_common(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_common_letters_against_the_plain_table():
+    """Empty, one word of 64 letters, longer, wide alphabets and letters beyond 16 bits."""
+    import random
+
+    rng = random.Random(3)
+    sizes = [0, 1, 5, 20, 63, 64, 65, 130, 300]
+    pairs = [
+        ("".join(rng.choices(alphabet, k=n)), "".join(rng.choices(alphabet, k=m)))
+        for alphabet in ("ab", "abcdefgh ", "\0é中\U0001F600z") for n in sizes for m in sizes
+    ]
+    want = [plain_common(a, b) for a, b in pairs]
+    assert text.common_letters(*zip(*pairs)).tolist() == want
+    assert text.common_letters([], []).tolist() == []
+
+
+def test_token_set_ratio_of_a_table(spark):
+    """The column equals the plain score; a threshold only lowers scores that stay below it."""
+    import random
+
+    rng = random.Random(4)
+    words = ["mall", "Park", "north", "South", "city", "centre", "x" * 70, "é", ""]
+    pairs = [(" ".join(rng.choices(words, k=rng.randint(0, 4))), " ".join(rng.choices(words, k=rng.randint(0, 4)))) for _ in range(150)] + [(None, "park"), (None, None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    out = df.select("a", "b", text.token_set_ratio(F.col("a"), F.col("b")).alias("s"), text.token_set_ratio(F.col("a"), F.col("b"), 80.0).alias("t")).collect()
+    assert len(out) == len(pairs)
+    for r in out:
+        want = text.token_set_score(r.a, r.b)
+        assert r.s == pytest.approx(want) and (r.t == pytest.approx(want) if want >= 80 else r.t < 80)
+
+
 def test_padded_id_keeps_long_numbers(spark):
     assert one(spark, text.padded_id("P", F.col("n")), n=12) == "P_0000012"
     assert one(spark, text.padded_id("P", F.col("n")), n=123456789) == "P_123456789"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,16 +85,54 @@ def format_tags(**tags: Column) -> Column:
 
 
 def _common_subsequence(a: str, b: str) -> int:
-    if len(a) < len(b):
-        a, b = b, a
-    row = [0] * (len(b) + 1)
-    for ch in a:
-        diagonal = 0
-        for j, other in enumerate(b, 1):
-            above = row[j]
-            row[j] = diagonal + 1 if ch == other else max(above, row[j - 1])
-            diagonal = above
-    return row[-1]
+    """Letters of the longest common subsequence: one bit a letter of ``a``, one step a letter of ``b``."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    open_bits = full
+    for ch in b:
+        hit = open_bits & places.get(ch, 0)
+        open_bits = ((open_bits + hit) | (open_bits - hit)) & full
+    return len(a) - open_bits.bit_count()
+
+
+#: The array path takes pairs whose shorter text fits one machine word and whose longer is no longer than this.
+WORD_BITS, LONGEST = 64, 256
+#: Cells of one table of letter places.
+TABLE_CELLS = 1 << 21
+
+
+def common_letters(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``_common_subsequence`` of many pairs at once: a machine word a pair, a NumPy step a letter position.
+
+    Pairs that do not fit go one by one, with integers of any length.
+    """
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    out = np.zeros(len(pairs), dtype=np.int64)
+    fits = [i for i, (x, y) in enumerate(pairs) if len(x) <= WORD_BITS and len(y) <= LONGEST]
+    for i in set(range(len(pairs))).difference(fits):
+        out[i] = _common_subsequence(*pairs[i])
+    letters = {ch for i in fits for ch in pairs[i][0]}
+    code = {ch: k for k, ch in enumerate(sorted(letters), 1)}  # 0: a letter of no shorter text
+    step = max(TABLE_CELLS // (len(code) + 1), 1)
+    for start in range(0, len(fits), step):
+        rows = np.array(fits[start:start + step])
+        short, long = [pairs[i][0] for i in rows], [pairs[i][1] for i in rows]
+        n_short, n_long = np.array([len(x) for x in short]), np.array([len(y) for y in long])
+        place = np.zeros((len(rows), len(code) + 1), dtype=np.uint64)
+        for i in range(n_short.max()):
+            at = np.flatnonzero(n_short > i)
+            place[at, [code[short[r][i]] for r in at]] |= np.uint64(1 << i)
+        open_bits = np.full(len(rows), ~np.uint64(0))
+        for j in range(n_long.max()):
+            at = np.flatnonzero(n_long > j)
+            now = open_bits[at]
+            hit = now & place[at, [code.get(long[r][j], 0) for r in at]]
+            open_bits[at] = (now + hit) | (now - hit)
+        used = np.array([(1 << n) - 1 for n in n_short.tolist()], dtype=np.uint64)
+        out[rows] = np.bitwise_count(~open_bits & used)
+    return out
 
 
 def token_set_score(a: str | None, b: str | None) -> float:
@@ -117,19 +158,40 @@ def token_set_score(a: str | None, b: str | None) -> float:
     return 100.0 * best
 
 
-@F.pandas_udf(T.DoubleType())
-def _token_set_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else token_set_score(x, y) for x, y in zip(a, b)], dtype="float64")
+@F.pandas_udf(T.LongType())
+def _common_letters_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    open_rows = a.notna() & b.notna()
+    out = pd.Series(pd.NA, index=a.index, dtype="Int64")
+    out[open_rows] = common_letters(a[open_rows].tolist(), b[open_rows].tolist())
+    return out
 
 
 def _word_set(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+"), lambda w: w != ""))
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Name similarity, 0-100. Names without words (0) and names whose words are all in the other
-    (100) are settled in the JVM; only the rest is compared in Python, in Arrow batches."""
+def token_set_ratio(a: Column, b: Column, at_least: float = 0.0) -> Column:
+    """Name similarity, 0-100, by shared and unshared words.
+
+    Words are compared in the JVM, which settles names without words (0) and names whose words are
+    all in the other (100). Letters are compared, in Arrow batches, only for pairs whose lengths
+    let them reach ``at_least``; the others get the score of their shared words alone, which is below it.
+    """
     x, y = _word_set(a), _word_set(b)
-    shared = F.size(F.array_intersect(x, y))
-    settled = F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when((shared > 0) & (shared == F.least(F.size(x), F.size(y))), 100.0)
-    return F.coalesce(settled, _token_set_udf(F.when(settled.isNull(), a), F.when(settled.isNull(), b)))
+
+    def text_of(words: Column) -> Column:
+        return F.array_join(F.array_sort(words), " ")
+
+    shared, only_a, only_b = text_of(F.array_intersect(x, y)), text_of(F.array_except(x, y)), text_of(F.array_except(y, x))
+    n, n_a, n_b = F.length(shared), F.length(only_a), F.length(only_b)
+    gap = F.when(n > 0, 1).otherwise(0)
+    long_a, long_b = n + gap + n_a, n + gap + n_b
+    settled = F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when((n > 0) & ((n_a == 0) | (n_b == 0)), 100.0)
+    by_words = F.when(n > 0, F.greatest(1 - F.try_divide(gap + n_a, n + long_a), 1 - F.try_divide(gap + n_b, n + long_b))).otherwise(0.0)
+
+    def by_letters(common: Column) -> Column:
+        return 1 - F.try_divide(n_a + n_b - 2 * common, long_a + long_b)
+
+    within_reach = settled.isNull() & (100.0 * by_letters(F.least(n_a, n_b)) >= at_least)
+    common = _common_letters_udf(F.when(within_reach, only_a), F.when(within_reach, only_b))
+    return F.coalesce(settled, 100.0 * F.greatest(by_words, by_letters(common)))

@@ -193,7 +193,7 @@ def match_footprints(places: DataFrame, features: DataFrame, radius: float = K.N
     # names are scored once per distinct pair, and only for places no polygon contains
     open_pairs = near.filter(F.coalesce(F.col("feature_name"), F.lit("")) != "").join(settled, "poi_id", "left_anti")
     names = open_pairs.select("name", "feature_name").distinct()
-    scores = names.withColumn("score", token_set_ratio(F.col("name"), F.col("feature_name")))
+    scores = names.withColumn("score", token_set_ratio(F.col("name"), F.col("feature_name"), threshold))
     alike = scores.filter(F.col("score") >= threshold).select("name", "feature_name", F.lit(2).alias("_named"))
     near = near.join(alike, ["name", "feature_name"], "left")
     near = cut_lineage(near.withColumn("stage", F.when(F.col("_inside"), 1).otherwise(F.coalesce("_named", F.lit(3)))))

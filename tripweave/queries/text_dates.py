@@ -95,7 +95,19 @@ def tag_text(spark, d):
     return p.select("p_partkey", tags.alias("tags"))
 
 
-@query("F37")
+@query("F37", """
+WITH p AS (SELECT p_partkey, p_name, min(p_name) OVER (PARTITION BY p_brand) AS lead FROM part),
+w AS (SELECT DISTINCT p_name, lead, list_filter(string_split(lower(p_name), ' '), lambda w: w <> '') AS x, list_filter(string_split(lower(lead), ' '), lambda w: w <> '') AS y FROM p),
+s AS (SELECT p_name, lead, array_to_string(list_sort(list_distinct(list_filter(x, lambda w: list_contains(y, w)))), ' ') AS sh,
+  array_to_string(list_sort(list_distinct(list_filter(x, lambda w: NOT list_contains(y, w)))), ' ') AS a, array_to_string(list_sort(list_distinct(list_filter(y, lambda w: NOT list_contains(x, w)))), ' ') AS b FROM w),
+m AS (SELECT *, list_transform(string_split(b, ''), lambda v: list_transform(string_split(a, ''), lambda u: (u = v)::BIGINT)) AS same FROM s),
+l AS (SELECT *, CASE WHEN a = '' OR b = '' THEN 0 ELSE list_max(list_reduce(list_concat([list_transform(same[1], lambda z: 0::BIGINT)], same), lambda row, hit:
+  list_transform(range(1, len(row) + 1), lambda i: list_max(list_transform(range(1, i + 1), lambda k: CASE WHEN hit[k] = 1 THEN coalesce(row[k - 1], 0) + 1 ELSE row[k] END))))) END AS c,
+  length(sh) AS n, (sh <> '')::INT AS gap, length(a) AS la, length(b) AS lb FROM m),
+t AS (SELECT p_name, lead, CASE WHEN sh <> '' AND (a = '' OR b = '') THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * greatest(1 - (la + lb - 2 * c) / (2 * n + 2 * gap + la + lb),
+  CASE WHEN sh = '' THEN 0 ELSE 1 - (gap + la) / (2 * n + gap + la) END, CASE WHEN sh = '' THEN 0 ELSE 1 - (gap + lb) / (2 * n + gap + lb) END) END AS score FROM l)
+SELECT p_partkey, p_name, lead, round_even(score, 4) AS score FROM p JOIN t USING (p_name, lead)
+""")
 def name_similarity(spark, d):
     """Each part's name against the first name of its brand: one pair per part."""
     p = with_group_stats(table(spark, d, "part", "p_partkey", "p_brand", "p_name"), ["p_brand"], lead=F.min("p_name"))
