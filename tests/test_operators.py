@@ -175,6 +175,15 @@ def test_spread_scores_match_brute_force(spark):
                 assert scores[(g, *p)] == pytest.approx((dv, bv), abs=1e-7), (g, p)
 
 
+def test_pair_sums_of_odd_coordinates(spark):
+    """Points are told apart by their coordinates; unknown ones keep their row and give no distance."""
+    nan = float("nan")
+    df = spark.createDataFrame([("g", 0.0, 0.0, 10.0), ("g", -0.0, 0.0, 10.0), ("g", 3.0, 4.0, nan), ("h", None, 1.0, 5.0), ("h", nan, 1.0, 5.0), (None, 1.0, 1.0, 1.0)], "g string, x double, y double, h double")
+    out = {(r.g, r.x, r.y, r.h): (r.members, r.spatial) for r in pairwise.group_pair_sums(df, "g", "x", "y", "h").collect()}
+    assert {k: v for k, v in out.items() if k[0] == "g"} == {("g", 0.0, 0.0, 10.0): (2, 5.0), ("g", 3.0, 4.0, None): (1, 10.0)}
+    assert {(k, v[0]) for k, v in out.items() if k[0] == "h"} == {(("h", None, 1.0, 5.0), 2)}
+
+
 def test_refine_keeps_small_groups_and_fills_capacity(spark):
     rng = random.Random(2)
     data = [(f"5_MU_{k}", f"{k}-{i}", rng.random(), rng.random(), rng.random() * 360, rng.random() < 0.6, 2019 + i % 5) for k, n in ((1, 9), (2, 80)) for i in range(n)]

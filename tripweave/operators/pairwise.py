@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave import constants as K
@@ -21,7 +21,7 @@ from tripweave.session import cut_lineage
 
 BLOCK = 256
 PARTIAL = (
-    "grp string, pid long, spatial double, spatial_max double, angular double, angular_max double, kernel double"
+    "grp string, x double, y double, h double, spatial double, spatial_max double, angular double, angular_max double, kernel double"
 )
 
 
@@ -40,7 +40,7 @@ def _block_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out.append(
                 pd.DataFrame(
                     {
-                        "grp": row.grp, "pid": np.asarray(row.pid),
+                        "grp": row.grp, "x": x, "y": y, "h": h,
                         "spatial": gap @ weight, "spatial_max": gap.max(axis=1),
                         "angular": turn @ weight, "angular_max": turn.max(axis=1),
                         "kernel": near @ weight,
@@ -60,14 +60,16 @@ def group_pair_sums(df: DataFrame, group: str, x: str, y: str, heading: str, blo
     group's own covariance; NULL when that is singular).
     """
     block = block or BLOCK
-    valid = F.when(F.col(heading) >= 0, F.col(heading).cast("double"))
+    valid = F.when((F.col(heading) >= 0) & ~F.isnan(heading), F.col(heading).cast("double"))
+
+    def known(c: str) -> Column:
+        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
     points = (
         df.groupBy(
-            F.col(group).cast("string").alias("grp"), F.col(x).cast("double").alias("x"),
-            F.col(y).cast("double").alias("y"), valid.alias("h"),
+            F.col(group).cast("string").alias("grp"), known(x).alias("x"), known(y).alias("y"), valid.alias("h"),
         )
         .agg(F.count(F.lit(1)).alias("w"))
-        .withColumn("pid", F.xxhash64("x", "y", F.coalesce("h", F.lit(-1.0))))
     )
     shape = df.groupBy(F.col(group).cast("string").alias("_g")).agg(
         F.count(F.lit(1)).alias("n"),
@@ -87,13 +89,13 @@ def group_pair_sums(df: DataFrame, group: str, x: str, y: str, heading: str, blo
     )
     points = points.withColumn("norm", F.when(regular, 2 * np.pi * lx * ly * F.col("n")))
     blocks = F.greatest(F.ceil(F.col("n_points") / block), F.lit(1)).cast("int")
-    points = points.withColumn("nb", blocks).withColumn("b", F.pmod(F.col("pid"), F.col("nb")).cast("int"))
+    points = points.withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("x", "y", "h"), F.col("nb")).cast("int"))
 
     def packed(prefix: str, *names: str) -> list:
         gathered = F.collect_list(F.struct(*[F.coalesce(c, F.lit(float("nan"))).alias(c) if c == "h" else c for c in names]))
         return [gathered.alias(f"{prefix}pack")]
 
-    left = points.groupBy("grp", "b").agg(*packed("", "pid", "x", "y", "h", "u", "v"))
+    left = points.groupBy("grp", "b").agg(*packed("", "x", "y", "h", "u", "v"))
     right = points.groupBy("grp", "b", "nb").agg(*packed("o", "x", "y", "h", "u", "v", "w"))
     # every block meets every block; the target block is part of the key, so the pairs of
     # a large group spread over as many keys as it has blocks
@@ -103,16 +105,17 @@ def group_pair_sums(df: DataFrame, group: str, x: str, y: str, heading: str, blo
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left, right = left.repartition(spread, "grp", "b"), right.repartition(spread, "grp", "b")
     pairs = left.join(right, ["grp", "b"]).select(
-        "grp", F.col("pack.pid").alias("pid"),
+        "grp",
         *[F.col(f"pack.{c}").alias(c) for c in ("x", "y", "h", "u", "v")],
         *[F.col(f"opack.{c}").alias(f"o{c}") for c in ("x", "y", "h", "u", "v", "w")],
     )
-    sums = pairs.mapInPandas(_block_sums, PARTIAL).groupBy("grp", "pid").agg(
+    sums = pairs.mapInPandas(_block_sums, PARTIAL).groupBy(*[F.col(c).alias(f"_{c}") for c in ("grp", "x", "y", "h")]).agg(
         F.sum("spatial").alias("spatial"), F.max("spatial_max").alias("spatial_max"),
         F.sum("angular").alias("angular"), F.max("angular_max").alias("angular_max"),
         F.sum("kernel").alias("kernel"),
     )
-    return points.join(sums, ["grp", "pid"]).select(
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("grp", "x", "y", "h")]
+    return points.join(sums, same).select(
         F.col("grp").alias(group), F.col("x").alias(x), F.col("y").alias(y), F.col("h").alias(heading),
         F.col("w").alias("members"), "n", "spatial", "spatial_max", "angular", "angular_max",
         (F.col("kernel") / F.col("norm")).alias("density"),
