@@ -175,3 +175,26 @@ def test_scratch_scope_leaves_nothing(spark, tmp_path):
             assert cut_lineage(spark.range(5)).count() == 5
         assert cut_lineage(spark.range(7)).count() == 7
     assert set(os.listdir(shared_dir(spark))) == before
+
+
+@pytest.mark.parametrize("sep", [",", ";", "\t", "|"])
+def test_separator_is_found(spark, tmp_path, sep):
+    """Other separators in quotes, in free text and in records over two lines do not mislead."""
+    from tripweave.sources.text_tables import read_survey_csv, sniff_separator
+
+    folder = tmp_path / "an export"
+    folder.mkdir()
+    rows = [["ResponseId", "Q1", "Q2"], ["Response ID", '"a, b; c|d"', "x"]] + [[f"R_{i}", '"1,2;3\t4|5"', "so; and, so" if sep == "|" and i == 3 else "z"] for i in range(9)]
+    for part in range(2):
+        (folder / f"part{part}.csv").write_text("\n".join(sep.join(r) for r in rows) + "\n\n")
+    assert sniff_separator(spark, str(folder)) == sep
+    out = read_survey_csv(spark, str(folder), "ResponseId")
+    assert out.columns == ["ResponseId", "Q1", "Q2"] and out.count() == 18
+
+
+def test_separator_of_odd_files(spark, tmp_path):
+    from tripweave.sources.text_tables import sniff_separator
+
+    (tmp_path / "one.csv").write_text("only\n1\n")
+    (tmp_path / "empty.csv").write_text("")
+    assert sniff_separator(spark, str(tmp_path / "one.csv")) == sniff_separator(spark, str(tmp_path / "empty.csv")) == ","

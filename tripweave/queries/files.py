@@ -1,5 +1,8 @@
 """Readers, writers, route documents and incremental runs. Documents are derived from the tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.functions import geo
@@ -23,11 +26,16 @@ def csv_round_trip(spark, d):
 
 @query("S2 S3", "SELECT 'R_' || o_orderkey AS ResponseId, o_orderpriority AS Q1 FROM orders")
 def survey_export(spark, d):
-    path = scratch_path(spark, "survey")
-    o = table(spark, d, "orders", F.concat(F.lit("R_"), F.col("o_orderkey")).alias("ResponseId"), F.col("o_orderpriority").alias("Q1"))
+    """Exports with three separators, none of them named to the reader."""
+    o = table(spark, d, "orders", F.concat(F.lit("R_"), F.col("o_orderkey")).alias("ResponseId"), F.col("o_orderpriority").alias("Q1"), "o_orderkey")
     labels = spark.createDataFrame([("Response ID", "What is your age?"), ('{"ImportId":"_recordId"}', '{"ImportId":"QID1"}')], "ResponseId string, Q1 string")
-    o.unionByName(labels).write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
-    return text_tables.read_survey_csv(spark, path, "ResponseId", sep=";")
+    parts = []
+    for i, sep in enumerate([",", ";", "\t"]):
+        path = scratch_path(spark, "survey")
+        part = o.filter(F.pmod("o_orderkey", F.lit(3)) == i).drop("o_orderkey")
+        part.unionByName(labels).write.option("header", True).option("sep", sep).option("escape", '"').csv(path)
+        parts.append(text_tables.read_survey_csv(spark, path, "ResponseId"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("S4 S12", "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS balance FROM customer GROUP BY 1")
