@@ -144,6 +144,24 @@ def transit_skims(spark, d):
     return rows.select("origin_id", "dest_id", "error_code", "total_time_min", F.round("wait_time_min", 6).alias("wait_time_min"), "transfers", F.round("distance_km", 6).alias("distance_km"), "pt_fare_proxy", "fare_status")
 
 
+@query("I2 I3 I5 S9", TRANSIT + """
+SELECT error_code, CASE WHEN c > 3 THEN 'success' WHEN c = 1 THEN 'skipped' WHEN c = 2 THEN 'exception' ELSE 'error' END AS outcome, count(*) AS n, round(sum(CASE WHEN c > 3 THEN q ELSE 0 END), 4) AS minutes,
+  sum(count(*)) OVER (PARTITION BY CASE WHEN c > 3 THEN 'success' WHEN c = 1 THEN 'skipped' WHEN c = 2 THEN 'exception' ELSE 'error' END)::BIGINT AS logged FROM s GROUP BY 1, 2
+""")
+def streamed_skims(spark, d):
+    """Route documents through a stream in several batches; its rows, and the log's counts beside them."""
+    base = scratch_path(spark, "routes")
+    transit_documents(spark, d).write.parquet(f"{base}/in")
+    docs = spark.readStream.schema("file string, body string").option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    incremental.run_document_stream(docs, routes.parse_transit, "error_code", f"{base}/out")
+    names = ["error_code", "total_time_min"]
+    rows = incremental.read_rows(spark, f"{base}/out", "clean").select(names).unionByName(incremental.read_rows(spark, f"{base}/out", "errors").select(names))
+    sums = rows.groupBy("error_code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total_time_min"), 4).alias("minutes"))
+    sums = sums.withColumn("outcome", incremental.outcome(F.col("error_code")))
+    log = spark.read.parquet(f"{base}/out/log").groupBy("outcome").agg(F.sum("n").alias("logged"))
+    return sums.join(log, "outcome").select("error_code", "outcome", "n", "minutes", "logged")
+
+
 @query("A1 A2 A3 A4", TRANSIT + """
 SELECT 'Total Records' AS category, count(*) AS count FROM s UNION ALL SELECT 'Successful Routes (OK)', count(*) FILTER (error_code = 'OK') FROM s UNION ALL SELECT 'HTTP 404 Errors', count(*) FILTER (error_code = 'HTTP_404') FROM s
 UNION ALL SELECT 'No Itinerary Found', count(*) FILTER (error_code = 'NO_ITINERARY') FROM s UNION ALL SELECT 'Exceptions', count(*) FILTER (error_code = 'BAD_JSON') FROM s
@@ -208,14 +226,18 @@ def appended_batches(spark, d):
     return final.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+#: Files come in any order, so a key may come back as late as the events span.
+SPAN = "1000 days"
+
+
 @query("I2 I4", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def streamed_append(spark, d):
     """Events through the file source and sink of a stream, de-duplicated by key."""
     base = scratch_path(spark, "stream")
-    ev = table(spark, d, "events", "event_id", "event_type", "value")
+    ev = table(spark, d, "events", "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     ev.unionByName(ev.filter("event_type = 'view'")).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
-    incremental.append_stream(incremental.stream_dedup(stream, ["event_id"]), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    incremental.append_stream(incremental.stream_dedup(stream, ["event_id"], "ts", SPAN), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     out = spark.read.schema(ev.schema).parquet(f"{base}/out")
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 

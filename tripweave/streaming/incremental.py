@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tripweave.operators.ranking import keep_first
@@ -21,55 +21,66 @@ def final_dedup(appended: DataFrame, keys: Sequence[str], order: Sequence[str])
     return keep_first(appended, keys, order)
 
 
-def stream_dedup(stream: DataFrame, keys: Sequence[str], event_time: str | None = None, delay: str = "1 day") -> DataFrame:
+def stream_dedup(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str = "1 day") -> DataFrame:
     """The same inside a stream: each key passes once.
 
-    With ``event_time`` keys are forgotten ``delay`` after the watermark passed them, so the
-    state is bounded; without it the stream remembers every key for ever.
+    Keys are forgotten ``delay`` after the watermark passed their ``event_time``, so the state is bounded; rows
+    that come later than that are dropped. Take the longest time between two copies, or by which files are late.
     """
-    if event_time is None:
-        return stream.dropDuplicates(list(keys))
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def outcome_counts(df: DataFrame, status: str, batch: int | None = None) -> DataFrame:
-    """Rows per outcome class: success, skipped, error or exception."""
-    s = F.col(status)
-    kind = (
+OUTCOMES = ("success", "skipped", "error", "exception")
+
+
+def outcome(s: Column) -> Column:
+    """Outcome class of a status; no status is an error."""
+    return (
         F.when(s == "OK", "success").when(s.isin("NO_ITINERARY", "NO_ROUTE_SUMMARY"), "skipped")
         .when(s == "BAD_JSON", "exception").otherwise("error")
     )
-    return df.groupBy(kind.alias("outcome")).agg(F.count(F.lit(1)).alias("n")).withColumn("batch_id", F.lit(batch).cast("bigint"))
 
 
-def run_route_stream(spark: SparkSession, source: str, parse: Callable[[DataFrame], DataFrame], status: str,
-                     target: str, max_files: int | None = None) -> None:
-    """Turn new route files into skim rows, then stop when none are left.
+def outcome_counts(df: DataFrame, status: str, batch: int | None = None) -> DataFrame:
+    """Rows per outcome class: success, skipped, error or exception."""
+    kind = outcome(F.col(status)).alias("outcome")
+    return df.groupBy(kind).agg(F.count(F.lit(1)).alias("n")).withColumn("batch_id", F.lit(batch).cast("bigint"))
+
 
-    Each micro-batch overwrites its own ``batch_id`` folder of the clean, error and log
-    tables, so a replayed batch leaves no duplicates.
+def run_document_stream(docs: DataFrame, parse: Callable[[DataFrame], DataFrame], status: str, target: str) -> None:
+    """Turn a stream of (file, body) into rows, then stop when nothing is left.
+
+    A micro-batch is parsed once, in the job that writes it: clean and error rows part by a partition column,
+    and the counts of the log are observed on the way. Each batch overwrites its own ``batch_id`` folder of
+    rows and log, so a replayed batch leaves no duplicates. A row without a status is an error.
+    Read the rows with ``read_rows``; the log has (outcome, n, batch_id).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = parse(batch).persist()
-        try:
-            ok = F.col(status) == "OK"
-            rows.filter(ok).write.mode("overwrite").parquet(f"{target}/clean/batch_id={batch_id}")
-            rows.filter(~ok).write.mode("overwrite").parquet(f"{target}/errors/batch_id={batch_id}")
-            outcome_counts(rows, status, batch_id).drop("batch_id").write.mode("overwrite").parquet(
-                f"{target}/log/batch_id={batch_id}"
-            )
-        finally:
-            rows.unpersist()
+        seen = Observation()
+        kind = outcome(F.col(status))
+        rows = parse(batch).observe(seen, *[F.count_if(kind == o).alias(o) for o in OUTCOMES])
+        part = F.when(F.col(status) == "OK", "clean").otherwise("errors")
+        rows.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{target}/rows/batch_id={batch_id}")
+        log = [(o, seen.get[o]) for o in OUTCOMES if seen.get[o]]
+        batch.sparkSession.createDataFrame(log, "outcome string, n bigint").coalesce(1).write.mode("overwrite").parquet(
+            f"{target}/log/batch_id={batch_id}"
+        )
+
+    query = docs.writeStream.foreachBatch(write).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def read_rows(spark: SparkSession, target: str, part: str) -> DataFrame:
+    """``clean`` or ``errors`` rows of ``run_document_stream``, with ``batch_id``; only their folders are read."""
+    return spark.read.parquet(f"{target}/rows").filter(F.col("part") == part).drop("part")
+
 
+def run_route_stream(spark: SparkSession, source: str, parse: Callable[[DataFrame], DataFrame], status: str,
+                     target: str, max_files: int | None = None) -> None:
+    """``run_document_stream`` over the new route files of a folder."""
     docs = stream_documents(spark, source) if max_files is None else _capped(spark, source, max_files)
-    query = (
-        docs.writeStream.foreachBatch(write)
-        .option("checkpointLocation", f"{target}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    run_document_stream(docs, parse, status, target)
 
 
 def _capped(spark: SparkSession, source: str, max_files: int) -> DataFrame:
