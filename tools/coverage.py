@@ -12,7 +12,7 @@ sys.path.insert(0, HERE)
 from tripweave import queries as bound  # noqa: E402
 
 WHERE = {
-    "S1": "sources.text_tables.read_csv", "S2": "sources.text_tables.read_survey_csv", "S3": "sources.text_tables.read_csv(sep=)",
+    "S1": "sources.text_tables.read_csv", "S2": "sources.text_tables.read_survey_csv", "S3": "sources.text_tables.sniff_separator, read_csv(sep=)",
     "S4": "sources.text_tables.read_report_table", "S5": "sources.geo_json.read_geojson, parse_features",
     "S6": "sources.geo_json.read_search_results, labelled_places", "S7": "sources.geo_json.read_elements, parse_elements",
     "S8": "sources.routes.read_documents, with_route_keys", "S9": "sources.routes.parse_transit, parse_drive", "S10": "sources.sinks.write_csv",
@@ -61,7 +61,7 @@ WHERE = {
     "U5": "operators.survey.choice_long", "U6": "operators.reshape.long_to_wide, operators.choice_models.choice_arrays", "U7": "operators.reshape.attribute_records",
     "U8": "operators.linear.strong_pairs", "U9": "operators.design.assemble",
     "G1": "functions.geo.polygon_area", "G2": "functions.geo.interior_point", "G3": "functions.geo.polygon_centroid", "G4": "operators.spatial.union_area",
-    "G5": "operators.spatial.points_along", "G6": "operators.spatial.ring_points", "G7": "operators.spatial.with_sampling_plan", "G8": "operators.spatial.edges_near",
+    "G5": "operators.spatial.points_along", "G6": "operators.spatial.ring_points", "G7": "operators.spatial.with_sampling_plan", "G8": "operators.spatial.clip_edges, edges_near",
     "G9": "operators.spatial.target_heading", "G10": "operators.dedup.cluster_points", "G11": "operators.dedup.dedup_summary", "G12": "try_divide",
     "M1": "operators.linear.correlations", "M2": "operators.linear.spearman, rank_gap", "M3": "operators.linear.PrincipalComponents", "M4": "operators.linear.PrincipalComponents.counts",
     "M5": "operators.linear.simple_regression, residualise", "M6": "operators.linear.ols", "M7": "operators.linear.interactions", "M8": "operators.linear.vif",
@@ -72,10 +72,10 @@ WHERE = {
     "M22": "operators.choice_models.prior_table, priors_from", "M23": "operators.posterior.draws_summary", "M24": "operators.choice_models.fit_metrics", "M25": "operators.posterior.convergence_counts",
     "O1": "plans.od_flow.trip_production", "O2": "plans.od_flow.size_classes", "O3": "plans.od_flow.tertile", "O4": "plans.od_flow.category_codes", "O5": "plans.od_flow.utilities",
     "O6": "plans.od_flow.flows, destination_totals", "O7": "plans.od_flow.scale_factor, calibration", "O8": "plans.od_flow.car_residual", "O9": "plans.od_flow.with_count_flags",
-    "O10": "plans.od_flow.calibration, long_table", "O11": "plans.od_flow.invariants, operators.aggregates.violations", "O12": "operators.perception.shrink", "O13": "operators.posterior.parameter_grid, plans.sensitivity.run_grid",
+    "O10": "plans.od_flow.calibration, long_table", "O11": "plans.od_flow.invariants, operators.aggregates.violations", "O12": "operators.perception.shrink", "O13": "operators.posterior.parameter_grid, plans.sensitivity.score_grid, score_effects, run_grid",
     "O14": "operators.posterior.robustness", "O15": "operators.perception.prefilter_images", "O16": "operators.perception.composite_score", "O17": "operators.profiling.sanity_rules",
     "O18": "operators.profiling.low_rate_advice", "O19": "operators.aggregates.compare_columns", "O20": "queries.reshaping.postal_lookup over left_lookup",
-    "I1": "streaming.incremental.pending", "I2": "streaming.incremental.run_route_stream, append_stream", "I3": "streaming.incremental.run_route_stream",
+    "I1": "streaming.incremental.pending", "I2": "streaming.incremental.run_document_stream, append_stream", "I3": "streaming.incremental.run_document_stream, run_route_stream",
     "I4": "streaming.incremental.final_dedup, stream_dedup", "I5": "streaming.incremental.outcome_counts",
 }
 
