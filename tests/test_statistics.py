@@ -106,6 +106,17 @@ def test_krippendorff_matches_pairs(spark):
     assert psychometrics.krippendorff_ordinal(df, "u", "v", [1, 2, 3, 4, 5]).first()["alpha"] == pytest.approx(ordinal_alpha(units))
 
 
+def test_krippendorff_counts_values_outside_the_scale(spark):
+    rows = [(1, 1), (1, 2), (2, 3), (2, 3), (2, 9), (3, 0), (4, None)]
+    df = spark.createDataFrame(rows, "u int, v int")
+    out = psychometrics.krippendorff_ordinal(df, "u", "v", [1, 2, 3]).first()
+    assert (out.n_pairable, out.n_outside) == (4.0, 2)
+    assert out.alpha == pytest.approx(ordinal_alpha([[1, 2], [3, 3]]))
+    none = psychometrics.krippendorff_ordinal(df.filter("u > 2"), "u", "v", [1, 2, 3]).first()
+    assert (none.n_pairable, none.n_outside, none.alpha) == (0.0, 1, None)
+    assert psychometrics.krippendorff_ordinal(df.limit(0), "u", "v", [1, 2, 3]).first().n_outside == 0
+
+
 def test_special_functions():
     x = np.array([0.3, 1.0, 2.5, 7.9, 40.0])
     assert cm._lgamma(x) == pytest.approx([math.lgamma(v) for v in x], abs=1e-10)

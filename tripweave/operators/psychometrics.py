@@ -129,19 +129,28 @@ def icc_two_way(df: DataFrame, target: str, rater: str, value: str) -> DataFrame
 
 
 def krippendorff_ordinal(df: DataFrame, unit: str, value: str, scale: Sequence[int]) -> DataFrame:
-    """Ordinal alpha. One row per unit of value counts; no pair of ratings is ever formed."""
+    """Ordinal alpha. One row per unit of value counts; no pair of ratings is ever formed.
+
+    Values outside ``scale`` take no part; ``n_outside`` counts them. Without a unit of two ratings alpha is NULL.
+    """
     counts = df.dropna(subset=[value]).groupBy(unit).agg(
-        *[F.count_if(F.col(value) == c).cast("double").alias(f"c{i}") for i, c in enumerate(scale)]
+        *[F.count_if(F.col(value) == c).cast("double").alias(f"c{i}") for i, c in enumerate(scale)],
+        F.count_if(~F.col(value).isin(list(scale))).alias("outside"),
     )
     k = range(len(scale))
     m = sum((F.col(f"c{i}") for i in k), F.lit(0.0))
-    counts = counts.withColumn("m", m).filter("m >= 2")
+    counts = counts.withColumn("m", m)
+    others = F.when(F.col("m") >= 2, F.col("m") - 1)
     row = counts.agg(
+        F.sum("outside").alias("outside"),
         *[
-            F.sum(F.col(f"c{i}") * (F.col(f"c{j}") - (1 if i == j else 0)) / (F.col("m") - 1)).alias(f"o{i}_{j}")
+            F.sum(F.col(f"c{i}") * (F.col(f"c{j}") - (1 if i == j else 0)) / others).alias(f"o{i}_{j}")
             for i in k for j in k
-        ]
+        ],
     ).first()
+    schema = "n_pairable double, n_outside bigint, alpha double"
+    if row["o0_0"] is None:
+        return df.sparkSession.createDataFrame([(0.0, row["outside"] or 0, None)], schema)
     o = np.array([[row[f"o{i}_{j}"] for j in k] for i in k], dtype=float)
     marginal = o.sum(axis=1)
     total = marginal.sum()
@@ -151,7 +160,7 @@ def krippendorff_ordinal(df: DataFrame, unit: str, value: str, scale: Sequence[i
             gap[i, j] = gap[j, i] = (marginal[i : j + 1].sum() - (marginal[i] + marginal[j]) / 2) ** 2
     expected = float((np.outer(marginal, marginal) * gap).sum())
     alpha = 1.0 if expected == 0 else 1 - (total - 1) * float((o * gap).sum()) / expected
-    return df.sparkSession.createDataFrame([(float(total), float(alpha))], "n_pairable double, alpha double")
+    return df.sparkSession.createDataFrame([(float(total), row["outside"], float(alpha))], schema)
 
 
 def describe_ratings(df: DataFrame, dim: str, value: str) -> DataFrame:
