@@ -1,8 +1,8 @@
 """Spatial joins, sampling and areas on plain coordinates.
 
-Catalyst has no spatial index, so polygons and points meet on grid-cell keys. Each polygon
-uses the grid whose cells match its size, so it covers at most nine cells however large it
-is; points are keyed once per grid in use (a handful).
+Catalyst has no spatial index, so polygons and points meet on cell keys: on the leaves of an
+adaptive quadtree (``quadtree``), or, for points along edges, on grids by the polygons' sizes, where
+a polygon covers at most nine cells and points are keyed once per grid in use.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tripweave import constants as K
 from tripweave.functions import geo
 from tripweave.functions.text import token_set_ratio
+from tripweave.operators import quadtree
 from tripweave.operators.filters import category_match
 from tripweave.session import cut_lineage
 
@@ -53,8 +54,8 @@ def point_in_polygon(points: DataFrame, key: str, x: str, y: str, shapes: DataFr
                      order: str, take: Sequence[str]) -> DataFrame:
     """Left join to the first shape (lowest ``order``) containing each point."""
     slim = shapes.select(F.col(order).alias("_order"), F.col(rings).alias("_rings"), *[F.col(c).alias(f"_t_{c}") for c in take])
-    near = near_pairs(points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")), "_x", "_y", slim, geo.bounding_box(F.col("_rings")))
-    hits = near.filter(geo.contains(F.col("_rings"), F.col("_x"), F.col("_y")))
+    near = quadtree.pairs(points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")), "_x", "_y", slim, "_rings")
+    hits = near.filter(quadtree.inside("_x", "_y"))
     first = hits.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"_t_{c}").alias(c) for c in take]), "_order").alias("_first"))
     return points.join(first, key, "left").select(*points.columns, *[F.col(f"_first.{c}").alias(c) for c in take])
 
@@ -62,8 +63,11 @@ def point_in_polygon(points: DataFrame, key: str, x: str, y: str, shapes: DataFr
 def within_distance(points: DataFrame, x: str, y: str, shapes: DataFrame, rings: str, radius: float,
                     out: str = "dist") -> DataFrame:
     """All (point, shape) pairs at most ``radius`` apart, with the distance."""
-    near = near_pairs(points, x, y, shapes, geo.bounding_box(F.col(rings)), radius)
-    return near.withColumn(out, geo.polygon_distance(F.col(rings), F.col(x), F.col(y))).filter(F.col(out) <= radius)
+    near = quadtree.pairs(points, x, y, shapes, rings, radius)
+    hit = quadtree.inside(f"`{x}`", f"`{y}`")
+    gap = F.when(hit, 0.0).otherwise(geo.edge_distance(F.col("_segs"), F.col(x), F.col(y)))
+    # an explode is not pushed down as a filter would be, so the distance is computed once
+    return near.withColumn(out, F.explode(F.filter(F.array(gap), lambda g: g <= radius))).drop("_segs", "_flip")
 
 
 def _near_segments(edges: DataFrame, key: str, line: str, shapes: DataFrame, rings: str, radius: float) -> DataFrame:
