@@ -349,7 +349,10 @@ def buffer_intervals(seg: Column, rings: Column, radius: float) -> Column:
 
     met = F.filter(F.transform(sides, crossing), lambda t: t.isNotNull())
     cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), met)))
-    spans = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1), _interval)
+    # a lambda names the cuts, so that they are computed once
+    spans = F.transform(
+        F.array(cuts), lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), _interval)
+    )[0]
     inner = F.filter(
         spans,
         lambda v: contains(rings, seg["x0"] + dx * (v["t0"] + v["t1"]) / 2, seg["y0"] + dy * (v["t0"] + v["t1"]) / 2),
@@ -371,10 +374,10 @@ def buffer_intervals(seg: Column, rings: Column, radius: float) -> Column:
         return _interval(F.coalesce(still, F.try_divide(-b - root, a)), F.coalesce(still + 1, F.try_divide(-b + root, a)))
 
     grown = F.concat(inner, F.transform(sides, strip), F.transform(F.flatten(rings), disc))
-    cut = F.transform(grown, lambda v: _interval(F.greatest(v["t0"], F.lit(0.0)), F.least(v["t1"], F.lit(1.0))))
-    # a NULL end, of a side without length or a disc not reached, fails the comparison; greatest() skips it
-    real = F.filter(F.zip_with(grown, cut, lambda g, v: F.when(g["t0"].isNotNull() & g["t1"].isNotNull(), v)),
-                    lambda v: v.isNotNull() & (v["t1"] - v["t0"] > SHARE_EPS))
+    # a side without length or a disc not reached has NULL ends; greatest() below would skip them
+    real = F.filter(grown, lambda v: v["t0"].isNotNull() & v["t1"].isNotNull())
+    cut = F.transform(real, lambda v: _interval(F.greatest(v["t0"], F.lit(0.0)), F.least(v["t1"], F.lit(1.0))))
+    real = F.filter(cut, lambda v: v["t1"] - v["t0"] > SHARE_EPS)
     return merge_intervals(real)
 
 

@@ -119,9 +119,12 @@ def clip_edges(edges: DataFrame, key: str, line: str, shapes: DataFrame, rings:
         F.collect_list(F.struct((F.col("_i") + F.col("_v.t0")).alias("t0"), (F.col("_i") + F.col("_v.t1")).alias("t1"))).alias("_spans")
     )
     pieces = spans.select(key, *names, F.posexplode(geo.merge_intervals(F.col("_spans"))).alias("_p", "_v"))
-    cut = pieces.join(edges.select(key, line), key).withColumn("part", geo.line_part(F.col(line), F.col("_v.t0"), F.col("_v.t1")))
-    cut = cut.select(key, *names, (F.col("_p") + 1).alias("piece"), "part", geo.line_length(F.col("part")).alias("length"))
-    return cut.filter(F.col("length") > 0)
+    cut = pieces.join(edges.select(key, line), key)
+    part = geo.line_part(F.col(line), F.col("_v.t0"), F.col("_v.t1"))
+    # made by an explode, which no filter is pushed below, so each piece is cut and measured once
+    made = F.transform(F.array(part), lambda p: F.struct(p.alias("part"), geo.line_length(p).alias("length")))
+    cut = cut.withColumn("_made", F.explode(F.filter(made, lambda m: m["length"] > 0)))
+    return cut.select(key, *names, (F.col("_p") + 1).alias("piece"), "_made.part", "_made.length")
 
 
 def _bins(y0: Column, y1: Column) -> Column:
