@@ -8,7 +8,7 @@ from tripweave.operators.choice_models import choice_arrays
 from tripweave.operators.reshape import wide_to_long
 from tripweave.plans import survey as plan
 from tripweave.queries.registry import query
-from tripweave.tables import table
+from tripweave.tables import dealt, table
 
 ANSWERS = {(b, t): f"Q3-{b}-{t}" for b in range(1, 5) for t in range(1, 9)}
 
@@ -19,7 +19,7 @@ def respondents(spark, d):
     for (b, t), name in ANSWERS.items():
         raw = "(c_custkey + c_nationkey) % 3 + 1" if t == 1 else f"(c_custkey * 7 + {t * 13} + c_nationkey) % 4"
         cells.append(f"CASE WHEN c_custkey % 4 = {b - 1} AND {raw} > 0 THEN string({raw} + {3 if b == 1 else 0}) END AS `{name}`")
-    return table(spark, d, "customer", "c_custkey", "c_nationkey").selectExpr(
+    return dealt(table(spark, d, "customer", "c_custkey", "c_nationkey"), "c_custkey").selectExpr(
         "c_custkey AS person_id", "20D + c_custkey % 30 AS car_time", "3.25D + c_nationkey % 5 AS car_cost",
         "40D + c_custkey % 17 AS pt_time", "1.5D + c_nationkey % 3 AS pt_cost", *cells,
     )

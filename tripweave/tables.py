@@ -22,3 +22,14 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """Scan ``folder/name.parquet``, pruned to ``columns`` when given."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as the session has shuffle partitions; they are not merged again.
+
+    For narrow tables whose rows are multiplied or sorted next: one split of a file may hold millions of them. Up to
+    the number of partitions used here Spark writes a shuffle without holding rows in memory.
+    """
+    conf = df.sparkSession.conf
+    many = min(int(conf.get("spark.sql.shuffle.partitions")), int(conf.get("spark.shuffle.sort.bypassMergeThreshold", "200")))
+    return df.repartition(many, *keys)
