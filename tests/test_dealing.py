@@ -19,3 +19,7 @@ def test_dealing_is_not_merged_and_stays_below_the_sorting_shuffle(spark):
         assert tasks(dealt(rows, "id")) == 200
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_choices_of_one_file_are_made_in_many_tasks(spark, data):
+    assert tasks(surveys.choices(spark, data)) == 4

@@ -118,7 +118,7 @@ def choice_matrix(spark, d):
 def ratings(spark, d):
     """Twelve images rated 1-3 by each respondent, one cell in eleven missing."""
     key = F.col("c_custkey")
-    c = table(spark, d, "customer", "c_custkey")
+    c = dealt(table(spark, d, "customer", "c_custkey"), "c_custkey")
     def cell(i):
         same = F.pmod(key, F.lit(50)) == 0
         value = F.when(same, F.lit(2)).otherwise(F.pmod(key * (i + 3) + i * i, F.lit(3)) + 1)
