@@ -1,6 +1,7 @@
 """Narrow tables are dealt over tasks before their rows are multiplied or sorted."""
 
 from tripweave import queries as bound
+from tripweave.operators import ranking
 from tripweave.queries import surveys
 from tripweave.tables import dealt
 
@@ -23,3 +24,14 @@ def test_dealing_is_not_merged_and_stays_below_the_sorting_shuffle(spark):
 
 def test_choices_of_one_file_are_made_in_many_tasks(spark, data):
     assert tasks(surveys.choices(spark, data)) == 4
+
+
+def test_compared_models_share_one_table_of_observations(spark, data, monkeypatch):
+    stored = []
+    cut = statistics.cut_lineage
+    monkeypatch.setattr(statistics, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    got = {r["model"]: r["ll"] for r in statistics.choice_model_comparison(spark, data).collect()}
+    assert stored == [["obs_id", "x", "pos"]]
+    names = list(statistics.TERMS)[:3]
+    alone = statistics.cm.fit_logit(statistics.standard_tasks(spark, data, names), names, 3)
+    assert got["cost only"] == round(alone.loglik, 6)

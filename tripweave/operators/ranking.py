@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.session import cut_lineage
+from tripweave.tables import dealt
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], last: bool = False) -> DataFrame:
@@ -31,13 +32,19 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 
 
 def extremes(df: DataFrame, key: str, value: str, tie: str, k: int = 5, min_rows: int = 10) -> DataFrame:
-    """Top and bottom ``k`` per key, for keys with at least ``min_rows`` rows."""
-    large = df.filter(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    large = large.filter(F.col("_n") >= min_rows).select(key)
-    rows = df.filter(F.col(value).isNotNull()).join(large, key, "left_semi")
-    top = top_k(rows, [key], [F.desc(value), F.asc(tie)], k).withColumn("side", F.lit("top"))
-    bottom = top_k(rows, [key], [F.asc(value), F.asc(tie)], k).withColumn("side", F.lit("bottom"))
-    return top.unionByName(bottom)
+    """Top and bottom ``k`` per key, for keys with at least ``min_rows`` rows.
+
+    Rows are dealt by key and tie, so a task sorts few of them and of a hot key passes on ``min_rows`` (or ``k``) at most;
+    as many tell whether a key is large enough.
+    """
+    rows = dealt(df.filter(F.col(value).isNotNull()), key, tie)
+    enough = F.count(F.lit(1)).over(Window.partitionBy(key)) >= min_rows
+
+    def side(name: str, order: Column) -> DataFrame:
+        best = top_k(rows, [key], [order, F.asc(tie)], max(k, min_rows)).withColumn("_enough", enough)
+        return best.filter(F.col("_enough") & (F.col("rank") <= k)).drop("_enough").withColumn("side", F.lit(name))
+
+    return side("top", F.desc(value)).unionByName(side("bottom", F.asc(value)))
 
 
 def quota_top_n(df: DataFrame, key: str, score: str, tie: str, limited: Column, n: Column | int,
