@@ -448,3 +448,17 @@ def test_sector_lookup_and_image_capacity(spark):
         (1, "0512", "05", 4.5), (2, "99", "99", None), (3, None, None, None)]
     images = spark.createDataFrame([("1_a",)] * 60 + [("x_b",)] * 3, "place string")
     assert {tuple(r) for r in image_capacity(images, "place").collect()} == {("1_a", 60, 20, 50), ("x_b", 3, 15, 3)}
+
+
+def test_union_area_of_many_shapes_makes_strips_of_their_height_and_broadcasts_none(spark):
+    rng = random.Random(11)
+    boxes = [(rng.randint(0, 180), rng.randint(0, 180)) for _ in range(600)]
+    ring = [[[(float(x), float(y)), (x + 30.0, float(y)), (x + 30.0, y + 20.0), (float(x), y + 20.0), (float(x), float(y))]] for x, y in boxes]
+    df = spark.createDataFrame([("k", r) for r in ring], "k string, rings array<array<struct<x: double, y: double>>>")
+    boxed = df.select("k", geo.bounding_box(F.col("rings")).alias("_box"))
+    assert spatial._strips(boxed, ["k"]).first()["_strip"] == 20.0
+    out = spatial.union_area(df, ["k"], "rings", "area")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [k#") >= 2  # slabs, and crossings of sides
+    cells = {(x + i, y + j) for x, y in boxes for i in range(30) for j in range(20)}
+    assert out.first()["area"] == pytest.approx(float(len(cells)))

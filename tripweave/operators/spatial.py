@@ -127,50 +127,63 @@ def clip_edges(edges: DataFrame, key: str, line: str, shapes: DataFrame, rings:
     return cut.select(key, *names, (F.col("_p") + 1).alias("piece"), "_made.part", "_made.length")
 
 
+def _bin(y: Column) -> Column:
+    """Number of the horizontal strip of a key (``_low``, ``_strip``) that holds y."""
+    return F.floor((y - F.col("_low")) / F.col("_strip")).cast("bigint")
+
+
 def _bins(y0: Column, y1: Column) -> Column:
-    """Numbers of the horizontal strips of a key (``_low``, ``_high``, ``_strip``) that reach from y0 to y1."""
-    at = lambda y: F.floor((y - F.col("_low")) / F.col("_strip")).cast("bigint")
-    return F.explode(F.sequence(at(y0), at(y1)))
+    """Numbers of the strips that reach from y0 to y1."""
+    return F.explode(F.sequence(_bin(y0), _bin(y1)))
 
 
 def _crossing_heights(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, y): heights at which two segments of a key cross. A horizontal segment crosses at the height of its
+    """(keys, _low, _strip, y): heights at which two segments of a key cross. A horizontal segment crosses at the height of its
     ends and two upright ones do not cross, so one side of the join holds slanted segments only."""
-    upright = parts.filter("y0 <> y1").withColumn("_bin", _bins(F.least("y0", "y1"), F.greatest("y0", "y1"))).drop("_low", "_high", "_strip")
+    upright = parts.filter("y0 <> y1").withColumn("_bin", _bins(F.least("y0", "y1"), F.greatest("y0", "y1")))
     names = ("x0", "y0", "x1", "y1")
-    a = upright.filter("x0 <> x1").select(*keys, "_bin", *[F.col(c).alias(f"a{c}") for c in names])
+    a = upright.filter("x0 <> x1").select(*keys, "_bin", "_low", "_strip", *[F.col(c).alias(f"a{c}") for c in names])
     b = upright.select(*keys, "_bin", *[F.col(c).alias(f"b{c}") for c in names])
     overlap = F.expr(
         "greatest(ax0, ax1) >= least(bx0, bx1) and greatest(bx0, bx1) >= least(ax0, ax1) and greatest(ay0, ay1) >= least(by0, by1)"
         " and greatest(by0, by1) >= least(ay0, ay1)"
     )
     turn = F.expr("(ax1 - ax0) * (by1 - by0) - (ay1 - ay0) * (bx1 - bx0)")
-    met = a.join(b, [*keys, "_bin"]).filter(overlap).withColumn("_d", turn).filter("_d <> 0")
-    met = met.withColumn("_t", F.expr("((bx0 - ax0) * (by1 - by0) - (by0 - ay0) * (bx1 - bx0)) / _d"))
-    met = met.withColumn("_u", F.expr("((bx0 - ax0) * (ay1 - ay0) - (by0 - ay0) * (ax1 - ax0)) / _d"))
-    return met.filter("_t between 0 and 1 and _u between 0 and 1").select(*keys, F.expr("ay0 + _t * (ay1 - ay0)").alias("y"))
+    met = a.join(b.hint("merge"), [*keys, "_bin"]).filter(overlap).withColumn("_d", turn).filter("_d <> 0")
+    met = met.withColumn("_t", F.expr("((bx0 - ax0) * (by1 - by0) - (by0 - ay0) * (bx1 - bx0)) / nullif(_d, 0D)"))
+    met = met.withColumn("_u", F.expr("((bx0 - ax0) * (ay1 - ay0) - (by0 - ay0) * (ax1 - ax0)) / nullif(_d, 0D)"))
+    return met.filter("_t between 0 and 1 and _u between 0 and 1").select(*keys, "_low", "_strip", F.expr("ay0 + _t * (ay1 - ay0)").alias("y"))
+
+
+def _strips(boxed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _low, _strip): where a key's horizontal strips begin and how high they are."""
+    frame = boxed.groupBy(*keys).agg(
+        F.min("_box.y0").alias("_low"), F.max("_box.y1").alias("_high"), F.avg(F.col("_box.y1") - F.col("_box.y0")).alias("_mean"), F.count(F.lit(1)).alias("_many"),
+    )
+    return frame.select(*keys, "_low", F.greatest("_mean", (F.col("_high") - F.col("_low")) / F.col("_many")).alias("_strip"))
 
 
 def union_area(df: DataFrame, keys: Sequence[str], rings: str, out: str) -> DataFrame:
     """Area covered by a key's polygons together, overlaps once; exact up to rounding.
 
-    The plane is cut into horizontal slabs at every corner and every crossing of two sides. Inside a
-    slab no sides cross, so the covered width is linear in the height and the slab's area is its
+    The plane is cut into horizontal slabs at every corner, every crossing of two sides and every border of a
+    strip. Inside a slab no sides cross, so the covered width is linear in the height and the slab's area is its
     height times the width at its middle. A polygon meets the slabs of the strips that it reaches;
-    a key has as many strips as polygons. Rows without a polygon are left out.
+    strips are as high as a key's polygons are on average, so polygons reach two of them on average at most, and
+    never more strips than polygons. Sizes are unknown to the optimizer here, so joins are told not to broadcast. Rows without a polygon are left out.
     """
     keys = list(keys)
     boxed = df.select(*keys, F.col(rings).alias("_rings"), geo.bounding_box(F.col(rings)).alias("_box")).filter("_box.y0 < _box.y1")
-    frame = boxed.groupBy(*keys).agg(F.min("_box.y0").alias("_low"), F.max("_box.y1").alias("_high"), F.count(F.lit(1)).alias("_many"))
-    frame = frame.select(*keys, "_low", "_high", ((F.col("_high") - F.col("_low")) / F.col("_many")).alias("_strip"))
-    shapes = cut_lineage(boxed.join(frame, keys))
-    sides = shapes.select(*keys, "_low", "_high", "_strip", F.inline(F.flatten(F.transform("_rings", geo.segments))))
-    heights = sides.select(*keys, F.explode(F.array("y0", "y1")).alias("y")).unionByName(_crossing_heights(sides, keys)).distinct()
-    up = Window.partitionBy(*keys).orderBy("y")
-    slabs = heights.withColumn("_to", F.lead("y").over(up)).filter("_to > y").select(*keys, F.col("y").alias("_from"), "_to", ((F.col("y") + F.col("_to")) / 2).alias("_mid"))
-    slabs = slabs.join(frame, keys).withColumn("_bin", F.floor((F.col("_mid") - F.col("_low")) / F.col("_strip")).cast("bigint")).drop("_low", "_high", "_strip")
-    reached = shapes.select(*keys, "_rings", "_box", _bins(F.col("_box.y0"), F.col("_box.y1")).alias("_bin"))
-    lines = reached.join(slabs, [*keys, "_bin"]).filter("_mid > _box.y0 and _mid < _box.y1")
+    shapes = cut_lineage(boxed.join(_strips(boxed, keys), keys))
+    sides = shapes.select(*keys, "_low", "_strip", F.inline(F.flatten(F.transform("_rings", geo.segments))))
+    corners = sides.select(*keys, "_low", "_strip", F.explode(F.array("y0", "y1")).alias("y"))
+    inner = corners.unionByName(_crossing_heights(sides, keys)).select(*keys, _bin(F.col("y")).alias("_bin"), "y")
+    reached = shapes.select(*keys, "_rings", "_box", "_low", "_strip", _bins(F.col("_box.y0"), F.col("_box.y1")).alias("_bin"))
+    border = F.explode(F.array(*[F.col("_low") + (F.col("_bin") + k) * F.col("_strip") for k in (0, 1)]))
+    heights = inner.unionByName(reached.select(*keys, "_bin", border.alias("y"))).distinct()
+    up = Window.partitionBy(*keys, "_bin").orderBy("y")
+    slabs = heights.withColumn("_to", F.lead("y").over(up)).filter("_to > y").select(*keys, "_bin", F.col("y").alias("_from"), "_to", ((F.col("y") + F.col("_to")) / 2).alias("_mid"))
+    lines = reached.join(slabs.hint("merge"), [*keys, "_bin"]).filter("_mid > _box.y0 and _mid < _box.y1")
     lines = lines.select(*keys, "_from", "_to", geo.scan_crossings(F.col("_rings"), F.col("_mid")).alias("_xs")).filter(F.size("_xs") >= 2)
     spans = lines.withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_xs") - 1, F.lit(2)))).select(
         *keys, "_from", "_to", F.element_at("_xs", F.col("_i")).alias("_a"), F.element_at("_xs", F.col("_i") + 1).alias("_b")
