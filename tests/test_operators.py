@@ -462,3 +462,50 @@ def test_union_area_of_many_shapes_makes_strips_of_their_height_and_broadcasts_n
     assert plan.count("SortMergeJoin [k#") >= 2  # slabs, and crossings of sides
     cells = {(x + i, y + j) for x, y in boxes for i in range(30) for j in range(20)}
     assert out.first()["area"] == pytest.approx(float(len(cells)))
+
+
+def test_heading_gaps_and_distances_of_blocks_match_all_pairs():
+    rng = np.random.default_rng(4)
+    for low, high in ((0, 360), (0, 900), (90, 90.5)):
+        h, oh = rng.uniform(low, high, 40), np.round(rng.uniform(low, high, 70))
+        h[:3], oh[:5], h[4] = np.nan, np.nan, oh[9]
+        w, ow = rng.integers(1, 5, 40).astype(float), rng.integers(1, 5, 70).astype(float)
+        gap = np.abs(h[:, None] - oh)
+        gap = np.nan_to_num(np.minimum(gap, 360 - gap))
+        total, top = pairwise._turns(h, oh, ow)
+        assert total == pytest.approx(gap @ ow, abs=1e-8) and top == pytest.approx(gap.max(axis=1), abs=1e-12)
+    assert [a.tolist() for a in pairwise._turns(np.full(3, 0.1), np.full(7, 0.1), np.ones(7))] == [[0.0] * 3, [0.0] * 3]
+    for scale in (1.0, 1e-200, 1e200):
+        (x, y, u, v), (ox, oy, ou, ov) = rng.normal(size=(4, 40)) * scale, rng.normal(size=(4, 70)) * scale
+        mine, theirs = pairwise._gaps(x, y, w, u, v, (ox, oy, ow, ou, ov), True)
+        gap, near = np.hypot(x[:, None] - ox, y[:, None] - oy), np.exp(-0.5 * ((u[:, None] - ou) ** 2 + (v[:, None] - ov) ** 2))
+        for got, want in ((mine, (gap @ ow, gap.max(axis=1), near @ ow)), (theirs, (w @ gap, gap.max(axis=0), w @ near))):
+            for a, b in zip(got, want):
+                assert a == pytest.approx(b, rel=1e-12)
+
+
+def test_blocks_of_a_large_group_do_not_multiply(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("'k' AS g", "double(id % 61) AS x", "double(id) AS y", "double(id % 350) AS h")
+    made = spark.sparkContext.accumulator(0)
+    inner = pairwise._block_sums
+
+    def counted(density):
+        add_up = inner(density)
+
+        def run(batches):
+            def seen():
+                for b in batches:
+                    made.add(len(b))
+                    yield b
+            yield from add_up(seen())
+
+        return run
+
+    monkeypatch.setattr(pairwise, "_block_sums", counted)
+    out = pairwise.group_pair_sums(df, "g", "x", "y", "h", block=16, density=False)
+    got = out.filter("y = 0").first()
+    n = np.arange(4000)
+    assert got["spatial"] == pytest.approx(np.hypot(n % 61, n).sum()) and got["density"] is None
+    gap = np.minimum(n % 350, 360 - n % 350)
+    assert got["angular"] == pytest.approx(gap.sum()) and got["spatial_max"] == pytest.approx(np.hypot(n % 61, n).max())
+    assert 0 < made.value <= 100  # 62,500 pairs of blocks of 16

@@ -204,7 +204,7 @@ FROM i a JOIN i b ON a.label = b.label GROUP BY 1, 2
 """)
 def pair_distance_sums(spark, d):
     p = image_points(spark, d)
-    sums = group_pair_sums(p, "poi", "x", "y", "h", block=16)
+    sums = group_pair_sums(p, "poi", "x", "y", "h", block=16, density=False)
     joined = p.join(sums.withColumnRenamed("h", "_h"), ["poi", "x", "y"]).filter(F.col("h").eqNullSafe(F.col("_h")))
     return joined.select("poi", "vec_id", F.round("spatial", 6).alias("spatial"), F.round("angular", 4).alias("angular"))
 
