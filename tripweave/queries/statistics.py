@@ -269,11 +269,12 @@ def choice_model(spark, d):
 
 @query("M18 M19")
 def choice_model_comparison(spark, d):
-    data = cut_lineage(surveys.choices(spark, d).filter("task_type = 'Standard'").withColumn("gtc", F.col("gtc") / 100))
+    every = list(TERMS)
+    data = cut_lineage(standard_tasks(spark, d, every))
     fits = {}
-    for label, names in (("cost only", list(TERMS)[:3]), ("cost and size", list(TERMS))):
-        arrays = cm.choice_arrays(data, "obs_id", "alt_num", [0, 1, 2], {n: TERMS[n] for n in names})
-        fits[label] = cm.fit_logit(arrays, names, 3)
+    for label, names in (("cost only", every[:3]), ("cost and size", every)):
+        x = F.array(*[F.col("x")[a * len(every) + every.index(n)] for a in range(3) for n in names])
+        fits[label] = cm.fit_logit(data.select(x.alias("x"), "pos"), names, 3)
     test = cm.lr_test(spark, fits["cost only"], fits["cost and size"], "size added").select(F.lit("LR test").alias("model"), F.col("df").cast("double").alias("n_params"), F.col("lr").alias("ll"))
     table_ = cm.compare_fits(spark, fits).unionByName(test, allowMissingColumns=True)
     return table_.select("model", "n_params", *[F.round(c, 6).alias(c) for c in ("ll", "ll_null", "rho2", "aic", "bic")])
