@@ -216,3 +216,15 @@ def test_separator_of_odd_files(spark, tmp_path):
     (tmp_path / "one.csv").write_text("only\n1\n")
     (tmp_path / "empty.csv").write_text("")
     assert sniff_separator(spark, str(tmp_path / "one.csv")) == sniff_separator(spark, str(tmp_path / "empty.csv")) == ","
+
+
+def test_bodies_are_parsed_once_whatever_is_filtered(spark):
+    from tripweave.sources import routes
+
+    docs = spark.createDataFrame([("O_1__to__2_ML_3_PT.json", '{"plan": {"itineraries": [{"fare": "1"}]}}'), ("O_1__to__2_ML_4_PT.json", None)], "file string, body string")
+    ok = routes.parse_transit(docs).filter("error_code = 'OK'").select("origin_id", "dest_id")
+    assert ok._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [tuple(r) for r in ok.collect()] == [("O_1", "2_ML_3")]
+    drive = routes.parse_drive(docs.selectExpr("replace(file, '_PT', '_DRIVE') AS file", "body")).filter("status = 'BAD_JSON'").select("dest_id")
+    assert drive._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [r[0] for r in drive.collect()] == ["2_ML_4"]

@@ -48,13 +48,18 @@ def with_route_keys(docs: DataFrame, pattern: str) -> DataFrame:
     )
 
 
+def _parsed(rows: DataFrame, schema: str) -> DataFrame:
+    """Add ``_d``, the parsed body, by an explode: no filter is pushed below it, so each body is made and parsed once."""
+    return rows.withColumn("_d", F.explode(F.array(F.from_json("body", schema))))
+
+
 def parse_transit(docs: DataFrame) -> DataFrame:
     """Public-transport skims: first itinerary only, distances summed over legs.
 
     Status: ``HTTP_n`` for an error body, ``NO_ITINERARY``, ``BAD_JSON`` or ``OK``. Only OK
     rows carry figures; the others have zeros.
     """
-    rows = with_route_keys(docs, TRANSIT_NAME).withColumn("_d", F.from_json("body", TRANSIT_SCHEMA))
+    rows = _parsed(with_route_keys(docs, TRANSIT_NAME), TRANSIT_SCHEMA)
     corrupt = F.col("_d").isNull() | F.col("_d._corrupt_record").isNotNull()
     trip = F.get(F.col("_d.plan.itineraries"), F.lit(0))
     status = (
@@ -77,7 +82,7 @@ def parse_transit(docs: DataFrame) -> DataFrame:
 
 def parse_drive(docs: DataFrame) -> DataFrame:
     """Car skims from route summaries, with the outcome status."""
-    rows = with_route_keys(docs, DRIVE_NAME).withColumn("_d", F.from_json("body", DRIVE_SCHEMA))
+    rows = _parsed(with_route_keys(docs, DRIVE_NAME), DRIVE_SCHEMA)
     corrupt = F.col("_d").isNull() | F.col("_d._corrupt_record").isNotNull()
     code = F.coalesce(F.col("_d.status"), F.lit("UNKNOWN"))
     status = (
