@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -86,3 +87,26 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 def test_words_at_borders():
     assert co.tokens(b"Ab.c  D\te\x1cF\n\xc3\x89") == [b"ab", b".", b"c", b"d", b"e\x1cf", b".", b"\xc3\x89"]
+
+
+def test_candidates_are_shuffled_packed_and_once(spark):
+    """Counting shuffles each candidate once, and the semi-join sends numbers back; all that is written stays under 9 bytes a word."""
+    rng = random.Random(5)
+    words = [f"word{int(rng.paretovariate(0.5))}" for _ in range(300_000)]
+    table = spark.createDataFrame([(" ".join(words[i : i + 300]), "en") for i in range(0, len(words), 300)], SCHEMA).repartition(3)
+
+    def written():
+        time.sleep(2)  # the store lags behind
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    table.count()
+    before = written()
+    assert co.collocations(table, least=2, chunk=20_000).count() == 2000
+    assert written() - before < 9 * len(words)
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    for x in ([], [0], [255, 256, 0], [2**40, 3, 2**33 + 1]):
+        assert co._unpacked(co._packed(np.array(x, np.int64))).tolist() == x
