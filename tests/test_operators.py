@@ -509,3 +509,19 @@ def test_blocks_of_a_large_group_do_not_multiply(spark, monkeypatch):
     gap = np.minimum(n % 350, 360 - n % 350)
     assert got["angular"] == pytest.approx(gap.sum()) and got["spatial_max"] == pytest.approx(np.hypot(n % 61, n).max())
     assert 0 < made.value <= 100  # 62,500 pairs of blocks of 16
+
+
+def test_cascade_scores_each_pair_of_names_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(a, b):
+        calls.add(1)
+        return 100.0
+
+    monkeypatch.setattr(spatial, "token_set_ratio", lambda a, b, at_least: score(a, b))
+    places = spark.createDataFrame([(i, "Gamma Plaza", "museum", 225.0 + i / 100, 5.0) for i in range(60)], "poi_id int, name string, subtype string, x double, y double")
+    features = spark.createDataFrame([(1, "Gamma West", box(230, 0, 240, 10)), (2, "Gamma East", box(200, 0, 220, 10))], f"osm_id int, feature_name string, rings {RINGS}")
+    out = spatial.match_footprints(places, features).collect()
+    assert {(r["match_type"], r["n_polygons"], r["footprint_area"]) for r in out} == {("name_match_union", 2, 300.0)} and len(out) == 60
+    assert calls.value == 2

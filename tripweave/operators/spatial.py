@@ -210,9 +210,10 @@ def match_footprints(places: DataFrame, features: DataFrame, radius: float = K.N
     near = near.withColumn("_inside", geo.contains(F.col("rings"), F.col("x"), F.col("y")))
     near = cut_lineage(near.select("poi_id", "osm_id", "name", "feature_name", "rings", "area", "_inside"))
     settled = near.filter("_inside").select("poi_id").distinct()
-    # names are scored once per distinct pair, and only for places no polygon contains
+    # names are scored once per distinct pair, and only for places no polygon contains; the pairs are stored, else the
+    # optimizer moves the filter on the score below their grouping, where each row is scored
     open_pairs = near.filter(F.coalesce(F.col("feature_name"), F.lit("")) != "").join(settled, "poi_id", "left_anti")
-    names = open_pairs.select("name", "feature_name").distinct()
+    names = cut_lineage(open_pairs.select("name", "feature_name").distinct())
     scores = names.withColumn("score", token_set_ratio(F.col("name"), F.col("feature_name"), threshold))
     alike = scores.filter(F.col("score") >= threshold).select("name", "feature_name", F.lit(2).alias("_named"))
     near = near.join(alike, ["name", "feature_name"], "left")
