@@ -525,3 +525,12 @@ def test_cascade_scores_each_pair_of_names_once(spark, monkeypatch):
     out = spatial.match_footprints(places, features).collect()
     assert {(r["match_type"], r["n_polygons"], r["footprint_area"]) for r in out} == {("name_match_union", 2, 300.0)} and len(out) == 60
     assert calls.value == 2
+
+
+def test_within_distance_tells_what_is_inside(spark):
+    shapes = spark.createDataFrame([("a", box(0, 0, 10, 10)), ("b", box(10, 0, 20, 10))], f"shape string, rings {RINGS}")
+    points = spark.createDataFrame([(1, 5.0, 5.0), (2, 10.0, 5.0), (3, -1.0, 5.0), (4, 19.0, 9.0)], "id int, x double, y double")
+    got = spatial.within_distance(points, "x", "y", shapes, "rings", 2.0, inside="held")
+    want = got.withColumn("plain", geo.contains(F.col("rings"), F.col("x"), F.col("y"))).collect()
+    assert {(r["id"], r["shape"], r["held"]) for r in want} == {(1, "a", True), (2, "a", False), (2, "b", False), (3, "a", False), (4, "b", True)}
+    assert all(r["held"] == r["plain"] for r in want)

@@ -61,10 +61,13 @@ def point_in_polygon(points: DataFrame, key: str, x: str, y: str, shapes: DataFr
 
 
 def within_distance(points: DataFrame, x: str, y: str, shapes: DataFrame, rings: str, radius: float,
-                    out: str = "dist") -> DataFrame:
-    """All (point, shape) pairs at most ``radius`` apart, with the distance."""
+                    out: str = "dist", inside: str | None = None) -> DataFrame:
+    """All (point, shape) pairs at most ``radius`` apart, with the distance. ``inside`` names a column that tells
+    whether the shape contains the point; a point on its boundary is outside."""
     near = quadtree.pairs(points, x, y, shapes, rings, radius)
     hit = quadtree.inside(f"`{x}`", f"`{y}`")
+    if inside is not None:
+        near, hit = near.withColumn(inside, F.explode(F.array(hit))), F.col(inside)
     gap = F.when(hit, 0.0).otherwise(geo.edge_distance(F.col("_segs"), F.col(x), F.col(y)))
     # an explode is not pushed down as a filter would be, so the distance is computed once
     return near.withColumn(out, F.explode(F.filter(F.array(gap), lambda g: g <= radius))).drop("_segs", "_flip")
@@ -205,9 +208,9 @@ def match_footprints(places: DataFrame, features: DataFrame, radius: float = K.N
     subtype, x, y), ``features`` is (osm_id, feature_name, tag columns, rings).
     """
     tags = {t: F.col(t) for t in ("amenity", "leisure", "tourism", "shop", "building") if t in features.columns}
-    near = within_distance(places.select("poi_id", "name", "subtype", "x", "y"), "x", "y", features, "rings", radius)
-    near = near.filter(category_match(F.col("subtype"), tags, rules)).withColumn("area", geo.polygon_area(F.col("rings")))
-    near = near.withColumn("_inside", geo.contains(F.col("rings"), F.col("x"), F.col("y")))
+    sized = features.withColumn("area", geo.polygon_area(F.col("rings")))
+    near = within_distance(places.select("poi_id", "name", "subtype", "x", "y"), "x", "y", sized, "rings", radius, inside="_inside")
+    near = near.filter(category_match(F.col("subtype"), tags, rules))
     near = cut_lineage(near.select("poi_id", "osm_id", "name", "feature_name", "rings", "area", "_inside"))
     settled = near.filter("_inside").select("poi_id").distinct()
     # names are scored once per distinct pair, and only for places no polygon contains; the pairs are stored, else the
