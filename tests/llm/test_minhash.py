@@ -122,3 +122,23 @@ def test_intersections_of_blocks_are_exact():
     want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
     assert minhash._shared(x, y).tolist() == want
     assert minhash._shared([np.array([1])], [np.array([2, 3])]).tolist() == [[0]]
+
+
+def test_names_are_sorted_only_for_keys_of_several_sets(spark, make_docs, monkeypatch):
+    """Every key of every set was sorted and shuffled with the set's name, although most keys have one set."""
+    from pyspark.sql import functions as F
+
+    from tripweave.llm.common import stored
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(40))) for i in range(300)] + [(300, "a b c d e f g h i j k l"), (301, "a b c d e f g h i j k l m")]
+    marked = stored(minhash.with_signatures(make_docs(rows), minhash.Bins()))
+    tables = []
+    monkeypatch.setattr(minhash, "sift", lambda df, keys, wanted: tables.append((df, keys, wanted)) or df.join(wanted, keys, "left_semi"))
+    found = minhash.links(marked.select("node", "n", "keys"), marked.select("node", "text")).collect()
+    assert len(found) == 1
+    keyed, keys, wanted = tables[0]
+    assert keys == "key" and wanted.columns == ["key"]
+    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    assert sorted(r.key for r in wanted.collect()) == sorted(r.key for r in size.filter("size > 1").collect())
+    assert keyed.count() == 302 * minhash.BANDS and wanted.count() < 2 * minhash.BANDS

@@ -77,3 +77,40 @@ def test_one_row_of_each_group_stays(make_docs, odd):
     assert sorted(r.doc_id for r in got.collect()) == [1, 4, 5, 6, 7, 8, 10, 12]
     bare = make_docs([(None, "only here and nowhere else")] * 3 + [(3, "Another text"), (3, "another  TEXT"), (3, "a third one")])
     assert sorted((r.doc_id or 0) for r in near_copies.drop_near_copies(bare).collect()) == [0, 3, 3]
+
+
+def test_a_text_goes_to_python_once_in_small_batches(spark, make_docs, monkeypatch):
+    """Long texts filled batches of up to 64 MB twice each, as the text and inside the row beside it."""
+    from tripweave.llm import common
+
+    written = []
+
+    def spy(df, *args, **kwargs):
+        written.append((df, int(spark.conf.get(common.BATCH_CONF).removesuffix("b"))))
+        return common.stored(df, *args, **kwargs)
+
+    monkeypatch.setattr(near_copies, "stored", spy)
+    docs = make_docs([(i, f"Text {i % 2} of its own. " * 100) for i in range(20)])
+    before = spark.conf.get(common.BATCH_CONF)
+    got = near_copies.drop_near_copies(docs)
+    assert got.dtypes == docs.dtypes and sorted((r.doc_id, r.text[:7]) for r in got.collect()) == [(0, "Text 0 "), (1, "Text 1 ")]
+    marked, size = next(w for w in written if "keys" in w[0].columns)
+    names = [f.name for c in marked.schema.fields for f in ([c] if c.dataType.typeName() != "struct" else c.dataType.fields)]
+    assert names.count("text") == 1 and size <= 4 << 20
+    assert spark.conf.get(common.BATCH_CONF) == before
+
+
+def test_small_batches_bound_bytes_and_lose_no_row(spark):
+    import pyarrow as pa
+
+    from tripweave.llm.common import BATCH_BYTES, small_batches, stored
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    rows = spark.range(0, 1500, 1, 1).selectExpr("repeat('0123456789', if(id = 7, 600000, 1000)) as text")
+    with small_batches(spark):
+        got = stored(rows.mapInArrow(sizes, "n long, bytes long")).collect()
+    assert sum(r.n for r in got) == 1500
+    assert all(r.bytes <= BATCH_BYTES + 6_100_000 for r in got) and sorted(r.bytes for r in got)[-2] <= BATCH_BYTES + 20_000

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripweave.llm.common import HASH_SEED as SEED
-from tripweave.llm.common import SHINGLE, shingles, sift, stored
+from tripweave.llm.common import SHINGLE, shingles, sift, small_batches, stored
 from tripweave.operators.dedup import components
 from tripweave.session import release, scratch_scope
 
@@ -173,10 +173,13 @@ def links(
     """
     p, q = alike
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("load"), F.min(F.struct("node", "n")).alias("hub"))
+    often = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"), compact=True)
+    shared = sift(keyed, "key", often)  # most keys have one set, whose name is not sorted and shuffled for its bucket
+    counts = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("load"), F.min(F.struct("node", "n")).alias("hub"))
     buckets = stored(counts.filter("size > 1"), compact=True)
-    met = stored(sift(keyed, "key", buckets).join(buckets, "key"))
-    sets = stored(sets_of(texts, met.select("node").distinct(), shingle))
+    met = stored(shared.join(buckets, "key"))
+    with small_batches(nodes.sparkSession):
+        sets = stored(sets_of(texts, met.select("node").distinct(), shingle))
     able = q * F.least("n", "hub.n") >= p * F.greatest("n", "hub.n")
     stars = met.filter("node <> hub.node").filter(able).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
     first = stored(confirmed(stars.distinct(), sets, alike), compact=True)
@@ -194,7 +197,8 @@ def links(
     release(rooted)
     sent = cells.select("key", F.col("members").alias("ma"), F.explode(F.expr("sequence(cell, parts - 1)")).alias("cell"))
     blocks = sent.join(cells.select("key", "cell", F.col("members").alias("mb")), ["key", "cell"]).select("ma", "mb")
-    second = stored(blocks.mapInArrow(_across(alike), "a binary, b binary").distinct(), compact=True)
+    with small_batches(nodes.sparkSession):
+        second = stored(blocks.mapInArrow(_across(alike), "a binary, b binary").distinct(), compact=True)
     release(cells)
     return first.unionByName(second)
 
@@ -213,7 +217,8 @@ def near_duplicates(
     """
     bins = Bins(bands, rows)
     with scratch_scope(docs.sparkSession):
-        marked = stored(with_signatures(docs, bins, shingle))
+        with small_batches(docs.sparkSession):
+            marked = stored(with_signatures(docs, bins, shingle))
         worded = marked.filter("node is not null")
         firsts = [F.first(c).alias(c) for c in ("n", "keys")]
         sets = stored(worded.groupBy("node").agg(*firsts, F.min("doc_id").alias("first_id")))
