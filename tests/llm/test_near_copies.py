@@ -114,3 +114,55 @@ def test_small_batches_bound_bytes_and_lose_no_row(spark):
         got = stored(rows.mapInArrow(sizes, "n long, bytes long")).collect()
     assert sum(r.n for r in got) == 1500
     assert all(r.bytes <= BATCH_BYTES + 6_100_000 for r in got) and sorted(r.bytes for r in got)[-2] <= BATCH_BYTES + 20_000
+
+
+def _shuffled(node, column):
+    """Rows written by the executed plan's shuffles of ``column``."""
+    name = node.getClass().getSimpleName()
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+    children = node.children()
+    rows = sum(_shuffled(n, column) for n in inner + [children.apply(i) for i in range(children.size())])
+    output = node.output()
+    if name == "ShuffleExchangeExec" and column in [output.apply(i).name() for i in range(output.size())]:
+        rows += node.metrics().apply("shuffleRecordsWritten").value()
+    return rows
+
+
+def test_texts_are_not_shuffled_to_drop_a_few(spark, make_docs, monkeypatch):
+    """At the end all rows were shuffled with their texts, as soon as the kept ids were too many to be broadcast."""
+    from tripweave.llm import common
+
+    moved = []
+
+    def spy(df, *args, **kwargs):
+        if kwargs.get("keep"):
+            df.collect()
+            moved.append(_shuffled(df._jdf.queryExecution().executedPlan(), "text"))
+        return common.stored(df, *args, **kwargs)
+
+    monkeypatch.setattr(near_copies, "stored", spy)
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.random()) for _ in range(30)) for _ in range(300)]
+    docs = make_docs(list(enumerate(texts + texts[:40])))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near_copies.drop_near_copies(docs)
+        assert sorted(r.doc_id for r in got.collect()) == list(range(300))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(moved) == 1 and moved[0] < 10
+
+
+@pytest.mark.parametrize("bits", [24, 7])
+def test_sieve_parts_the_rows_and_loses_none(spark, bits):
+    from tripweave.llm.common import sieve
+
+    rows = spark.range(2000).selectExpr("if(id = 7, null, id) as k", "id as v")
+    wanted = spark.range(0, 2000, 20).selectExpr("id as k")
+    held, rest = sieve(rows, "k", wanted, bits)
+    assert held.columns == rest.columns == rows.columns
+    held, rest = {r.v for r in held.collect()}, {r.v for r in rest.collect()}
+    assert not held & rest and held | rest == set(range(2000)) and held >= set(range(0, 2000, 20))
+    none, every = sieve(rows, "k", wanted.limit(0), bits)
+    assert none.count() == 0 and every.count() == 2000
