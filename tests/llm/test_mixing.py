@@ -66,3 +66,20 @@ def test_ids_shared_by_sources_and_any_column_names(spark):
     assert out.columns == docs.columns
     assert sum(len(r.text.split()) for r in out.collect()) == wanted
     assert wanted - sum(r.taken for r in planned) < 2 * 17
+
+
+def test_texts_are_stored_once(spark, data, monkeypatch):
+    """The rows were stored with their texts, and beside them all the copies that the mix takes."""
+    from tripweave.llm import common
+
+    texts = []
+
+    def spy(df, *args, **kwargs):
+        texts.append("text" in df.columns or "row" in df.columns)
+        return common.stored(df, *args, **kwargs)
+
+    monkeypatch.setattr(mixing, "stored", spy)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    out = mixing.mixed_documents(docs)
+    assert sum(texts) == 1
+    assert out.count() == out.count() > docs.count() and sum(texts) == 1

@@ -90,3 +90,18 @@ def test_odd_and_empty_documents_go_through(spark, data, odd, no_docs):
 
 def test_run_gives_the_same(spark, data, steps):
     assert sorted(map(tuple, cp.run(spark, data).collect())) == sorted(map(tuple, steps[5].collect()))
+
+
+def test_run_leaves_no_texts_of_finished_stages(spark, data):
+    """What a stage returned was stored by the stage and again by run(); the first copy stayed."""
+    import os
+    from glob import glob
+
+    from tripweave.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    cp.run(spark, data)
+    made = [f"{folder}/{name}" for name in set(os.listdir(folder)) - before if glob(f"{folder}/{name}/*.parquet")]
+    tables = [spark.read.parquet(f"file://{path}").columns for path in made]
+    assert [c for c in tables if "text" in c or "row" in c] == [spark.read.parquet(f"{data}/documents.parquet").columns]

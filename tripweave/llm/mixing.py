@@ -58,18 +58,24 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     form a source of their own. Rows without an id, or with the same, follow each other by size.
     Extra columns are ignored. An empty table gives an empty one.
     """
-    placed = _placed(docs, [], weights, share, most)
+    placed = _placed(stored(_sized(docs)), [], weights, share, most)
     taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
     return placed.select("doc_id", "source", "size", "source_size", "target", taken)
 
 
-def _placed(docs: DataFrame, also: list[str], weights: Sequence[int], share: float, most: int) -> DataFrame:
-    """Each row with the whole epochs of its source, and the words that the last epoch takes of it. ``also`` are
-    further columns, by which rows that tie are ordered last."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *also
+def _sized(docs: DataFrame, *also: Column) -> DataFrame:
+    """(doc_id, source, size, _key) of each row, and columns ``also``."""
+    number = F.col("doc_id").cast("long")
+    return docs.select(
+        number.alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+        random_key(number).alias("_key"), *also,
     )
-    rows = stored(rows.withColumn("_key", random_key(F.col("doc_id"))))
+
+
+def _placed(rows: DataFrame, also: list[str], weights: Sequence[int], share: float, most: int) -> DataFrame:
+    """Each row of a stored ``_sized`` table with the whole epochs of its source, and the words that the last epoch
+    takes of it. ``also`` are further columns, by which rows that tie are ordered last."""
+    rows = rows.select("doc_id", "source", "size", "_key", *also)
     aims = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), compact=True)
     placed = running_totals(rows, ["source"], [F.col(c) for c in ("_key", "doc_id", "size", *also)], "size", "_before")
     aims = aims.select(F.col("source").alias("_source"), "source_size", "target")
@@ -90,18 +96,17 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     id it has or shares. Columns may have any name. An empty table gives an empty one.
 
     A source's rows come once an epoch, and once more up to its cut, so one row a source decides: texts
-    are not shuffled.
+    are not shuffled. They are stored once, as they came; the copies are made where the result is read.
     """
     with scratch_scope(docs.sparkSession):
-        rows = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("tag")))
-        placed = _placed(rows.select("row.doc_id", "row.source", "row.text", "tag"), ["tag"], weights, share, most)
+        whole = [F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("tag")]
+        rows = stored(_sized(docs, *whole), keep=True)
+        placed = _placed(rows, ["tag"], weights, share, most)
         place = F.struct("_key", "doc_id", "size", "tag")
         cuts = placed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("part") > 0, place)).alias("cut"))
-        cuts = stored(cuts.withColumnRenamed("source", "_source"), compact=True)
-        number, size = F.col("row.doc_id").cast("long"), word_count(F.col("row.text")).alias("size")
-        judged = rows.select("row", F.col("row.source").cast("string").alias("source"), random_key(number).alias("_key"), number.alias("doc_id"), size, "tag")
-        judged = judged.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
-        once_more = F.coalesce(place <= F.col("cut"), F.lit(False)).cast("int")
-        times = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + once_more).cast("int")
-        copies = judged.select("row", times.alias("times")).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
-        return stored(copies.select("row.*"), keep=True)
+        cuts = stored(cuts.withColumnRenamed("source", "_source"), compact=True, keep=True)
+    judged = rows.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+    once_more = F.coalesce(place <= F.col("cut"), F.lit(False)).cast("int")
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + once_more).cast("int")
+    copies = judged.select("row", times.alias("times")).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select("row.*")
